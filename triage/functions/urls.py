@@ -29,8 +29,8 @@ def netloc(url: Column) -> Column:
 
 def host(url: Column) -> Column:
     """Lower-case host name without user info, port or brackets."""
-    authority = _OPTIONAL_SCHEME + r"//(?:[^/?#@]*@)*(?:\[([^\]/?#]*)\]|([^/?#:@\[]*))"
-    return F.lower(F.concat(F.regexp_extract(url, authority, 1), F.regexp_extract(url, authority, 2)))
+    authority = _OPTIONAL_SCHEME + r"//(?:[^/?#@]*@)*\[?((?<=\[)[^\]/?#]*|[^/?#:@\[\]]*)"
+    return F.lower(F.regexp_extract(url, authority, 1))
 
 
 def path(url: Column) -> Column:
@@ -46,15 +46,19 @@ def url_parts(url: Column) -> Column:
                     path(url).alias("path"), query(url).alias("query"))
 
 
+def _decode(text: Column) -> Column:
+    # a stray percent sign stands for itself
+    return F.coalesce(F.try_url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25")), text)
+
+
 def unquote_plus(text: Column) -> Column:
-    """Form decoding: '+' is a blank; a malformed escape leaves the text as it is."""
-    return F.coalesce(F.try_url_decode(text), text)
+    """Form decoding: '+' is a blank."""
+    return F.when(text.rlike("[%+]"), _decode(text)).otherwise(text)
 
 
 def unquote(text: Column) -> Column:
     """Percent decoding that keeps '+'."""
-    return F.when(text.contains("%"), F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
-                  ).otherwise(text)
+    return F.when(text.contains("%"), _decode(F.replace(text, F.lit("+"), F.lit("%2B")))).otherwise(text)
 
 
 def query_pairs(text: Column, keep_blank: bool = True) -> Column:

@@ -39,8 +39,11 @@ def jwt_candidates(exchanges: DataFrame | None = None, artifacts: DataFrame | No
                               _pairs_text(c("form_params")))
         response = F.concat_ws("\n", "response_body", _pairs_text(c("response_headers")), F.array_join(
             F.transform("response_cookies", lambda k: F.concat_ws(" ", k["name"], k["value"])), "\n"))
-        spots = [F.transform(_tokens(t), lambda x, i=i: F.struct(F.lit(i).alias("rank"), x.alias("token")))
-                 for i, t in enumerate([c("url"), request, response])]
+
+        def spot(rank, text):
+            return F.transform(_tokens(text), lambda x: F.struct(F.lit(rank).alias("rank"), x.alias("token")))
+
+        spots = [spot(i, t) for i, t in enumerate([c("url"), request, response])]
         parts.append(exchanges.select("source_file", F.lit(True).alias("capture"), F.inline(F.concat(*spots))))
     if artifacts is not None:
         parts.append(artifacts.select("source_file", F.lit(False).alias("capture"), F.lit(3).alias("rank"),

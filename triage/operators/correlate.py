@@ -30,7 +30,7 @@ _RELATIONS = {
 
 def _text(*names: str) -> Column:
     """First non-empty of several columns, else empty."""
-    return F.coalesce(*[F.when(F.col(n) != "", F.col(n)) for n in names], F.lit(""))
+    return F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names], F.lit(""))
 
 
 def asset_key(host_name: Column, raw_path: Column, method: Column) -> Column:
@@ -38,12 +38,17 @@ def asset_key(host_name: Column, raw_path: Column, method: Column) -> Column:
 
 
 def _with_asset(items: DataFrame) -> DataFrame:
-    value = _text("url", "asset", "path")
-    where = F.coalesce(F.when(path(value) != "", path(value)), F.when(F.col("path") != "", F.col("path")), value)
-    df = items.withColumns({"a_host": host(value), "a_path": where,
-                            "a_method": F.upper(F.coalesce("method", F.lit("UNKNOWN")))})
-    df = df.withColumn("a_key", asset_key(F.col("a_host"), F.col("a_path"), F.col("a_method")))
-    return df.withColumn("asset_id", F.when(F.col("a_path") != "", key_id("asset", F.col("a_key"))))
+    """Add the asset an item speaks about; ``asset_id`` is empty if it names none."""
+    blank = F.lit("")
+    df = items.withColumn("a_value", _text("url", "asset", "path"))
+    df = df.withColumns({
+        "a_host": host(F.col("a_value")), "a_method": F.upper(F.coalesce("method", F.lit("UNKNOWN"))),
+        "a_path": F.coalesce(F.nullif(path(F.col("a_value")), blank), F.nullif(F.col("path"), blank), F.col("a_value"))})
+    df = df.withColumn("a_template", normalize_path(F.col("a_path")))
+    key = F.concat_ws("|", "a_host", "a_template", "a_method")
+        # coalesce makes the id non-nullable, so joins on it add no null filter to push into the scans
+    asset_id = F.coalesce(F.when(F.col("a_path") == "", blank).otherwise(key_id("asset", key)), blank)
+    return df.withColumn("asset_id", asset_id).drop("a_value")
 
 
 def _endpoint_rows(items: DataFrame) -> DataFrame:
@@ -128,7 +133,7 @@ def signals(located: DataFrame) -> DataFrame:
     return rows.select(
         key_id("signal", F.col("artifact_id"), t, F.coalesce("item_id", "title")).alias("signal_id"), "signal_type",
         "title", "source_module", F.col("artifact_id").alias("source_artifact_id"),
-        F.coalesce("asset_id", F.lit("")).alias("asset_id"), level("severity", rules.SEVERITIES, "info").alias("severity"),
+        "asset_id", level("severity", rules.SEVERITIES, "info").alias("severity"),
         level("confidence", rules.CONFIDENCES, "medium").alias("confidence"), tags.alias("tags"),
         redact(F.coalesce("evidence", F.lit(""))).alias("redacted_evidence"))
 
@@ -160,15 +165,15 @@ def workspace_items(workspaces: DataFrame) -> DataFrame:
 def asset_table(located: DataFrame) -> DataFrame:
     """Assets with the scalars of the first item that names them and their item count."""
     gql = (F.col("artifact_type") == "graphql_inventory") & (F.col("list_name") == "endpoints")
-    rows = located.filter("asset_id is not null").filter(
-        (F.col("artifact_type") != "authz_matrix") | (F.col("list_name") != "endpoints"))
+    rows = located.filter((F.col("artifact_type") != "authz_matrix") | (F.col("list_name") != "endpoints"))
     first = rows.groupBy("asset_id").agg(
         F.min_by(F.struct(F.when(gql, "graphql_endpoint").otherwise("endpoint").alias("asset_type"),
                           F.col("a_host").alias("host"), F.col("a_path").alias("path"),
-                          F.col("a_method").alias("method")),
+                          F.col("a_method").alias("method"), F.col("a_template").alias("normalized_path")),
                  F.struct("artifact_id", "list_name", "item_pos")).alias("f"), F.count("*").alias("items"))
-    return first.select("asset_id", "f.asset_type", "f.host", "f.path", "f.method",
-                        normalize_path(F.col("f.path")).alias("normalized_path"), "items")
+    # items without an asset share one blank group; it is dropped here, after the aggregate,
+    # because a filter on the computed id would be copied down to every scan
+    return first.filter("f.path != ''").select("asset_id", "f.asset_type", "f.host", "f.path", "f.method", "f.normalized_path", "items")
 
 
 def asset_links(located: DataFrame) -> DataFrame:
@@ -181,8 +186,8 @@ def asset_links(located: DataFrame) -> DataFrame:
         F.array(F.when(own, link(relation, F.col("item_id"))), link(F.lit("artifact"), F.col("artifact_id")),
                 link(F.lit("source_module"), F.col("source_module"))),
         F.transform(F.coalesce("risk_tags", F.array().cast(_STRINGS)), lambda t: link(F.lit("tag"), t)))
-    return (located.filter("asset_id is not null").select("asset_id", F.inline(F.array_compact(links)))
-            .filter("relation is not null and ref_id is not null and ref_id != ''").distinct())
+    kept = F.filter(F.array_compact(links), lambda x: F.coalesce(x["ref_id"], F.lit("")) != "")
+    return located.select("asset_id", F.inline(F.when(F.col("asset_id") != "", kept))).distinct()
 
 
 def asset_stats(signal_table: DataFrame) -> DataFrame:
@@ -194,7 +199,7 @@ def asset_stats(signal_table: DataFrame) -> DataFrame:
     all_tags = F.concat("tags", F.array("signal_type"))
     mapped = F.exists(all_tags, lambda t: t.contains("source-map"))
     bits = F.conv(F.substring(F.sha2("signal_id", 256), 1, 15), 16, 10).cast("bigint")
-    rows = signal_table.filter("asset_id != ''").select(
+    rows = signal_table.select(
         "asset_id", rank.alias("rank"), weight.alias("weight"), TAGS.mask_of_array(all_tags).alias("mask"),
         mapped.cast("int").alias("mapped"), (F.col("redacted_evidence") != "").cast("int").alias("shown"), bits.alias("bits"))
     return rows.groupBy("asset_id").agg(
