@@ -22,7 +22,7 @@ def _after(text: Column, sep: str) -> Column:
 
 def parse_set_cookie(raw: Column) -> Column:
     """struct(name, value, attributes, flags); attribute and flag names in lower case."""
-    parts = F.transform(F.split(raw, ";"), F.trim)
+    parts = F.transform(F.split(raw, ";"), lambda p: F.trim(p))
     rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
     attributes = F.transform(F.filter(rest, lambda p: p.contains("=")), lambda p: F.struct(
         F.lower(F.substring_index(p, "=", 1)).alias("name"), _after(p, "=").alias("value")))

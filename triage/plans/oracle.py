@@ -125,7 +125,7 @@ def norm(p: str) -> str:
 
 
 EX = f"""(
-select source_file, i as entry_idx, *, 'application/json' as ct from {EVENTS}
+select i as entry_idx, *, 'application/json' as ct from {EVENTS}
 union all by name
 select 'pages-' || cast(page_id % 5 as varchar) || '.har' as source_file, page_id as entry_idx, 'GET' as method, url,
  200 as status, 'text/html' as mime_type, '' as request_body, html as response_body, 'text/html' as ct from pages)"""
