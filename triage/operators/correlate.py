@@ -186,7 +186,7 @@ def asset_links(located: DataFrame) -> DataFrame:
         F.array(F.when(own, link(relation, F.col("item_id"))), link(F.lit("artifact"), F.col("artifact_id")),
                 link(F.lit("source_module"), F.col("source_module"))),
         F.transform(F.coalesce("risk_tags", F.array().cast(_STRINGS)), lambda t: link(F.lit("tag"), t)))
-    kept = F.filter(F.array_compact(links), lambda x: F.coalesce(x["ref_id"], F.lit("")) != "")
+    kept = F.filter(F.array_compact(links), lambda x: x["relation"].isNotNull() & (F.coalesce(x["ref_id"], F.lit("")) != ""))
     return located.select("asset_id", F.inline(F.when(F.col("asset_id") != "", kept))).distinct()
 
 
