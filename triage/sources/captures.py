@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triage.functions.tags import let
 from triage.schemas import PAIRS
 
 _COOKIES = "array<struct<name:string,value:string,path:string,secure:boolean,httpOnly:boolean,sameSite:string>>"
@@ -28,74 +29,74 @@ def read_har_rejects(spark: SparkSession, path: str) -> DataFrame:
     return har_rejects(_scan(spark, path))
 
 
-def _parsed(captures: DataFrame) -> DataFrame:
-    # The root is typed, each entry stays a variant: one size limit per entry, not per file.
-    parsed = F.from_json(F.col("text"), "log struct<entries array<variant>>")
-    return captures.select("source_file", "text", parsed.getField("log").getField("entries").alias("entries"))
-
+_ENTRY = (
+    f"request struct<method:string,url:string,headers:{PAIRS},queryString:{PAIRS},cookies:{PAIRS},"
+    f"postData:struct<text:string,params:{PAIRS}>>, "
+    f"response struct<status:string,headers:{PAIRS},cookies:{_COOKIES},content:struct<mimeType:string,text:string>>"
+)
 
-def _is_object(v: Column) -> Column:
-    return F.schema_of_variant(v).startswith("OBJECT")
 
+def _entry(e: Column) -> Column:
+    """A parsed entry with its fault, if any."""
+    return let(F.from_json(e, _ENTRY), lambda x: F.struct(
+        x.alias("e"), e.startswith("{").alias("is_object"),
+        F.when(~e.startswith("{"), F.lit("Every HAR log.entries item must be an object"))
+        .when(x["request"].isNull() | x["response"].isNull(),
+              F.lit("Every HAR entry must contain request and response objects"))
+        .when(x["response"]["status"].isNotNull() & x["response"]["status"].try_cast("double").isNull(),
+              F.lit("HAR response status must be an integer")).alias("fault")))
 
-def _bad_status(v: Column) -> Column:
-    given = F.try_variant_get(v, "$.response.status", "string")
-    return given.isNotNull() & F.try_variant_get(v, "$.response.status", "double").isNull()
 
+def _parsed(captures: DataFrame) -> DataFrame:
+    """Parsed entries of each capture and the reason to reject it, from one look at the text.
 
-def _entry_fault(v: Column) -> Column:
-    missing = lambda side: (F.try_variant_get(v, f"$.{side}", "variant").isNull()
-                            | ~_is_object(F.try_variant_get(v, f"$.{side}", "variant")))
-    return (F.when(~_is_object(v), F.lit("Every HAR log.entries item must be an object"))
-            .when(missing("request") | missing("response"),
-                  F.lit("Every HAR entry must contain request and response objects"))
-            .when(_bad_status(v), F.lit("HAR response status must be an integer")))
+    Everything is bound inside one expression: a capture text may be long, or itself
+    be computed, and must not be evaluated once per test.
+    """
+    def judge(text, raw, entries):
+        fault = F.array_compact(F.transform(entries, lambda x: x["fault"]))
+        reason = (F.when(F.trim(text) == "", F.lit("HAR file is empty"))
+                  .when(F.get_json_object(text, "$").isNull(), F.lit("Invalid JSON in HAR file"))
+                  .when(~text.rlike(r"^\s*+\{"), F.lit("HAR root must be a JSON object"))
+                  .when(raw.isNull(), F.lit("HAR must contain a log.entries list"))
+                  .otherwise(F.try_element_at(fault, F.lit(1))))
+        return F.struct(entries.alias("entries"), reason.alias("reason"))
 
+    def parse(text):
+        log = F.from_json(text, "log struct<entries array<string>>")
+        return let(log.getField("log").getField("entries"), lambda raw: let(
+            F.transform(raw, _entry), lambda entries: judge(text, raw, entries)))
 
-def _reason() -> Column:
-    text, entries = F.col("text"), F.col("entries")
-    faults = F.filter(F.transform(entries, _entry_fault), lambda f: f.isNotNull())
-    return (F.when(F.trim(text) == "", F.lit("HAR file is empty"))
-            .when(F.get_json_object(text, "$").isNull(), F.lit("Invalid JSON in HAR file"))
-            .when(~text.rlike(r"^\s*+\{"), F.lit("HAR root must be a JSON object"))
-            .when(entries.isNull(), F.lit("HAR must contain a log.entries list"))
-            .otherwise(F.try_element_at(faults, F.lit(1))))
+    return captures.select("source_file", let(F.col("text"), parse).alias("c"))
 
 
 def har_rejects(captures: DataFrame) -> DataFrame:
     """(source_file, reason) of the captures a strict read leaves out."""
-    return _parsed(captures).select("source_file", _reason().alias("reason")).filter("reason is not null")
+    return _parsed(captures).select("source_file", F.explode(F.array_compact(F.array("c.reason"))).alias("reason"))
 
 
 def exchanges_from_har(captures: DataFrame, lenient: bool = False) -> DataFrame:
     """Exchange rows from capture texts; one bad entry rejects its file unless lenient."""
-    parsed = _parsed(captures)
-    if not lenient:
-        parsed = parsed.filter(_reason().isNull())
-    rows = parsed.select("source_file", F.posexplode("entries").alias("entry_idx", "e"))
+    kept = F.col("c.entries") if lenient else F.when(F.col("c.reason").isNull(), F.col("c.entries"))
+    rows = _parsed(captures).select("source_file", F.posexplode(kept).alias("entry_idx", "x"))
     if lenient:
-        rows = rows.filter(_is_object(F.col("e")))
-
-    def get(path: str, kind: str = "string") -> Column:
-        return F.try_variant_get("e", "$." + path, kind)
+        rows = rows.filter("x.is_object")
+    rows = rows.select("source_file", "entry_idx", F.col("x.e.request").alias("q"), F.col("x.e.response").alias("p"))
 
-    def text(path: str, default: str = "") -> Column:
-        return F.coalesce(get(path), F.lit(default))
+    def text(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(""))
 
-    def items(path: str, kind: str = PAIRS) -> Column:
-        return F.coalesce(get(path, kind), F.array().cast(kind))
+    def items(name: str, kind: str = PAIRS) -> Column:
+        return F.coalesce(F.col(name), F.array().cast(kind))
 
     return rows.select(
-        "source_file", F.col("entry_idx").cast("bigint"),
-        F.upper(text("request.method")).alias("method"), text("request.url").alias("url"),
-        F.coalesce(get("response.status", "double").cast("int"), F.lit(0)).alias("status"),
-        items("request.headers").alias("request_headers"), items("response.headers").alias("response_headers"),
-        items("request.queryString").alias("query_string"), items("request.cookies").alias("request_cookies"),
-        items("response.cookies", _COOKIES).alias("response_cookies"),
-        text("request.postData.text").alias("request_body"),
-        items("request.postData.params").alias("form_params"),
-        text("response.content.mimeType").alias("mime_type"),
-        text("response.content.text").alias("response_body"))
+        "source_file", F.col("entry_idx").cast("bigint"), F.upper(text("q.method")).alias("method"),
+        text("q.url").alias("url"), F.coalesce(F.col("p.status").try_cast("double").try_cast("int"), F.lit(0)).alias("status"),
+        items("q.headers").alias("request_headers"), items("p.headers").alias("response_headers"),
+        items("q.queryString").alias("query_string"), items("q.cookies").alias("request_cookies"),
+        items("p.cookies", _COOKIES).alias("response_cookies"), text("q.postData.text").alias("request_body"),
+        items("q.postData.params").alias("form_params"), text("p.content.mimeType").alias("mime_type"),
+        text("p.content.text").alias("response_body"))
 
 
 def har_text(exchanges: DataFrame) -> DataFrame:
