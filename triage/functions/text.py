@@ -83,14 +83,15 @@ def category_mask(name: Column, value: Column) -> Column:
     return CATEGORIES.mask({
         "bearer_token": low.contains("authorization") & value.rlike(rules.BEARER_VALUE),
         "jwt": value.contains("eyJ") & value.rlike(rules.JWT_VALUE),
-        "api_key": (low.contains("api") & low.contains("key")) | combined.rlike(rules.API_KEY_VALUE),
+        "api_key": (low.contains("api") & low.contains("key"))
+        | (combined.rlike("(?i)key|secret|token") & combined.rlike(rules.API_KEY_VALUE)),
         "session": low.contains("session"),
         "csrf_token": low.contains("csrf") | low.contains("xsrf"),
         "oauth_authorization_code": (low.contains("oauth") & low.contains("code"))
         | low.isin("code", "authorization_code"),
         "refresh_token": low.contains("refresh") & low.contains("token"),
         "email": value.contains("@") & value.rlike(rules.EMAIL_VALUE),
-        "phone_number": value.rlike(rules.PHONE_VALUE),
+        "phone_number": value.rlike("\\d{4}") & value.rlike(rules.PHONE_VALUE),
         "sensitive_key_value": name.rlike(rules.SENSITIVE_NAME) & (value != ""),
     })
 
@@ -123,24 +124,26 @@ def lines(artifacts: DataFrame, *keep: str) -> DataFrame:
     return split.select(*keep, (F.col("pos") + 1).alias("line_no"), "line")
 
 
-def _count(text: Column, char: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
-
-
-def pattern_hits(text: Column, pattern: str, groups=(0,)) -> Column:
+def pattern_hits(text: Column, pattern: str, groups=(0,), may: Column | None = None) -> Column:
     """``array<struct<line:int, g0:string, ...>>``: all matches with their line numbers.
 
     Every match gets a marker in front of it.  The markers of each line, repeated
     as that line's number, come out in match order, so the whole thing is linear
-    in the text and a match may span lines.
+    in the text and a match may span lines.  ``may`` is a cheap necessary test; the
+    pattern itself serves if there is none.
     """
     fields = ["line"] + [f"g{g}" for g in groups]
-    clean = F.translate(text, SENTINEL, " ")
+    none = F.array().cast("array<int>")
+
+    def marks(line, i):
+        count = F.length(line) - F.length(F.replace(line, F.lit(SENTINEL), F.lit("")))
+        return F.when(line.contains(SENTINEL), F.array_repeat(i + 1, count)).otherwise(none)
+
+    clean = F.when(text.contains(SENTINEL), F.translate(text, SENTINEL, " ")).otherwise(text)
     marked = F.regexp_replace(clean, F.lit(pattern), F.lit(SENTINEL + "$0"))
-    numbers = F.flatten(F.transform(F.split(marked, "\n"),
-                                    lambda line, i: F.array_repeat(i + 1, _count(line, SENTINEL))))
+    numbers = F.flatten(F.transform(F.split(marked, "\n"), marks))
     matches = [F.regexp_extract_all(clean, F.lit(pattern), F.lit(g)) for g in groups]
     zipped = F.transform(F.arrays_zip(numbers, *matches),
                          lambda z: F.struct(*[z.getField(str(i)).alias(n) for i, n in enumerate(fields)]))
     empty = F.array().cast("array<struct<line:int," + ",".join(f"{n}:string" for n in fields[1:]) + ">>")
-    return F.when(text.rlike(pattern), zipped).otherwise(empty)
+    return F.when(text.rlike(pattern) if may is None else may, zipped).otherwise(empty)

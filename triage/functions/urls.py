@@ -94,20 +94,21 @@ def normalize_path(raw: Column) -> Column:
 
     start = F.struct(F.lit("").alias("out"), F.lit("").alias("prev"), F.lit(0).alias("n"))
     folded = F.aggregate(F.split(clean, "/"), start, step, lambda acc: acc["out"])
-    return F.when(clean.rlike(rules.STATIC_PATH), clean).otherwise(folded)
+    # most paths hold nothing to rewrite: one look decides whether the fold runs at all
+    may = r"(?Ui)(?:^|/)(?:\d+|[0-9a-f]{8}-[0-9a-f-]{27})(?:/|\z)|(?:^|/)(?:" + "|".join(rules.RESOURCE_WORDS) + ")/"
+    return F.when(~clean.rlike(may) | clean.rlike(rules.STATIC_PATH), clean).otherwise(folded)
 
 
-def object_id_mask(names: Column, normalized: Column) -> Column:
-    """Known object-id names among the parameters plus the slots of the path template."""
-    low = F.transform(names, F.lower)
-    conds = {n: F.array_contains(low, n.lower()) for n in rules.OBJECT_ID_NAMES}
+def object_id_mask(lowered_names: Column, normalized: Column) -> Column:
+    """Known object-id names among the lower-cased parameter names plus the slots of the path template."""
+    conds = {n: F.array_contains(lowered_names, n.lower()) for n in rules.OBJECT_ID_NAMES}
     conds |= {slot: normalized.contains(slot) for slot in rules.PATH_SLOTS}
     return OBJECT_IDS.mask(conds)
 
 
-def risk_mask(raw_path: Column, method: Column, object_ids: Column, url_scheme: Column) -> Column:
-    low = F.lower(raw_path)
-    conds = word_rules(low, rules.RISK_TAG_WORDS)
+def risk_mask(lowered_path: Column, method: Column, object_ids: Column, url_scheme: Column) -> Column:
+    """Risk tags of an endpoint; pass a materialized lower-case path, it is read once per word."""
+    conds = word_rules(lowered_path, rules.RISK_TAG_WORDS)
     conds["websocket"] = url_scheme.isin("ws", "wss")
     conds["idor-candidate"] = object_ids != 0
     conds["state-changing"] = method.isin(rules.STATE_CHANGING_METHODS)

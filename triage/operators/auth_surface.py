@@ -153,8 +153,10 @@ def auth_endpoints(exchanges: DataFrame | None = None, artifacts: DataFrame | No
                      .select("source_file", F.col("ord").cast("bigint").alias("ord"),
                              F.lit("UNKNOWN").alias("method"), "url"))
     u = F.col("url")
-    rows = reduce(DataFrame.unionByName, parts).withColumn(
-        "mask", AUTH_TAGS.mask(word_rules(F.lower(u), rules.AUTH_TAG_WORDS))).filter("mask != 0")
+    # one pattern over all words keeps the other URLs away from the tag rules
+    words = "|".join(w for ws in rules.AUTH_TAG_WORDS.values() for w in ws)
+    rows = (reduce(DataFrame.unionByName, parts).withColumn("low", F.lower(u)).filter(F.col("low").rlike(words))
+            .withColumn("mask", AUTH_TAGS.mask(word_rules(F.col("low"), rules.AUTH_TAG_WORDS))))
     where = F.when(path(u) == "", u).otherwise(path(u))
     rows = rows.select("source_file", "ord", "method", where.alias("path"), netloc(u).alias("host"),
                        scheme(u).alias("scheme"), "url", "mask")

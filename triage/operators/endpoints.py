@@ -59,11 +59,13 @@ def _describe(df: DataFrame) -> DataFrame:
         "url": F.when(F.col("scheme") != "", F.concat("scheme", F.lit("://"), netloc(F.col("raw_url")), "path"))
         .otherwise(F.col("path")),
     })
-    names = F.concat("query_params", "body_params", "json_keys")
-    df = df.withColumn("object_mask", object_id_mask(names, F.col("normalized_path")))
-    df = df.withColumn("risk_mask", risk_mask(F.col("path"), F.col("method"), F.col("object_mask"), F.col("scheme")))
+    df = df.withColumns({
+        "low_path": F.lower("path"),
+        "low_names": F.transform(F.concat("query_params", "body_params", "json_keys"), lambda n: F.lower(n))})
+    df = df.withColumn("object_mask", object_id_mask(F.col("low_names"), F.col("normalized_path")))
+    df = df.withColumn("risk_mask", risk_mask(F.col("low_path"), F.col("method"), F.col("object_mask"), F.col("scheme")))
     return df.withColumn("endpoint_id", key_id("ep", F.col("method"), F.col("host"), F.col("normalized_path"))
-                         ).drop("raw_path")
+                         ).drop("raw_path", "low_path", "low_names")
 
 
 def _distinct_names(pairs: Column) -> Column:
@@ -130,11 +132,11 @@ def endpoints_from_text(artifacts: DataFrame) -> DataFrame:
 
 
 def object_ids(names: Column, normalized: Column) -> Column:
-    return OBJECT_IDS.array(object_id_mask(names, normalized))
+    return OBJECT_IDS.array(object_id_mask(F.transform(names, lambda n: F.lower(n)), normalized))
 
 
 def risk_tags(raw_path: Column, method: Column, object_mask: Column, url_scheme: Column) -> Column:
-    return RISKS.array(risk_mask(raw_path, method, object_mask, url_scheme))
+    return RISKS.array(risk_mask(F.lower(raw_path), method, object_mask, url_scheme))
 
 
 def merge_endpoints(observed: DataFrame) -> DataFrame:

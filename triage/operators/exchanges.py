@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from triage.functions.tags import let
 from triage.functions.text import CATEGORIES, category_mask, redact
 from triage.functions.jsonwalk import body_leaves
 from triage.functions.urls import query, query_pairs
@@ -19,13 +20,17 @@ def header_or_empty(headers: Column, name: str) -> Column:
     return F.coalesce(header(headers, name), F.lit(""))
 
 
+def unique_headers(headers: Column) -> Column:
+    """``array<struct<name,value>>``: lower-case names, of duplicates the last."""
+    named = F.filter(F.transform(headers, lambda h: F.struct(F.lower(F.trim(h["name"])).alias("name"),
+                                                             h["value"].alias("value"))), lambda h: h["name"] != "")
+    return let(named, lambda hs: F.filter(hs, lambda h, i: ~F.exists(
+        F.slice(hs, i + 2, F.size(hs)), lambda later: later["name"] == h["name"])))
+
+
 def header_map(headers: Column) -> Column:
     """Lower-case name to value, without relying on the session's map-key policy."""
-    names = F.array_distinct(F.transform(headers, lambda h: F.lower(F.trim(h["name"]))))
-    named = F.filter(names, lambda n: n != "")
-    last = F.transform(named, lambda n: F.try_element_at(
-        F.filter(headers, lambda h: F.lower(F.trim(h["name"])) == n), F.lit(-1))["value"])
-    return F.map_from_arrays(named, last)
+    return F.map_from_entries(unique_headers(headers))
 
 
 def flatten_exchange(exchanges: DataFrame) -> DataFrame:
@@ -47,7 +52,7 @@ def summarize(exchanges: DataFrame) -> DataFrame:
 
 
 def named_values(exchanges: DataFrame) -> DataFrame:
-    """Every named value of an exchange with its location: (location, url, name, value)."""
+    """Every named value of an exchange with its location: (location, source_url, name, value)."""
     c = F.col
 
     def at(location: str, pairs: Column) -> Column:
@@ -68,10 +73,12 @@ def named_values(exchanges: DataFrame) -> DataFrame:
         one("request body", "request_body", c("request_body")), at("request body", c("req_leaves")),
         at("request body", c("form_params")),
         one("response body", "response_body", c("response_body")), at("response body", c("resp_leaves")))
-    leaves = exchanges.withColumns({"req_leaves": body_leaves(c("request_body")),
-                                    "resp_leaves": body_leaves(c("response_body"))})
-    return leaves.select("source_file", "entry_idx", "url", F.explode(values).alias("v")).select(
-        "source_file", "entry_idx", "url", "v.location", "v.name", "v.value")
+    # the URL is redacted once per exchange, before its values are spread out
+    leaves = exchanges.withColumns({
+        "req_leaves": body_leaves(c("request_body")), "resp_leaves": body_leaves(c("response_body")),
+        "source_url": redact(c("url"))})
+    return leaves.select("source_file", "entry_idx", "source_url", F.explode(values).alias("v")).select(
+        "source_file", "entry_idx", "source_url", "v.location", "v.name", "v.value")
 
 
 def sensitive_material(exchanges: DataFrame) -> DataFrame:
@@ -81,9 +88,8 @@ def sensitive_material(exchanges: DataFrame) -> DataFrame:
     categories are spread out afterwards.
     """
     masked = (named_values(exchanges)
-              .withColumn("mask", category_mask(F.col("name"), F.col("value")))
-              .filter("mask != 0")
-              .select("source_file", "location", redact(F.col("url")).alias("source_url"), "name", "mask"))
+              .select("source_file", "location", "source_url", "name",
+                      category_mask(F.col("name"), F.col("value")).alias("mask")))
     merged = masked.groupBy("source_file", "location", "source_url", "name").agg(F.bit_or("mask").alias("mask"))
     return (merged.select("source_file", "location", "source_url", "name",
                           F.explode(CATEGORIES.array(F.col("mask"))).alias("category"))

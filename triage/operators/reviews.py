@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triage import rules
-from triage.functions.tags import TagSet, contains_any, present
+from triage.functions.tags import TagSet, contains_any, let, present
 from triage.functions.text import CATEGORIES, redact
 from triage.functions.urls import host, path, root_domain
-from triage.operators.exchanges import header, header_or_empty
+from triage.operators.exchanges import header, header_or_empty, unique_headers
 
 COOKIE_RISKS = TagSet(rules.COOKIE_RISKS)
 _STRINGS = "array<string>"
@@ -70,8 +70,8 @@ def review_cookies(exchanges: DataFrame) -> DataFrame:
                                         lambda p: F.trim(F.substring_index(p, "=", 1))), lambda n: n != "")
     seen_all = F.concat(seen("request cookie", cookie_names), seen("request Cookie header", header_names),
                         seen("response Set-Cookie header", set_cookies(exchanges)))
-    rows = (exchanges.select("source_file", "entry_idx", redact(F.col("url")).alias("source_url"),
-                             F.explode(seen_all).alias("s"))
+    rows = (exchanges.withColumn("source_url", redact(F.col("url")))
+            .select("source_file", "entry_idx", "source_url", F.explode(seen_all).alias("s"))
             .select("source_file", "entry_idx", "source_url", "s.source", "s.raw", "s.pos"))
     response = F.col("source") == "response Set-Cookie header"
     rows = rows.withColumn("c", parse_set_cookie(F.col("raw")))
@@ -161,35 +161,35 @@ def cookie_observations(exchanges: DataFrame) -> DataFrame:
 
 def review_headers(exchanges: DataFrame) -> DataFrame:
     """Observed security headers and the expected ones that are absent, one row each."""
-    headers = F.col("response_headers")
+    def row(name, value, classification, observation) -> Column:
+        return F.struct(name.alias("header"), value.alias("value"), classification.alias("classification"),
+                        observation.alias("observation"))
 
-    def observed(name: str) -> Column:
-        value = redact(header(headers, name))
-        wildcard = (value == "*") if name == "access-control-allow-origin" else F.lit(False)
-        return F.when(value.isNotNull(), F.struct(
-            F.lit(name).alias("header"), value.alias("value"),
-            F.when(wildcard, "needs manual review").otherwise("informational").alias("classification"),
-            F.when(wildcard, "Wildcard CORS origin observed; assess with credentials and data sensitivity.")
-            .otherwise("Header observed; validate its policy in application context.").alias("observation")))
+    def observed(h) -> Column:
+        wildcard = (h["name"] == "access-control-allow-origin") & (h["value"] == "*")
+        return row(h["name"], redact(h["value"]), F.when(wildcard, "needs manual review").otherwise("informational"),
+                   F.when(wildcard, "Wildcard CORS origin observed; assess with credentials and data sensitivity.")
+                   .otherwise("Header observed; validate its policy in application context."))
 
-    def missing(name: str) -> Column:
-        return F.when(header(headers, name).isNull(), F.struct(
-            F.lit(name).alias("header"), F.lit("<missing>").alias("value"),
-            F.lit("informational").alias("classification"),
-            F.lit("Header not observed in this response; applicability requires manual review.").alias("observation")))
+    def missing(name) -> Column:
+        return row(name, F.lit("<missing>"), F.lit("informational"), F.lit(
+            "Header not observed in this response; applicability requires manual review."))
 
-    found = F.array_compact(F.array(*[observed(n) for n in rules.REVIEWED_HEADERS],
-                                    *[missing(n) for n in rules.EXPECTED_HEADERS]))
-    return exchanges.select("source_file", "entry_idx", redact(F.col("url")).alias("source_url"), F.inline(found))
+    def review(hs) -> Column:
+        seen = F.filter(hs, lambda h: h["name"].isin(rules.REVIEWED_HEADERS))
+        absent = F.array_except(F.array(*[F.lit(n) for n in rules.EXPECTED_HEADERS]), F.transform(hs, lambda h: h["name"]))
+        return F.concat(F.transform(seen, observed), F.transform(absent, missing))
+
+    found = let(unique_headers(F.col("response_headers")), review)
+    return (exchanges.withColumn("source_url", redact(F.col("url")))
+            .select("source_file", "entry_idx", "source_url", F.inline(found)))
 
 
 def security_headers(exchanges: DataFrame) -> DataFrame:
     """Security headers present in a response, with content-policy weaknesses."""
-    found = F.array_compact(F.array(*[
-        F.when(header(F.col("response_headers"), n).isNotNull(),
-               F.struct(F.lit(n).alias("header_name"), header(F.col("response_headers"), n).alias("value")))
-        for n in rules.OBSERVED_SECURITY_HEADERS]))
-    rows = exchanges.select("source_file", "entry_idx", "url", "status", F.inline(found))
+    kept = F.filter(unique_headers(F.col("response_headers")), lambda h: h["name"].isin(rules.OBSERVED_SECURITY_HEADERS))
+    rows = exchanges.select("source_file", "entry_idx", "url", "status", F.inline(kept)).withColumnRenamed(
+        "name", "header_name")
     low = F.lower("value")
     weak = present(
         (low.contains("'unsafe-inline'"), "csp-unsafe-inline"), (low.contains("'unsafe-eval'"), "csp-unsafe-eval"),

@@ -117,7 +117,13 @@ def staged_sql(source: str, stages) -> str:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A test table, spread over the cores when its file has fewer splits than there are cores.
+
+    A large table has more splits than cores and is left as it is scanned.
+    """
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def event_rows(spark: SparkSession, sf: str) -> DataFrame:

@@ -231,6 +231,13 @@ SECRET_PATTERNS = [
         r"""\s*[:=]\s*["']?([^"'\s,;}]{8,})""",
     ),
 ]
+# Words one of which any match must hold; "lower:" words are looked up in the lower-cased text.
+SECRET_PRETESTS = {
+    "jwt": ["eyJ"], "bearer-token": ["lower:bearer"], "private-key": ["-----BEGIN "], "cloud-key": ["AKIA"],
+    "stripe-publishable-key": ["pk_"], "sentry-dsn": ["https://"], "analytics-id": ["UA-", "G-"],
+    "oauth-client-id": [".apps.googleusercontent.com"],
+    "api-key": ["lower:key", "lower:secret", "lower:token", "lower:session"],
+}
 RUNTIME_CONFIG = (
     r"(?Udi)(__NEXT_DATA__|window\.(?:__INITIAL_STATE__|__APP_CONFIG__|"
     r"__RUNTIME_CONFIG__|__NUXT__)|import\.meta\.env|process\.env|"
