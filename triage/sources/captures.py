@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triage.functions.tags import let
+from triage.functions.text import strip
 from triage.schemas import PAIRS
 
 _COOKIES = "array<struct<name:string,value:string,path:string,secure:boolean,httpOnly:boolean,sameSite:string>>"
@@ -55,7 +56,7 @@ def _parsed(captures: DataFrame) -> DataFrame:
     """
     def judge(text, raw, entries):
         fault = F.array_compact(F.transform(entries, lambda x: x["fault"]))
-        reason = (F.when(F.trim(text) == "", F.lit("HAR file is empty"))
+        reason = (F.when(strip(text) == "", F.lit("HAR file is empty"))
                   .when(F.get_json_object(text, "$").isNull(), F.lit("Invalid JSON in HAR file"))
                   .when(~text.rlike(r"^\s*+\{"), F.lit("HAR root must be a JSON object"))
                   .when(raw.isNull(), F.lit("HAR must contain a log.entries list"))
