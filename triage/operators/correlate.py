@@ -150,14 +150,15 @@ def workspace_items(workspaces: DataFrame) -> DataFrame:
     ready = ((F.lower(F.coalesce("status", F.lit(""))) == "ready") & filled("impact") & some("evidence_items")
              & some("reproduction_steps") & filled("severity_rationale") & ~some("quality_warnings"))
     null = lambda t: F.lit(None).cast(t)
+    given = lambda c: F.col(c) if c in workspaces.columns else null("string")
     return workspaces.select(
         F.concat(F.lit("workspace:"), "id").alias("artifact_id"), F.lit("evidence_workspace").alias("artifact_type"),
         F.lit("evidence_workspace").alias("source_module"), F.lit("workspaces").alias("list_name"),
         F.lit(0).cast("bigint").alias("item_pos"), F.col("id").alias("item_id"), null("string").alias("url"),
         F.try_element_at("affected_assets", F.lit(1)).alias("asset"), null("string").alias("path"),
-        null("string").alias("method"), "title", null("string").alias("name"),
+        given("method").alias("method"), "title", null("string").alias("name"),
         F.when(ready, "evidence-ready").otherwise("evidence-gap").alias("item_type"),
-        F.col("severity_estimate").alias("severity"), "confidence", F.col("tags").alias("risk_tags"),
+        given("severity").alias("severity"), "confidence", F.col("tags").alias("risk_tags"),
         null("string").alias("evidence"), null("string").alias("endpoint_id"), null("string").alias("expected"),
         null("string").alias("observed"), null("boolean").alias("mismatch"))
 

@@ -67,7 +67,7 @@ _SIGTAGS = "[" + ", ".join(q(t) for t in rules.ENDPOINT_SIGNAL_TAGS) + "]"
 ITEMS = f"""with it0 as (select *, list_filter([tag1, tag2], lambda z: z is not null) as tags from {_ITEM} union all by name
  select 'workspace:' || id as artifact_id, 'evidence_workspace' as artifact_type, 'evidence_workspace' as source_module, 'workspaces' as list_name,
  cast(0 as bigint) as item_pos, id as item_id, asset, title, case when status = 'ready' and impact <> '' and doc_id % 8 <> 0 and rationale <> ''
- then 'evidence-ready' else 'evidence-gap' end as item_type, severity, 'medium' as confidence, cast([] as varchar[]) as tags from {_WS}),
+ then 'evidence-ready' else 'evidence-gap' end as item_type, cast(null as varchar) as severity, 'medium' as confidence, cast([] as varchar[]) as tags from {_WS}),
  eps as (select artifact_id, item_id as endpoint_id, arg_max({{'url': url, 'method': method}}, item_pos) as ep from it0
  where artifact_type = 'graphql_inventory' and list_name = 'endpoints' group by all),
  it1 as (select it0.* exclude (url, method), case when artifact_type = 'graphql_inventory' and list_name <> 'endpoints' then coalesce(ep.url, '') else url end
