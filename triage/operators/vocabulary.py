@@ -20,7 +20,6 @@ from triage.functions.text import strip
 from triage.functions.urls import path, unquote
 
 TERM_TAGS = TagSet(list(rules.TERM_TAG_WORDS))
-_TERM = "array<struct<value:string,category:string,classify:boolean,context:string>>"
 
 
 def _unquoted(text: Column) -> Column:
@@ -71,9 +70,9 @@ def term_tag_mask(normalized: Column, category: Column) -> Column:
 
 
 def _terms(values: Column, category: str, context: str, classify: bool = False) -> Column:
-    return F.transform(values, lambda v: F.struct(
-        v.cast("string").alias("value"), F.lit(category).alias("category"), F.lit(classify).alias("classify"),
-        F.lit(context).alias("context"))).cast(_TERM)
+    """Values of one kind; the kind is stated once per list, not once per value."""
+    return F.struct(values.cast("array<string>").alias("values"), F.lit(category).alias("category"),
+                    F.lit(classify).alias("classify"), F.lit(context).alias("context"))
 
 
 def _one(value: Column) -> Column:
@@ -84,8 +83,9 @@ def _parts(values: Column, context: str) -> Column:
     return _terms(F.flatten(F.transform(values, split_term)), "route_segment", context, True)
 
 
-def _emit(df: DataFrame, source_type: Column, *term_arrays: Column) -> DataFrame:
-    return df.select("source_file", source_type.alias("source_type"), F.inline(F.concat(*term_arrays)))
+def _emit(df: DataFrame, source_type: Column, *kinds: Column) -> DataFrame:
+    lists = df.select("source_file", source_type.alias("source_type"), F.inline(F.array(*kinds)))
+    return lists.select("source_file", "source_type", "category", "classify", "context", F.explode("values").alias("value"))
 
 
 def _names(pairs: str) -> Column:
@@ -109,26 +109,34 @@ def terms_from_exchanges(exchanges: DataFrame) -> DataFrame:
         _terms(json_keys(c("response_body")), "response_key", "JSON key", True))
 
 
-def _found(pattern: str, group: int) -> Column:
-    return F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
+def _found(pattern: str, group: int, *words: str) -> Column:
+    """All matches in ``text``; the pattern runs only where one of the words occurs (lower-cased words anywhere)."""
+    got = F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
+    if not words:
+        return got
+    return F.when(contains_any(F.col("lowered"), words), got).otherwise(F.array().cast("array<string>"))
 
 
 def terms_from_text(artifacts: DataFrame) -> DataFrame:
     """Raw terms of texts: paths, form fields, properties, headers, cookies, storage keys, identifiers."""
-    routes = F.transform(_found(rules.TERM_PATH, 1), lambda r: F.rtrim(r, F.lit(".,;)")))
-    properties = F.zip_with(_found(rules.TERM_PROPERTY, 1), _found(rules.TERM_PROPERTY, 2),
+    headers = ("x-", "authorization", "content-type", "accept-language")
+    operations = ("query", "mutation", "subscription")
+    routes = F.transform(_found(rules.TERM_PATH, 1, "/"), lambda r: F.rtrim(r, F.lit(".,;)")))
+    dotted = (".", "'", '"')
+    properties = F.zip_with(_found(rules.TERM_PROPERTY, 1, *dotted), _found(rules.TERM_PROPERTY, 2, *dotted),
                             lambda a, b: F.when(a != "", a).otherwise(b))
     source_type = F.when(F.col("suffix") == "", "text").otherwise(F.ltrim("suffix", F.lit(".")))
+    found = artifacts.withColumn("lowered", F.lower("text")).withColumn("routes", routes)
     return _emit(
-        artifacts, source_type,
-        _terms(routes, "endpoint_path", "path"), _parts(routes, "path segment"),
-        _terms(_found(rules.TERM_FORM_FIELD, 1), "form_field", "HTML form field"),
+        found, source_type,
+        _terms(F.col("routes"), "endpoint_path", "path"), _parts(F.col("routes"), "path segment"),
+        _terms(_found(rules.TERM_FORM_FIELD, 1, "<input", "<select", "<textarea"), "form_field", "HTML form field"),
         _terms(properties, "json_key", "object property", True),
-        _terms(_found(rules.TERM_HEADER, 0), "header_name", "header-like name"),
-        _terms(_found(rules.TERM_COOKIE, 1), "cookie_name", "cookie-like name"),
-        _terms(_found(rules.TERM_STORAGE_KEY, 1), "object_name", "browser storage key", True),
-        _terms(_found(rules.TERM_GQL_OPERATION, 2), "graphql_operation", "GraphQL operation"),
-        _terms(_found(rules.TERM_GQL_VARIABLE, 1), "graphql_variable", "GraphQL variable"),
+        _terms(_found(rules.TERM_HEADER, 0, *headers), "header_name", "header-like name"),
+        _terms(_found(rules.TERM_COOKIE, 1, "cookie"), "cookie_name", "cookie-like name"),
+        _terms(_found(rules.TERM_STORAGE_KEY, 1, "storage"), "object_name", "browser storage key", True),
+        _terms(_found(rules.TERM_GQL_OPERATION, 2, *operations), "graphql_operation", "GraphQL operation"),
+        _terms(_found(rules.TERM_GQL_VARIABLE, 1, "$"), "graphql_variable", "GraphQL variable"),
         _terms(_found(rules.TERM_IDENTIFIER, 0), "javascript_identifier", "identifier", True))
 
 
