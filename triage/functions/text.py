@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from triage import rules
-from triage.functions.tags import TagSet, let, present
+from triage.functions.tags import TagSet, contains_any, let, present
 
 CATEGORIES = TagSet(rules.SENSITIVE_CATEGORIES)
 SENTINEL = "\x01"
@@ -76,15 +76,22 @@ def redaction_audit(df: DataFrame, text: str, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode(redaction_classes(F.col(text))).alias("redaction_class"))
 
 
-def category_mask(name: Column, value: Column) -> Column:
-    """Sensitive categories of a named value, as a mask over ``CATEGORIES``."""
-    low = F.lower(name)
-    combined = F.concat(name, F.lit("="), value)
+def category_mask(name: Column, value: Column, low: Column | None = None, low_value: Column | None = None) -> Column:
+    """Sensitive categories of a named value, as a mask over ``CATEGORIES``.
+
+    Substring tests on the lower-cased texts decide which patterns run; pass those
+    texts as columns where many values are judged.
+    """
+    low = F.lower(name) if low is None else low
+    low_value = F.lower(value) if low_value is None else low_value
+    key_words = ["key", "secret", "token"]
+    may_key = contains_any(low, key_words) | contains_any(low_value, key_words)
+    sensitive_name = low.rlike("api[_-]?key") | contains_any(low, rules.SENSITIVE_NAME_WORDS)
     return CATEGORIES.mask({
         "bearer_token": low.contains("authorization") & value.rlike(rules.BEARER_VALUE),
         "jwt": value.contains("eyJ") & value.rlike(rules.JWT_VALUE),
         "api_key": (low.contains("api") & low.contains("key"))
-        | (combined.rlike("(?i)key|secret|token") & combined.rlike(rules.API_KEY_VALUE)),
+        | (may_key & F.concat(name, F.lit("="), value).rlike(rules.API_KEY_VALUE)),
         "session": low.contains("session"),
         "csrf_token": low.contains("csrf") | low.contains("xsrf"),
         "oauth_authorization_code": (low.contains("oauth") & low.contains("code"))
@@ -92,7 +99,7 @@ def category_mask(name: Column, value: Column) -> Column:
         "refresh_token": low.contains("refresh") & low.contains("token"),
         "email": value.contains("@") & value.rlike(rules.EMAIL_VALUE),
         "phone_number": value.rlike("\\d{4}") & value.rlike(rules.PHONE_VALUE),
-        "sensitive_key_value": name.rlike(rules.SENSITIVE_NAME) & (value != ""),
+        "sensitive_key_value": sensitive_name & (value != ""),
     })
 
 

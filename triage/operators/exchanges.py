@@ -87,9 +87,11 @@ def sensitive_material(exchanges: DataFrame) -> DataFrame:
     Masks of one (file, location, URL, name) are or-ed before the shuffle; the
     categories are spread out afterwards.
     """
+    # values without a category leave here; exploded, because a filter on the mask would compute it twice
+    some = F.filter(F.array(category_mask(*map(F.col, ("name", "value", "low", "low_value")))), lambda m: m != 0)
     masked = (named_values(exchanges)
-              .select("source_file", "location", "source_url", "name",
-                      category_mask(F.col("name"), F.col("value")).alias("mask")))
+              .withColumns({"low": F.lower("name"), "low_value": F.lower("value")})
+              .select("source_file", "location", "source_url", "name", F.explode(some).alias("mask")))
     merged = masked.groupBy("source_file", "location", "source_url", "name").agg(F.bit_or("mask").alias("mask"))
     return (merged.select("source_file", "location", "source_url", "name",
                           F.explode(CATEGORIES.array(F.col("mask"))).alias("category"))

@@ -40,7 +40,8 @@ def split_term(text: Column) -> Column:
 def is_useful(normalized: Column) -> Column:
     n = normalized
     return ((n != "") & ~is_in(n, rules.STOPWORDS) & F.length(n).between(2, 180) & ~n.rlike(r"^\p{Nd}+\z")
-            & ~n.rlike(rules.SECRET_LOOKING_TERM) & ~n.startswith("<redacted-"))
+            & ~(n.rlike("bearer|eyj|secret|password|token|api|session") & n.rlike(rules.SECRET_LOOKING_TERM))
+            & ~n.startswith("<redacted-"))
 
 
 def classify_term(normalized: Column, default: Column) -> Column:
@@ -223,10 +224,18 @@ def aggregate_terms(raw: DataFrame) -> DataFrame:
     return _finish(counted)
 
 
+def _useful_form(value: Column) -> Column:
+    """Array of the normalized value, empty if it is not useful.
+
+    Exploded rather than filtered: a filter on the normalized value would be moved
+    under the projection and normalize once per test.
+    """
+    return F.filter(F.array(normalize_term(value)), lambda n: is_useful(n))
+
+
 def _clean(counted: DataFrame) -> DataFrame:
     rows = counted.withColumn("value", strip(F.col("value")))
-    rows = rows.withColumn("normalized_value", normalize_term(F.col("value")))
-    rows = rows.filter(is_useful(F.col("normalized_value")))
+    rows = rows.withColumn("normalized_value", F.explode(_useful_form(F.col("value"))))
     return rows.withColumn("category", F.when(
         F.col("classify"), classify_term(F.col("normalized_value"), F.col("category"))).otherwise(F.col("category")))
 
@@ -328,5 +337,5 @@ def term_variants(terms: DataFrame) -> DataFrame:
                     F.expr("substring(camel, 1, length(camel) - 1)")).otherwise(F.concat("camel", F.lit("s")))
     forms = F.array_distinct(F.array("camel", F.array_join("w", "_"), F.array_join("w", "-"), "flat", F.upper("flat"),
                                      plural))
-    return (df.select("normalized_value", "category", F.explode(forms).alias("variant"))
-            .filter(is_useful(normalize_term(F.col("variant")))))
+    useful = F.filter(forms, lambda v: is_useful(normalize_term(v)))
+    return df.select("normalized_value", "category", F.explode(useful).alias("variant"))
