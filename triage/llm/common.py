@@ -184,3 +184,22 @@ def by_key(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
                 held.append(batch.slice(lo, hi - lo))
     if held:
         yield pa.Table.from_batches(held)
+
+
+def forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of links between numbers below n, as many as connect what they all connect: fewer than n."""
+    parent = list(range(n))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    kept = []
+    for e, (p, q) in enumerate(zip(i.tolist(), j.tolist())):
+        r, s = root(p), root(q)
+        if r != s:
+            parent[s] = r
+            kept.append(e)
+    return i[kept], j[kept]

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triage.llm.common import components, land
+from triage.llm.common import components, forest, land
 
 COSINE = 0.93
 DIRECTIONS = 8
@@ -184,21 +184,8 @@ def _found(xs, ps, ids, same: bool, cosine: float, eps: float) -> Iterator[pa.Re
     reps = ids[0][0] if same else np.append(ids[0][0], ids[1][0])
     copies = ids[0][1] if same else np.append(ids[0][1], ids[1][1])
     count = np.bincount(i, copies[other], len(reps)) + np.bincount(other, copies[i], len(reps))
-    parent = list(range(len(reps)))
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    edges = []
-    for p, q in zip(i.tolist(), other.tolist()):
-        r, s = root(p), root(q)
-        if r != s:
-            parent[s] = r
-            edges.append((p, q))
-    a, b = (reps[np.array(v)] for v in zip(*edges))
+    p, q = forest(i, other, len(reps))
+    a, b = reps[p], reps[q]
     at = np.flatnonzero(count)
     yield pa.RecordBatch.from_arrays(
         [pa.array(np.repeat([0, 1], [len(a), len(at)]).astype(np.int32)), pa.array(np.append(a, reps[at])),
