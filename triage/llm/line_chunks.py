@@ -62,7 +62,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     marked = land(marked, "line-marks")
 
     # bytes of the marked chunks only
-    body = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(marked, "__id").select(
+    body = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(marked.hint("merge"), "__id").select(
         "__id", F.split("__text", "\n", -1).alias("__lines"), "marks")
     body = body.select("__id", F.explode(F.transform("marks", lambda m: F.struct(
         m["start"].alias("start"), m["stop"].alias("stop"), m["h"].alias("h"), m["is_first"].alias("is_first"),
@@ -72,7 +72,8 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     gone = later.select("__id", "start", "stop").distinct().groupBy("__id").agg(
         F.collect_list(F.struct("start", "stop")).alias("__gone"))
 
-    out = docs.join(gone.withColumnRenamed("__id", "__gone_id"), F.col(doc_id) == F.col("__gone_id"), "left").drop("__gone_id")
+    # what is marked and what goes grows with the corpus, so neither is broadcast
+    out = docs.join(gone.withColumnRenamed("__id", "__gone_id").hint("merge"), F.col(doc_id) == F.col("__gone_id"), "left").drop("__gone_id")
     lines = F.split(F.col(text), "\n", -1)
     kept = F.filter(lines, lambda line, i: ~F.exists("__gone", lambda g: (i >= g["start"]) & (i < g["stop"])))
     removed = F.aggregate("__gone", F.lit(0).cast("long"), lambda n, g: n + g["stop"] - g["start"])
