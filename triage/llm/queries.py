@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triage.llm import chat_tools, decontaminate, embed_join, line_chunks, ngram_join, packing, pii, secrets, toxicity
+from triage.llm import chat_tools, decontaminate, embed_join, line_chunks, ngram_join, packing, pii, secrets, suffix_dedup, toxicity
 from triage.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "n_links")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest_rows(suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     hits = decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark"))
@@ -111,6 +115,6 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secrets": op1_secrets, "op2_pii": op2_pii, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing,
     "op5_embedding_join": op5_embedding_join, "op6_ngram_join": op6_ngram_join,
-    "op8_decontamination": op8_decontamination, "op9_line_dedup": op9_line_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup, "op8_decontamination": op8_decontamination, "op9_line_dedup": op9_line_dedup,
     "op10_tool_calls": op10_tool_calls,
 }
