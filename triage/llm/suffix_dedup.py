@@ -2,14 +2,16 @@
 
 1. Equal texts are one text; later ones repeat the first whole.
 2. Of every window of ``length`` bytes the gram of GRAM bytes with the smallest hash is its minimizer.  Equal windows have equal minimizers, so
-   only minimizers that two texts share can lie in a repeat (about one row for 16 bytes is shuffled, without text).
-3. The surroundings of shared minimizers are dealt out by minimizer: all equal windows meet in one task.  There the suffixes of the distinct
-   surroundings are sorted by the difference-cover method: triples at two of three positions are sorted and named, the names are sorted
-   recursively, the remaining suffixes are sorted by one symbol and a name and merged in; then prefixes of adjacent suffixes are
-   compared over ``length`` bytes, and the smallest id of each run of equal ones decides.
-4. Removed windows become spans of each document.
-
-Texts are written once, bucketed by id, so that none of the three joins with them shuffles a text.
+   only minimizers that two texts share can lie in a repeat (about one row for 14 bytes is shuffled, without text).
+3. Of the surroundings of shared minimizers first only hashes are dealt out, by minimizer.  Surroundings that an earlier document has whole are
+   decided by that; the middle of a long repeat ends here.
+4. Where a minimizer has different surroundings, the first document of each sends its bytes, dealt out by minimizer: all equal windows meet in one
+   task.  There the suffixes are sorted by the difference-cover method: triples at two of three positions are sorted and named, the
+   names are sorted recursively, the remaining suffixes are sorted by one symbol and a name and merged in; then prefixes of adjacent
+   suffixes are compared over ``length`` bytes, and the smallest id of each run of equal ones decides.
+5. Removed windows become spans of each document.
+
+Texts are written once, bucketed by id, so that no join with them shuffles a text.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import types as T
 from triage.llm.common import _BYTE, _powers_to, by_key, land, mix, small_batches, text_bytes
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
 #: Bytes of a text looked at together, and of surroundings sorted together (a minimizer's distinct surroundings are never parted).
 PIECE = 1 << 19
 SORTED = 1 << 20
@@ -55,7 +57,7 @@ def minimizers(raw: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.nda
 
 
 def suffix_order(t: np.ndarray) -> np.ndarray:
-    """Suffix array of symbols 1 … 2²¹-4 by the difference cover {1, 2} modulo 3."""
+    """Suffix array of positive symbols below 2²¹, or below 2³¹ for a million and more, by the difference cover {1, 2} modulo 3."""
     n = len(t)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: t[i:].tolist()), np.int64)
@@ -63,7 +65,12 @@ def suffix_order(t: np.ndarray) -> np.ndarray:
     # the sample also has the empty suffix where n is 1 modulo 3, so that its two parts stay apart
     one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
     sample = np.append(one, two)
-    triple = (padded[sample] << 42) | (padded[sample + 1] << 21) | padded[sample + 2]
+    if n >= 1 << 20:  # pairs are named first, so that three symbols fit 64 bits
+        pair = np.append(np.unique((padded[:-1] << 32) | padded[1:], return_inverse=True)[1], 0)
+    else:
+        pair = (padded << 21) | np.append(padded[1:], 0)
+    shift = 32 if n >= 1 << 20 else 21
+    triple = (pair[sample] << shift) | padded[sample + 2]
     values, names = np.unique(triple, return_inverse=True)
     if len(values) == len(sample):
         order = np.argsort(names, kind="stable")
@@ -77,12 +84,12 @@ def suffix_order(t: np.ndarray) -> np.ndarray:
     by_one = (padded[rest] << 32) | rank[rest + 1]
     turn = np.argsort(by_one, kind="stable")
     rest, by_one = rest[turn], by_one[turn]
-    by_two = (padded[rest] << 42) | (padded[rest + 1] << 21) | rank[rest + 2]
+    by_two = (pair[rest] << shift) | rank[rest + 2]
     # merged by counting, for each of the rest, the sampled suffixes before it, and the other way round
     own = order[order % 3 == 1]
     key_one = (padded[own] << 32) | rank[own + 1]
     other = order[order % 3 == 2]
-    key_two = (padded[other] << 42) | (padded[other + 1] << 21) | rank[other + 2]
+    key_two = (pair[other] << shift) | rank[other + 2]
     out = np.empty(n, np.int64)
     out[np.arange(len(rest)) + np.searchsorted(key_one, by_one) + np.searchsorted(key_two, by_two)] = rest
     out[rank[own] - 1 + np.searchsorted(by_one, key_one)] = own
@@ -119,7 +126,7 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     A byte goes if a string of ``length`` bytes over it also starts in a row with a smaller id; strings are judged on the input.  Null and
     short texts keep everything.  Rows that share an id are no repeats of one another; rows with a null id keep all their bytes and
     are no one's repeat.  Minimizers are compared by 48 bits of a hash, which only ever adds work; windows are compared byte by byte, equal whole
-    texts by a 64-bit hash and their length.
+    texts and equal surroundings of one minimizer by a 64-bit hash and their length.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -149,20 +156,36 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            out: list[tuple] = []
-            for i, (d, g, w) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "digest", "wanted")))):
-                raw = data[offsets[i] : offsets[i + 1]]
+            for i, (d, w) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "wanted")))):
+                raw, w = data[offsets[i] : offsets[i + 1]], np.sort(np.array(w, np.int64))
                 for h, lo, hi in minimizers(raw, length, gram):
-                    for k in np.flatnonzero(np.isin(h, np.array(w, np.int64))).tolist():
-                        out.append((int(h[k]), d, g, int(lo[k]), raw[lo[k] : hi[k] + length].tobytes()))
-            columns = list(zip(*out)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())],
-                                             names=["h", "doc_id", "digest", "at", "around"])
+                    k = w[np.minimum(np.searchsorted(w, h), len(w) - 1)] == h
+                    h, lo, hi = h[k], lo[k], hi[k] + length
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h), pa.array(_range_hashes(raw, lo, hi)), pa.array(np.full(len(h), d)), pa.array(lo), pa.array((hi - lo).astype(np.int32))],
+                        names=["h", "around", "doc_id", "at", "n"])
 
     marked = first.join(wanted.hint("merge"), "doc_id")
-    spread = marked.mapInArrow(around, "h long, doc_id long, digest long, at long, around binary").repartition("h").sortWithinPartitions("h")
-    runs = land(spread.mapInArrow(_judge(length), "doc_id long, digest long, lo long, hi long"), "repeat-runs")
-    runs = runs.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    spread = marked.mapInArrow(around, "h long, around long, doc_id long, at long, n int").repartition("h").sortWithinPartitions(
+        "h", "around", "doc_id", "at")
+    seen = land(spread.mapInArrow(_seen, "h long, doc_id long, at long, n int, gone boolean"), "repeat-seen")
+
+    open_ = seen.where("not gone").groupBy("doc_id").agg(F.collect_list(F.struct("h", "at", "n")).alias("open"))
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("text"))
+            for i, (d, own) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("open").to_pylist())):
+                raw = data[offsets[i] : offsets[i + 1]]
+                own = [o for o in own if o["at"] + o["n"] <= len(raw)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([o["h"] for o in own], pa.int64()), pa.array([d] * len(own), pa.int64()), pa.array([o["at"] for o in own], pa.int64()),
+                     pa.array([raw[o["at"] : o["at"] + o["n"]].tobytes() for o in own], pa.binary())], names=["h", "doc_id", "at", "around"])
+
+    told = first.join(open_.hint("merge"), "doc_id").mapInArrow(contexts, "h long, doc_id long, at long, around binary")
+    judged = told.repartition("h").sortWithinPartitions("h").mapInArrow(_judge(length), "doc_id long, lo long, hi long")
+    runs = land(judged, "repeat-runs").unionAll(seen.where("gone").select("doc_id", F.col("at").alias("lo"), (F.col("at") + F.col("n")).alias("hi")))
+    runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")).join(firsts, "doc_id").select("doc_id", "digest", "runs")
 
     kept = firsts.withColumnRenamed("doc_id", "first")
     whole = texts.select("doc_id", "digest", "n").join(kept, ["digest", "n"]).where("doc_id > first").select(
@@ -201,34 +224,88 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out_h), pa.array(out_d)], names=["h", "doc_id"])
 
 
+def _range_hashes(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges that may overlap, sorted by their starts."""
+    if not len(lo):
+        return np.empty(0, np.int64)
+    part = raw[lo[0] : hi[-1]]
+    up, down = _powers_to(len(part) + 1)
+    sums = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum(_BYTE[part] * up[: len(part)], out=sums[1:])
+    s, e = lo - lo[0], hi - lo[0]
+    return mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)).view(np.int64)
+
+
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (h, around, doc_id): gone, the surroundings that a smaller id has too; not gone, those of the smallest id if their
+    h has several surroundings.  Rows are read once, in order; those of the last h wait until it is known to have several."""
+    last_h, last_a, first_d, several = None, None, 0, False
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch.column(k).to_numpy() for k in range(5)]
+        h, a, d = rows[:3]
+        new_h = np.append(last_h is None or h[0] != last_h, h[1:] != h[:-1])
+        new = new_h | np.append(last_a is None or a[0] != last_a, a[1:] != a[:-1])
+        heads = np.flatnonzero(new)
+        low = np.full(len(h), first_d, np.int64)
+        if len(heads):
+            low[heads[0] :] = np.repeat(d[heads], np.diff(np.append(heads, len(h))))
+        gone = d > low
+        group = np.cumsum(new_h)  # 0 goes on from the batch before
+        count = np.bincount(group[heads], minlength=group[-1] + 1)
+        many = count > 1
+        many[0] = several or count[0] > 0
+        pick = lambda at: tuple(c[at] for c in (*rows[:1], *rows[2:]))
+        out = [(*pick(gone), True)]
+        if many[0]:
+            out += [(*x, False) for x in held]
+        if many[0] or group[-1] > 0:
+            held = []
+        own = ~gone
+        out.append((*pick(own & many[group]), False))
+        if not many[group[-1]]:
+            held.append(pick(own & (group == group[-1])))
+        several = bool(many[group[-1]])
+        last_h, last_a, first_d = h[-1], a[-1], int(low[-1])
+        columns = [np.concatenate(c) for c in zip(*(x[:4] for x in out))]
+        marks = np.repeat([x[4] for x in out], [len(x[0]) for x in out])
+        yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in columns[:3]), pa.array(columns[3].astype(np.int32)), pa.array(marks)],
+                                         names=["h", "doc_id", "at", "n", "gone"])
+
+
 def _judge(length: int):
-    """Runs of windows [lo, hi) in bytes that an earlier document has."""
+    """Runs of windows [lo, hi) in bytes that an earlier document has, of surroundings sorted by h."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict[bytes, list[tuple[int, int, int]]]] = []
+        held: list[pa.Table] = []
         size = 0
         for group in by_key(batches, ["h"]):
-            own: dict[bytes, list[tuple[int, int, int]]] = {}
-            for d, g, at, around in zip(*(group.column(c).to_pylist() for c in ("doc_id", "digest", "at", "around"))):
-                own.setdefault(around, []).append((d, g, at))
-            held.append(own)
-            size += sum(len(a) + 1 for a in own)
+            held.append(group)
+            size += group.column("around").nbytes
             if size >= SORTED:
                 yield from decide(held)
                 held, size = [], 0
         if held:
             yield from decide(held)
 
-    def decide(held: list[dict]) -> Iterator[pa.RecordBatch]:
-        # equal surroundings are sorted once, under their smallest id
-        contexts = [(a, rows) for own in held for a, rows in own.items()]
-        low = np.array([min(r[0] for r in rows) for _, rows in contexts], np.int64)
-        out: list[tuple[int, int, int, int]] = []
-        for (_, rows), first in zip(contexts, earliest([a for a, _ in contexts], low, length)):
-            for d, g, at in rows:
-                gone = np.flatnonzero(np.diff(np.concatenate([[0], (first < d).astype(np.int8), [0]])))
-                out.extend((d, g, at + lo, at + hi - 1 + length) for lo, hi in zip(gone[::2].tolist(), gone[1::2].tolist()))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "digest", "lo", "hi"])
+    def decide(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        rows = pa.concat_tables(held)
+        docs, at = (rows.column(c).to_numpy() for c in ("doc_id", "at"))
+        around = rows.column("around").to_pylist()
+        first = earliest(around, docs, length)
+        size = np.array([len(a) - length + 1 for a in around])
+        begin = np.cumsum(size) - size
+        gone = np.concatenate(first) < np.repeat(docs, size)
+        change = np.append(gone, False)
+        edge = np.zeros(len(gone) + 1, bool)
+        edge[begin] = True
+        edge[-1] = True
+        starts = np.flatnonzero(gone & (edge[:-1] | ~np.append(False, gone[:-1])))
+        stops = np.flatnonzero(gone & (edge[1:] | ~change[1:]))
+        own = np.searchsorted(begin, starts, "right") - 1
+        lo = at[own] + starts - begin[own]
+        yield pa.RecordBatch.from_arrays([pa.array(docs[own]), pa.array(lo), pa.array(lo + stops - starts + length)], names=["doc_id", "lo", "hi"])
 
     return run
 
