@@ -22,7 +22,7 @@ KINDS = ("assign", "access", "hex", "random")
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 RUN = r"[A-Za-z0-9+/_=-]{16,}"
-WORD = r"[A-Za-z_][A-Za-z0-9_]{7,}|[0-9]{6,}"
+WORD = r"(?<![A-Za-z0-9_])(?:[A-Za-z_]{8,}[0-9]{0,3}|[0-9]{6,})(?![A-Za-z0-9_])"
 MEAN_RATIO = 0.8
 TOTAL_RATIO = 16.0
 #: Labelled samples are bounded: so many distinct strings of each label, so many texts for ordinary identifiers.
@@ -38,8 +38,8 @@ def codes(value: Column) -> Column:
 def train(samples: DataFrame, *, value: str = "value", label: str = "label", smooth: float = 0.5) -> list[float]:
     """Log-likelihood ratio of every pair of characters, random (label 1) against ordinary (label 0).
 
-    Both models are smoothed, random ones towards equal chances within letters of one case, digits and signs; without samples of a
-    label its model is that.  Null values and labels, values with one character, and pairs outside of the alphabet are left out;
+    The random model is half what it learned and half equal chances, since secrets come in alphabets no sample has; the ordinary model backs
+    off to how common each character is.  Without samples of a label its model is the smoothing alone.  Null values and labels, values with one character, and pairs outside of the alphabet are left out;
     repeated samples count each time.  At most 2·len(ALPHABET)² counts reach the driver.
     """
     coded = samples.where(F.col(value).isNotNull() & F.col(label).isNotNull()).select(
@@ -48,11 +48,20 @@ def train(samples: DataFrame, *, value: str = "value", label: str = "label", smo
         F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.struct(F.get("c", i - 1).alias("a"), F.get("c", i).alias("b")))).alias("p"))
     counts = pairs.where("p.a >= 0 and p.b >= 0").groupBy("label", "p.a", "p.b").agg(F.count("*").alias("n")).collect()
     n = len(ALPHABET)
-    seen = [[[smooth] * n for _ in range(n)] for _ in range(2)]
+    seen = [[[0] * n for _ in range(n)] for _ in range(2)]
     for r in counts:
         seen[1 if r.label > 0 else 0][r.a][r.b] += r.n
-    model = [[[math.log(x / sum(row)) for x in row] for row in own] for own in seen]
-    return [model[1][a][b] - model[0][a][b] for a in range(n) for b in range(n)]
+    ordinary, random = seen
+    every = sum(map(sum, ordinary)) + smooth * n
+    single = [(sum(row[b] for row in ordinary) + smooth) / every for b in range(n)]
+    out = []
+    for a in range(n):
+        total = [sum(own[a]) for own in seen]
+        for b in range(n):
+            learned = random[a][b] / total[1] if total[1] else 1 / n
+            common = (ordinary[a][b] + 2 * single[b]) / (total[0] + 2)
+            out.append(math.log((learned + 1 / n) / 2) - math.log(common))
+    return out
 
 
 def ratio(value: Column, model: list[float]) -> Column:
@@ -89,12 +98,14 @@ def base_values(docs: DataFrame, text: str = "text") -> DataFrame:
 def samples_from(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_samples: int = MAX_SAMPLES,
                  max_texts: int = MAX_TEXTS) -> DataFrame:
     """Labelled samples (value, label): values of the base patterns are random, words of the texts with the smallest hashes ordinary.
-    Distinct values with the smallest hashes, at most ``max_samples`` of each label."""
+    Distinct values with the smallest hashes, at most ``max_samples`` of each label; each word also in the usual styles of identifiers."""
     random = base_values(docs, text).where(F.col("value").rlike("[0-9]")).distinct().orderBy(F.xxhash64("value"), "value").limit(max_samples)
     few = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).orderBy(F.xxhash64("i"), "i").limit(max_texts)
     clean = F.regexp_replace(F.regexp_replace(F.col("t"), ASSIGN, " "), "[0-9a-f]{32,}|AKIA[A-Z0-9]+", " ")
     ordinary = few.select(F.explode(F.regexp_extract_all(clean, F.lit(WORD), F.lit(0))).alias("value"))
     ordinary = ordinary.distinct().orderBy(F.xxhash64("value"), "value").limit(max_samples)
+    v, up, cap = F.col("value"), F.upper("value"), F.initcap("value")
+    ordinary = ordinary.select(F.explode(F.array(v, up, F.concat(v, cap), F.concat_ws("_", v, v), F.concat_ws("_", up, up))).alias("value"))
     return random.select("value", F.lit(1).alias("label")).unionAll(ordinary.select("value", F.lit(0).alias("label")))
 
 
