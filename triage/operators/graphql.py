@@ -12,6 +12,7 @@ from triage.functions.gqltext import document_blocks, payload_parts
 from triage.functions.tags import TagSet, contains_any, key_id, word_rules
 from triage.functions.text import redact
 from triage.functions.urls import host, netloc, path, scheme
+from triage.schemas import JSON_LIMITS
 
 AUTH = TagSet(["bearer token", "authorization header", "cookie auth", "CSRF token", "API key",
                "unauthenticated observed", "unknown"])
@@ -226,7 +227,7 @@ _SCHEMA = (f"struct<types:array<{_TYPE}>,queryType:struct<name:string>,mutationT
 
 def gql_introspection(artifacts: DataFrame) -> DataFrame:
     """Types and root fields of stored introspection results."""
-    parsed = F.from_json("text", f"__schema {_SCHEMA}, data struct<__schema:{_SCHEMA}>")
+    parsed = F.from_json("text", f"__schema {_SCHEMA}, data struct<__schema:{_SCHEMA}>", JSON_LIMITS)
     df = artifacts.filter(F.contains("text", F.lit("__schema"))).select(
         "source_file", F.coalesce(parsed.getField("data").getField("__schema"), parsed.getField("__schema")).alias("s"))
     named = F.filter("s.types", lambda t: t["name"].isNotNull())

@@ -80,3 +80,6 @@ INVENTORIES = {
 
 def struct(name: str):
     return StructType.fromDDL(INVENTORIES[name])
+
+#: Bodies and source texts may be as long and as deep as a row can hold; the parser's own limits would lose them without a word.
+JSON_LIMITS = {"maxStringLen": "2147483647", "maxNumLen": "2147483647", "maxNestingDepth": "100000"}

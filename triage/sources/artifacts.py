@@ -116,7 +116,7 @@ def detect_artifact_type(artifacts: DataFrame) -> DataFrame:
 
 def read_source_maps(artifacts: DataFrame) -> DataFrame:
     """(source_file, idx, source, content, evidence) per listed source of each source map."""
-    m = F.from_json("text", schemas.SOURCE_MAP)
+    m = F.from_json("text", schemas.SOURCE_MAP, schemas.JSON_LIMITS)
     parsed = artifacts.select("source_file", m.alias("m")).filter("m.sources is not null")
     root = F.coalesce(F.col("m.sourceRoot"), F.lit(""))
     evidence = F.concat(F.lit("sourceRoot="), root, F.lit("; sources="), F.size("m.sources"))

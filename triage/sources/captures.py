@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from triage.functions.tags import let
 from triage.functions.text import strip
-from triage.schemas import PAIRS
+from triage.schemas import JSON_LIMITS, PAIRS
 
 _COOKIES = "array<struct<name:string,value:string,path:string,secure:boolean,httpOnly:boolean,sameSite:string>>"
 
@@ -39,7 +39,7 @@ _ENTRY = (
 
 def _entry(e: Column) -> Column:
     """A parsed entry with its fault, if any."""
-    return let(F.from_json(e, _ENTRY), lambda x: F.struct(
+    return let(F.from_json(e, _ENTRY, JSON_LIMITS), lambda x: F.struct(
         x.alias("e"), e.startswith("{").alias("is_object"),
         F.when(~e.startswith("{"), F.lit("Every HAR log.entries item must be an object"))
         .when(x["request"].isNull() | x["response"].isNull(),
@@ -57,14 +57,15 @@ def _parsed(captures: DataFrame) -> DataFrame:
     def judge(text, raw, entries):
         fault = F.array_compact(F.transform(entries, lambda x: x["fault"]))
         reason = (F.when(strip(text) == "", F.lit("HAR file is empty"))
-                  .when(F.get_json_object(text, "$").isNull(), F.lit("Invalid JSON in HAR file"))
+                  # only what gave no entries is parsed again, to tell broken text from a missing list
+                  .when(raw.isNull() & F.get_json_object(text, "$").isNull(), F.lit("Invalid JSON in HAR file"))
                   .when(~text.rlike(r"^\s*+\{"), F.lit("HAR root must be a JSON object"))
                   .when(raw.isNull(), F.lit("HAR must contain a log.entries list"))
                   .otherwise(F.try_element_at(fault, F.lit(1))))
         return F.struct(entries.alias("entries"), reason.alias("reason"))
 
     def parse(text):
-        log = F.from_json(text, "log struct<entries array<string>>")
+        log = F.from_json(text, "log struct<entries array<string>>", JSON_LIMITS)
         return let(log.getField("log").getField("entries"), lambda raw: let(
             F.transform(raw, _entry), lambda entries: judge(text, raw, entries)))
 
