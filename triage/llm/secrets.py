@@ -100,7 +100,8 @@ def samples_from(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """Labelled samples (value, label): values of the base patterns are random, words of the texts with the smallest hashes ordinary.
     Distinct values with the smallest hashes, at most ``max_samples`` of each label; each word also in the usual styles of identifiers."""
     random = base_values(docs, text).where(F.col("value").rlike("[0-9]")).distinct().orderBy(F.xxhash64("value"), "value").limit(max_samples)
-    few = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).orderBy(F.xxhash64("i"), "i").limit(max_texts)
+    ids = docs.select(F.col(doc_id).alias("i")).distinct().orderBy(F.xxhash64("i"), "i").limit(max_texts)  # few enough to broadcast
+    few = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(F.broadcast(ids), "i")
     clean = F.regexp_replace(F.regexp_replace(F.col("t"), ASSIGN, " "), "[0-9a-f]{32,}|AKIA[A-Z0-9]+", " ")
     ordinary = few.select(F.explode(F.regexp_extract_all(clean, F.lit(WORD), F.lit(0))).alias("value"))
     ordinary = ordinary.distinct().orderBy(F.xxhash64("value"), "value").limit(max_samples)
