@@ -11,7 +11,7 @@
    suffixes are compared over ``length`` bytes, and the smallest id of each run of equal ones decides.
 5. Removed windows become spans of each document.
 
-Texts are written once, bucketed by id, so that no join with them shuffles a text.
+Texts are written once, bucketed by id and hash, and every join with them has just these two as its keys, so that none shuffles a text.
 """
 
 from __future__ import annotations
@@ -133,59 +133,61 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     name = f"texts_{uuid.uuid4().hex}"
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("digest"),
-                F.coalesce(F.octet_length(F.col(text)), F.lit(0)).alias("n")).write.bucketBy(buckets, "doc_id").saveAsTable(name)
+                F.coalesce(F.octet_length(F.col(text)), F.lit(0)).alias("n")).write.bucketBy(buckets, "doc_id", "digest").saveAsTable(name)
     texts = spark.table(name)
     firsts = land(texts.where(f"doc_id is not null and n >= {length}").groupBy("digest", "n").agg(F.min("doc_id").alias("doc_id")), "firsts")
-    first = texts.join(firsts.hint("merge"), ["doc_id", "digest", "n"], "left_semi").select("doc_id", "digest", "text")
+    key = ["doc_id", "digest"]
+    first = texts.join(firsts.hint("merge"), key, "left_semi").select("doc_id", "text")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            for i, d, g in zip(range(batch.num_rows), batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist()):
+            for i, d in enumerate(batch.column("doc_id").to_pylist()):
                 found = [h for h, _, _ in minimizers(data[offsets[i] : offsets[i + 1]], length, gram)]
                 if found:
                     h = np.unique(np.concatenate(found))
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), d)), pa.array(np.full(len(h), g))],
-                                                     names=["h", "doc_id", "digest"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), d))], names=["h", "doc_id"])
 
-    # the digest follows from the id but where ids repeat; it is not shuffled with the grams
-    rows = first.mapInArrow(grams, "h long, doc_id long, digest long").select("h", "doc_id")
+    rows = first.mapInArrow(grams, "h long, doc_id long")
     shared = rows.repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(_shared, "h long, doc_id long")
-    wanted = land(shared.groupBy("doc_id").agg(F.collect_set("h").alias("wanted")), "shared-grams")
+    # the hash follows from the id but where ids repeat, so it is not shuffled with the grams
+    wanted = shared.groupBy("doc_id").agg(F.collect_set("h").alias("wanted")).join(firsts.select(*key).hint("merge"), "doc_id")
+    wanted = land(wanted, "shared-grams")
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            for i, (d, w) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "wanted")))):
+            for i, (d, g, w) in enumerate(zip(*(batch.column(c).to_pylist() for c in (*key, "wanted")))):
                 raw, w = data[offsets[i] : offsets[i + 1]], np.sort(np.array(w, np.int64))
                 for h, lo, hi in minimizers(raw, length, gram):
                     k = w[np.minimum(np.searchsorted(w, h), len(w) - 1)] == h
                     h, lo, hi = h[k], lo[k], hi[k] + length
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h), pa.array(_range_hashes(raw, lo, hi)), pa.array(np.full(len(h), d)), pa.array(lo), pa.array((hi - lo).astype(np.int32))],
-                        names=["h", "around", "doc_id", "at", "n"])
+                        [pa.array(h), pa.array(_range_hashes(raw, lo, hi)), pa.array(np.full(len(h), d)), pa.array(lo), pa.array((hi - lo).astype(np.int32)),
+                         pa.array(np.full(len(h), g))], names=["h", "around", "doc_id", "at", "n", "digest"])
 
-    marked = first.join(wanted.hint("merge"), "doc_id")
-    spread = marked.mapInArrow(around, "h long, around long, doc_id long, at long, n int").repartition("h").sortWithinPartitions(
+    marked = texts.select(*key, "text").join(wanted.hint("merge"), key)
+    spread = marked.mapInArrow(around, "h long, around long, doc_id long, at long, n int, digest long").repartition("h").sortWithinPartitions(
         "h", "around", "doc_id", "at")
-    seen = land(spread.mapInArrow(_seen, "h long, doc_id long, at long, n int, gone boolean"), "repeat-seen")
+    seen = land(spread.mapInArrow(_seen, "h long, doc_id long, at long, digest long, n int, gone boolean"), "repeat-seen")
 
-    open_ = seen.where("not gone").groupBy("doc_id").agg(F.collect_list(F.struct("h", "at", "n")).alias("open"))
+    open_ = seen.where("not gone").groupBy(*key).agg(F.collect_list(F.struct("h", "at", "n")).alias("open"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            for i, (d, own) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("open").to_pylist())):
+            for i, (d, g, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in (*key, "open")))):
                 raw = data[offsets[i] : offsets[i + 1]]
-                own = [o for o in own if o["at"] + o["n"] <= len(raw)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([o["h"] for o in own], pa.int64()), pa.array([d] * len(own), pa.int64()), pa.array([o["at"] for o in own], pa.int64()),
-                     pa.array([raw[o["at"] : o["at"] + o["n"]].tobytes() for o in own], pa.binary())], names=["h", "doc_id", "at", "around"])
+                    [pa.array([o["h"] for o in own], pa.int64()), pa.array([d] * len(own), pa.int64()), pa.array([g] * len(own), pa.int64()),
+                     pa.array([o["at"] for o in own], pa.int64()),
+                     pa.array([raw[o["at"] : o["at"] + o["n"]].tobytes() for o in own], pa.binary())], names=["h", "doc_id", "digest", "at", "around"])
 
-    told = first.join(open_.hint("merge"), "doc_id").mapInArrow(contexts, "h long, doc_id long, at long, around binary")
-    judged = told.repartition("h").sortWithinPartitions("h").mapInArrow(_judge(length), "doc_id long, lo long, hi long")
-    runs = land(judged, "repeat-runs").unionAll(seen.where("gone").select("doc_id", F.col("at").alias("lo"), (F.col("at") + F.col("n")).alias("hi")))
-    runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")).join(firsts, "doc_id").select("doc_id", "digest", "runs")
+    told = texts.select(*key, "text").join(open_.hint("merge"), key).mapInArrow(
+        contexts, "h long, doc_id long, digest long, at long, around binary")
+    judged = told.repartition("h").sortWithinPartitions("h").mapInArrow(_judge(length), "doc_id long, digest long, lo long, hi long")
+    runs = land(judged, "repeat-runs").unionAll(seen.where("gone").select(*key, F.col("at").alias("lo"), (F.col("at") + F.col("n")).alias("hi")))
+    runs = runs.groupBy(*key).agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
 
     kept = firsts.withColumnRenamed("doc_id", "first")
     whole = texts.select("doc_id", "digest", "n").join(kept, ["digest", "n"]).where("doc_id > first").select(
@@ -244,7 +246,7 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [batch.column(k).to_numpy() for k in range(5)]
+        rows = [batch.column(k).to_numpy() for k in (0, 1, 2, 3, 5, 4)]
         h, a, d = rows[:3]
         new_h = np.append(last_h is None or h[0] != last_h, h[1:] != h[:-1])
         new = new_h | np.append(last_a is None or a[0] != last_a, a[1:] != a[:-1])
@@ -269,10 +271,10 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(pick(own & (group == group[-1])))
         several = bool(many[group[-1]])
         last_h, last_a, first_d = h[-1], a[-1], int(low[-1])
-        columns = [np.concatenate(c) for c in zip(*(x[:4] for x in out))]
-        marks = np.repeat([x[4] for x in out], [len(x[0]) for x in out])
-        yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in columns[:3]), pa.array(columns[3].astype(np.int32)), pa.array(marks)],
-                                         names=["h", "doc_id", "at", "n", "gone"])
+        columns = [np.concatenate(c) for c in zip(*(x[:5] for x in out))]
+        marks = np.repeat([x[5] for x in out], [len(x[0]) for x in out])
+        yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in columns[:4]), pa.array(columns[4].astype(np.int32)), pa.array(marks)],
+                                         names=["h", "doc_id", "at", "digest", "n", "gone"])
 
 
 def _judge(length: int):
@@ -291,7 +293,7 @@ def _judge(length: int):
 
     def decide(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         rows = pa.concat_tables(held)
-        docs, at = (rows.column(c).to_numpy() for c in ("doc_id", "at"))
+        docs, digest, at = (rows.column(c).to_numpy() for c in ("doc_id", "digest", "at"))
         around = rows.column("around").to_pylist()
         first = earliest(around, docs, length)
         size = np.array([len(a) - length + 1 for a in around])
@@ -305,7 +307,8 @@ def _judge(length: int):
         stops = np.flatnonzero(gone & (edge[1:] | ~change[1:]))
         own = np.searchsorted(begin, starts, "right") - 1
         lo = at[own] + starts - begin[own]
-        yield pa.RecordBatch.from_arrays([pa.array(docs[own]), pa.array(lo), pa.array(lo + stops - starts + length)], names=["doc_id", "lo", "hi"])
+        yield pa.RecordBatch.from_arrays([pa.array(docs[own]), pa.array(digest[own]), pa.array(lo), pa.array(lo + stops - starts + length)],
+                                         names=["doc_id", "digest", "lo", "hi"])
 
     return run
 
