@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch: texts can be long, and a batch is held in memory twice.
 BATCH_ROWS = 256
+#: A batch ends with the row that takes it over this.
+BATCH_BYTES = 4 << 20
 #: Bytes hashed at once; a longer word is hashed whole.
 BLOCK = 1 << 20
 
@@ -38,9 +40,10 @@ def land(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, since each row holds a whole text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Arrow batches of few rows and bytes, since a row can hold a whole text."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -32,6 +32,8 @@ LENGTH = 50
 GRAM = 24
 #: Bytes of a text looked at together, and of surroundings sorted together (a minimizer's distinct surroundings are never parted).
 PIECE = 1 << 19
+#: Most rows of these streams are a few numbers; texts are bounded by bytes.
+BATCH_ROWS = 8192
 SORTED = 1 << 20
 
 
@@ -129,7 +131,7 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     texts and equal surroundings of one minimizer by a 64-bit hash and their length.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, rows=BATCH_ROWS)
     name = f"texts_{uuid.uuid4().hex}"
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("digest"),
@@ -142,11 +144,13 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
+            hashes, ids = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for i, d in enumerate(batch.column("doc_id").to_pylist()):
                 found = [h for h, _, _ in minimizers(data[offsets[i] : offsets[i + 1]], length, gram)]
                 if found:
-                    h = np.unique(np.concatenate(found))
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), d))], names=["h", "doc_id"])
+                    hashes.append(np.unique(np.concatenate(found)))
+                    ids.append(np.full(len(hashes[-1]), d))
+            yield _batch(("h", hashes), ("doc_id", ids))
 
     rows = first.mapInArrow(grams, "h long, doc_id long")
     shared = rows.repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(_shared, "h long, doc_id long")
@@ -157,14 +161,15 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
+            out: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 6]
             for i, (d, g, w) in enumerate(zip(*(batch.column(c).to_pylist() for c in (*key, "wanted")))):
                 raw, w = data[offsets[i] : offsets[i + 1]], np.sort(np.array(w, np.int64))
                 for h, lo, hi in minimizers(raw, length, gram):
                     k = w[np.minimum(np.searchsorted(w, h), len(w) - 1)] == h
                     h, lo, hi = h[k], lo[k], hi[k] + length
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h), pa.array(_range_hashes(raw, lo, hi)), pa.array(np.full(len(h), d)), pa.array(lo), pa.array((hi - lo).astype(np.int32)),
-                         pa.array(np.full(len(h), g))], names=["h", "around", "doc_id", "at", "n", "digest"])
+                    out.append((h, _range_hashes(raw, lo, hi), np.full(len(h), d), lo, hi - lo, np.full(len(h), g)))
+            h, around_, ids, at, n, digest = zip(*out)
+            yield _batch(("h", h), ("around", around_), ("doc_id", ids), ("at", at), ("n", n, np.int32), ("digest", digest))
 
     marked = texts.select(*key, "text").join(wanted.hint("merge"), key)
     spread = marked.mapInArrow(around, "h long, around long, doc_id long, at long, n int, digest long").repartition("h").sortWithinPartitions(
@@ -205,6 +210,11 @@ _MERGED = """aggregate(array_sort(runs), cast(array() as array<array<bigint>>),
     else concat(slice(out, 1, size(out) - 1), array(array(element_at(out, -1)[0], greatest(element_at(out, -1)[1], s.hi)))) end)"""
 
 
+def _batch(*columns) -> pa.RecordBatch:
+    """Columns (name, arrays to join[, type])."""
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c[1]).astype(*c[2:] or (np.int64,))) for c in columns], names=[c[0] for c in columns])
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (h, doc_id), those whose h has two ids."""
     last_h, last_d, pending = None, None, False  # pending: the last row is the only id of its h so far
