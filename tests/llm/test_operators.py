@@ -106,6 +106,20 @@ def test_suffix_dedup(spark, docs, odd):
     assert suffix_dedup.repeated_spans(docs.limit(0)).count() == 0
 
 
+def test_texts_that_share_an_id(spark):
+    """Each keeps its own spans; neither is a repeat of the other."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    common, other = word(80), word(300)
+    given = spark.createDataFrame([(1, word(90) + common), (5, common + other), (5, other + word(200)), (None, common)], "doc_id long, text string")
+    got = {r.text: [tuple(s) for s in r.spans] for r in suffix_dedup.repeated_spans(given).collect()}
+    assert [got[r.text] for r in given.collect()] == [[], [(0, 80)], [], []]
+
+
+def test_contexts_that_may_repeat():
+    assert suffix_dedup.may_repeat([b"abcdefgh", b"xbcdefgy", b"12345", b"0000000"], 5).tolist() == [True, True, False, True]
+
+
 def test_suffix_order():
     rng = np.random.default_rng(0)
     for n in [*range(1, 30), 300]:

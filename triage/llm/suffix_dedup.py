@@ -6,7 +6,7 @@
 3. Of the surroundings of shared minimizers first only hashes are dealt out, by minimizer.  Surroundings that an earlier document has whole are
    decided by that; the middle of a long repeat ends here.
 4. Where a minimizer has different surroundings, the first document of each sends its bytes, dealt out by minimizer: all equal windows meet in one
-   task.  There the suffixes are sorted by the difference-cover method: triples at two of three positions are sorted and named, the
+   task.  There, of surroundings with a window whose hash occurs twice, the suffixes are sorted by the difference-cover method: triples at two of three positions are sorted and named, the
    names are sorted recursively, the remaining suffixes are sorted by one symbol and a name and merged in; then prefixes of adjacent
    suffixes are compared over ``length`` bytes, and the smallest id of each run of equal ones decides.
 5. Removed windows become spans of each document.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from triage.llm.common import _BYTE, _powers_to, by_key, land, mix, small_batches, text_bytes
+from triage.llm.common import _BYTE, _powers_to, land, mix, small_batches, text_bytes
 
 LENGTH = 50
 GRAM = 24
@@ -122,6 +122,25 @@ def earliest(contexts: list[bytes], docs: np.ndarray, length: int) -> list[np.nd
     return [first[b : b + n - length + 1] for b, n in zip(begin, sizes)]
 
 
+def may_repeat(contexts: list[bytes], length: int) -> np.ndarray:
+    """Which contexts have a window whose hash another window has: equal windows have equal hashes, so the rest repeat nothing."""
+    sizes = np.array([len(c) for c in contexts])
+    raw = np.frombuffer(b"".join(contexts), np.uint8)
+    up, down = _powers_to(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
+    windows = sizes - length + 1
+    begin = np.cumsum(windows) - windows
+    at = np.arange(windows.sum()) + np.repeat(np.cumsum(sizes) - sizes - begin, windows)
+    hashes = (sums[at + length] - sums[at]) * down[at]
+    order = np.argsort(hashes)
+    same = hashes[order][1:] == hashes[order][:-1]
+    twice = np.zeros(len(hashes), bool)
+    twice[order[1:]] = same
+    twice[order[:-1]] |= same
+    return np.logical_or.reduceat(twice, begin)
+
+
 def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, text and spans (sorted, disjoint byte ranges [start, end) to remove) of every row of ``docs``.
 
@@ -290,19 +309,26 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _judge(length: int):
     """Runs of windows [lo, hi) in bytes that an earlier document has, of surroundings sorted by h."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        size = 0
-        for group in by_key(batches, ["h"]):
-            held.append(group)
-            size += group.column("around").nbytes
-            if size >= SORTED:
-                yield from decide(held)
-                held, size = [], 0
+        held: list[pa.RecordBatch] = []
+        size, last = 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h = batch.column("h").to_numpy()
+            fresh = np.flatnonzero(h != last)
+            if size >= SORTED and len(fresh):  # up to where the last minimizer ends
+                yield from decide([*held, batch.slice(0, fresh[0])])
+                batch, held, size = batch.slice(fresh[0]), [], 0
+            held.append(batch)
+            size, last = size + batch.column("around").nbytes, h[-1]
         if held:
             yield from decide(held)
 
-    def decide(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-        rows = pa.concat_tables(held)
+    def decide(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        rows = rows.filter(pa.array(may_repeat(rows.column("around").to_pylist(), length)))
+        if not rows.num_rows:
+            return
         docs, digest, at = (rows.column(c).to_numpy() for c in ("doc_id", "digest", "at"))
         around = rows.column("around").to_pylist()
         first = earliest(around, docs, length)
