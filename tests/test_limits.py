@@ -21,6 +21,13 @@ def test_broken_captures_are_told_apart(spark):
                    "d": "HAR file is empty"}
 
 
+def test_long_evidence_is_scanned(spark):
+    content = bytearray(b"line\n" * 300_000 + b"Authorization: Bearer abcdefghijklmnop1234567890\n")
+    got = artifacts.evidence_items(spark.createDataFrame([("/e/a.txt", content)], "path string, content binary")).first()
+    assert got.contains_sensitive_data and "abcdefghijklmnop1234567890" not in got.redacted_evidence_text
+    assert len(got.redacted_evidence_text) > 1_400_000
+
+
 def test_source_map_with_a_long_source(spark):
     text = json.dumps({"version": 3, "sources": ["a.js"], "sourcesContent": ["x" * 21_000_000], "mappings": ""})
     parsed = spark.createDataFrame([(text,)], "text string").select(F.from_json("text", artifacts.schemas.SOURCE_MAP, artifacts.schemas.JSON_LIMITS).alias("m"))

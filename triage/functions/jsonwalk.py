@@ -1,4 +1,4 @@
-"""Walking JSON bodies of any depth."""
+"""Walking JSON bodies."""
 
 from __future__ import annotations
 
@@ -19,7 +19,8 @@ def json_keys(body: Column) -> Column:
 
     In valid JSON a quote only delimits strings once escaped quotes are out of the
     way, so a left-to-right scan of string tokens is exact, and a token followed by
-    a colon is a key.  One linear pass on the JVM, no depth limit.
+    a colon is a key.  One linear pass on the JVM; the validity test before it has the
+    limits of the JSON parser (repeated keys, NaN, very long numbers, deep nesting: no keys).
     """
     masked = F.replace(F.replace(body, F.lit("\\\\"), F.lit(_ESCAPED_BACKSLASH)), F.lit('\\"'), F.lit(_ESCAPED_QUOTE))
     tokens = F.arrays_zip(F.regexp_extract_all(masked, F.lit(_KEY), F.lit(1)).alias("t"),

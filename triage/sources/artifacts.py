@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triage import rules, schemas
+from triage import schemas
 from triage.functions.tags import present
 from triage.functions.text import redact, redact_struct
 
@@ -148,8 +148,8 @@ def write_inventory(tables: dict[str, DataFrame], path: str, fmt: str = "parquet
 
 def write_wordlists(lists: DataFrame, path: str, fmt: str = "text", mode: str = "errorifexists"):
     """(list, term) rows to one folder per list, as text, csv or json."""
-    out = lists.select("list", "term")
-    out = out.repartition("list", F.pmod(F.xxhash64("term"), F.lit(16))).sortWithinPartitions("list", "term")
+    # by range, so that a long list is written by many tasks
+    out = lists.select("list", "term").repartitionByRange("list", "term").sortWithinPartitions("list", "term")
     writer = out.write.mode(mode).partitionBy("list")
     {"text": writer.text, "csv": lambda p: writer.csv(p, header=True), "json": writer.json}[fmt](path)
 
@@ -168,11 +168,10 @@ def profile_rules(profiles: DataFrame) -> DataFrame:
 def evidence_items(files: DataFrame) -> DataFrame:
     """Hash, size, type, sensitivity and redacted text of evidence files (path, content).
 
-    Text is kept up to 1 MB, without NUL bytes and only if it is valid UTF-8.
+    Text of any size is scanned and kept, without NUL bytes and only if it is valid UTF-8.
     """
     content = F.col("content")
-    small = F.length(content) <= rules.MAX_EVIDENCE_BYTES
-    text = F.when(small, F.try_validate_utf8(content.cast("string")))
+    text = F.try_validate_utf8(content.cast("string"))
     text = F.when(F.contains(text, F.lit("\x00")), F.lit("")).otherwise(F.coalesce(text, F.lit("")))
     return (files.withColumn("t", text)
             .select("path", F.substring_index("path", "/", -1).alias("title"),
