@@ -86,3 +86,20 @@ def suffix_removal(rows, k=50):
         kept = bytes(b for b, g in zip(raw, gone) if not g)
         out[d] = (len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest())
     return out
+
+
+def line_dedup(rows, window=2, words=50):
+    """id to (text, lines, lines removed): what an earlier place has as a window of lines or as one long line goes."""
+    place, out = {}, {}
+    chunks = lambda lines: [(i, i + window) for i in range(len(lines) - window + 1)] + [
+        (i, i + 1) for i, line in enumerate(lines) if len(line.split()) > words]
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0]))
+    for d, text in rows:
+        lines, gone = (text or "").split("\n"), set()
+        if d is not None and text is not None:
+            for lo, hi in chunks(lines):
+                first = place.setdefault(tuple(lines[lo:hi]), (d, lo))
+                if first[0] != d or lo >= first[1] + hi - lo:
+                    gone |= set(range(lo, hi))
+        out[d] = (text if not gone else "\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines) if text is not None else 0, len(gone))
+    return out

@@ -293,6 +293,21 @@ def test_line_dedup(spark, odd):
         kept |= set(left)
 
 
+def test_line_dedup_of_planted_passages(spark):
+    """Passages of 1 to 6 lines in unlike surroundings go whole; a text of copies of one line keeps the first two."""
+    rng = random.Random(5)
+    say = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    passages = [[say(60)], [say(50)], *([say(9) for _ in range(k)] for k in range(2, 7)), ["", ""]]
+    texts = [[say(8) for _ in range(rng.randint(0, 3))] + p + [say(8) for _ in range(rng.randint(0, 3))] for _ in range(3) for p in passages]
+    texts += [["r"] * 7, ["u", "v"] * 4, passages[4] + passages[6] + passages[4], [passages[0][0]], [passages[1][0]]]
+    given = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)] + [(99, None), (None, "\n".join(passages[3]))], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed_lines) for r in line_chunks.dedup_lines(given).collect()}
+    want = brute.line_dedup(rows_of(given))
+    assert got == want
+    assert sum(n for _, _, n in want.values()) >= 2 * (1 + 20 + 2) + 5 + 6
+    assert want[len(texts) - 5][0] == "r\nr" and want[len(texts) - 4][0] == "u\nv" and want[len(texts) - 2][0] == ""
+
+
 def test_tool_calls(spark):
     calls = [("a", 1, "1", "search", '{"q": "x", "n": 2.0}'), ("a", 2, "2", "search", '{"q":"$result:1"}'), ("a", 3, "3", "search", '{"q":"$result:4"}'),
              ("a", 4, "4", "search", '{"q":"$result:3"}'), ("a", 5, "5", "search", '{"n": 0}'), ("a", 6, "6", "nothing", "{}"), ("a", 7, "7", "search", "{bad"),

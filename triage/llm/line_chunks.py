@@ -1,9 +1,9 @@
-"""Line dedup by content-defined chunks of lines, in DataFrame functions only.
+"""Line dedup by windows of lines, in DataFrame functions only.
 
-A text is cut into lines; a rolling hash over the last ``window`` line hashes ends a chunk where it is 0 modulo ``every``, so
-boundaries depend on the lines nearby and survive shifts.  Chunks below two lines join the one before (the first: the one after).
-Chunk hashes are counted over the whole table with partial aggregation.  Only for hashes that repeat are the chunk's bytes
-compared with the bytes of the first occurrence; equal later ones are removed.
+A text is cut into lines.  Every ``window`` lines in a row and every line of over ``words`` words are a chunk, so a shared passage has the
+same chunks wherever it stands, whatever stands around it, and what goes of it is its maximal run of lines.  Chunk hashes are counted over
+the whole table with partial aggregation.  Only for hashes that repeat are the chunk's bytes compared with the bytes of the first
+occurrence; equal later ones are removed.
 """
 
 from __future__ import annotations
@@ -14,77 +14,62 @@ from pyspark.sql import functions as F
 from triage.llm.common import land
 
 WINDOW = 2
-EVERY = 3
+WORDS = 50
 
 
-def chunk_ends(lines: Column, window: int, every: int) -> Column:
-    """Sorted end positions (exclusive) of the chunks of a line array."""
-    hashes = F.transform(lines, lambda line: F.xxhash64(line))
+def chunks(lines: Column, window: int, words: int) -> Column:
+    """start, stop (exclusive), h and n (hash and bytes) of every window of a line array and of its long lines."""
+    def chunk(start: Column, size: int) -> Column:
+        body = _body(lines, start, start + size)
+        return F.struct(start.alias("start"), (start + size).alias("stop"), F.xxhash64(body).alias("h"), F.octet_length(body).alias("n"))
 
-    def rolling(h: Column, i: Column) -> Column:
-        total = h
-        for back in range(1, window):
-            before = F.when(i >= back, F.get(hashes, i - back)).otherwise(F.lit(0).cast("long"))
-            total = F.xxhash64(total, before, F.lit(back))
-        return F.pmod(F.shiftrightunsigned(total, 8), F.lit(every)) == 0
+    # more than so many words have as many letters and spaces between; most lines end there
+    long = lambda line: (F.length(line) > 2 * words) & (F.regexp_count(line, F.lit(r"\S+")) > words)
+    starts = F.when(F.size(lines) >= window, F.sequence(F.lit(0), F.size(lines) - window)).otherwise(F.array().cast("array<int>"))
+    alone = F.filter(F.transform(lines, lambda line, i: F.when(long(line), i)), lambda i: i.isNotNull())
+    return F.concat(F.transform(starts, lambda i: chunk(i, window)), F.transform(alone, lambda i: chunk(i, 1)))
 
-    marks = F.transform(hashes, rolling)
-    ends = F.filter(F.transform(marks, lambda m, i: F.when(m, i + 1)), lambda e: e.isNotNull())
-    # a boundary counts if the chunk it ends has two lines and so has the rest
-    kept = F.aggregate(
-        ends, F.array().cast("array<int>"),
-        lambda out, e: F.when((e - F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(0)) >= 2) & (F.size(lines) - e >= 2),
-                              F.concat(out, F.array(e))).otherwise(out))
-    return F.concat(kept, F.array(F.size(lines)))
 
+def _body(lines: Column, start: Column, stop: Column) -> Column:
+    return F.array_join(F.slice(lines, start + 1, stop - start), "\n")
 
-def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, every: int = EVERY) -> DataFrame:
-    """Every row of ``docs`` with its columns, the text without the chunks removed, and n_lines, n_removed_lines (long).
 
-    The first occurrence, by id and place, of a chunk of two lines or more stays; byte-equal later ones go, with their line feeds,
-    within a document too.  A text of one line is never cut.  Null texts stay null and empty ones empty, both with n_removed_lines 0
-    (n_lines 0 for null, 1 for empty).  Rows that share an id are treated as occurrences of one document and are all cut alike; rows
-    whose id is null are never cut and never count.  Columns already named n_lines or n_removed_lines are replaced.
+def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, words: int = WORDS) -> DataFrame:
+    """Every row of ``docs`` with its columns, the text without the lines removed, and n_lines, n_removed_lines (long).
+
+    A line goes, with its line feed, if it lies in ``window`` lines in a row (two or more) that an earlier place, by id and line, has byte by
+    byte, or has over ``words`` words and is at an earlier place; so maximal repeated runs go whole, within a document too, where a repeat
+    begins after the end of the first occurrence.  A text of one shorter line is never cut.  Null texts stay null and empty ones empty, both
+    with n_removed_lines 0 (n_lines 0 for null, 1 for empty).  Rows that share an id are treated as occurrences of one document and are all
+    cut alike; rows whose id is null are never cut and never count.  Columns already named n_lines or n_removed_lines are replaced.
     """
     docs = docs.drop("n_lines", "n_removed_lines")
-    lined = docs.select(F.col(doc_id).alias("__id"), F.split(F.col(text), "\n", -1).alias("__lines")).where(
-        F.col("__id").isNotNull() & (F.size("__lines") >= 2))
-    cut = lined.withColumn("__ends", chunk_ends(F.col("__lines"), window, every))
-    pieces = cut.select("__id", F.explode(_pieces("__lines", "__ends")).alias("c")).select(
-        "__id", "c.start", "c.stop", F.xxhash64("c.body").alias("h"), F.length("c.body").alias("n"))
-    # one row per chunk, without its text: hash, place
-    places = land(pieces, "line-chunks")
+    lined = docs.select(F.col(doc_id).alias("__id"), F.split(F.col(text), "\n", -1).alias("__lines")).where("__id is not null and __lines is not null")
+    # one row per chunk, without its text: place, hash
+    places = land(lined.select("__id", F.inline(chunks(F.col("__lines"), window, words))), "line-chunks")
     repeated = places.groupBy("h", "n").agg(F.count("*").alias("times"), F.min(F.struct("__id", "start")).alias("first")).where(
         "times > 1").select("h", "n", "first")
-    marked = places.join(repeated, ["h", "n"]).select(
-        "__id", "start", "stop", "h", (F.struct("__id", "start") == F.col("first")).alias("is_first"))
+    is_first = F.struct("__id", "start") == F.col("first")
+    apart = (F.col("__id") != F.col("first.__id")) | (F.col("start") >= F.col("first.start") + F.col("stop") - F.col("start"))
+    marked = places.join(repeated, ["h", "n"]).where(is_first | apart).select("__id", "start", "stop", "h", is_first.alias("is_first"))
     marked = marked.distinct().groupBy("__id").agg(F.collect_list(F.struct("start", "stop", "h", "is_first")).alias("marks"))
     marked = land(marked, "line-marks")
 
     # bytes of the marked chunks only
     body = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(marked.hint("merge"), "__id").select(
         "__id", F.split("__text", "\n", -1).alias("__lines"), "marks")
-    body = body.select("__id", F.explode(F.transform("marks", lambda m: F.struct(
+    body = body.select("__id", F.inline(F.transform("marks", lambda m: F.struct(
         m["start"].alias("start"), m["stop"].alias("stop"), m["h"].alias("h"), m["is_first"].alias("is_first"),
-        F.array_join(F.slice("__lines", m["start"] + 1, m["stop"] - m["start"]), "\n").alias("body")))).alias("m")).select("__id", "m.*")
-    first = body.where("is_first").groupBy("h").agg(F.min("body").alias("first_body"))
-    later = body.where("not is_first").join(first, "h").where("body = first_body")
-    gone = later.select("__id", "start", "stop").distinct().groupBy("__id").agg(
-        F.collect_list(F.struct("start", "stop")).alias("__gone"))
+        _body(F.col("__lines"), m["start"], m["stop"]).alias("body")))))
+    later = body.where("not is_first").join(body.where("is_first").select("h", "body"), ["h", "body"], "left_semi")
+    gone = later.groupBy("__id").agg(F.collect_set(F.struct("start", "stop")).alias("__gone"))
 
     # what is marked and what goes grows with the corpus, so neither is broadcast
     out = docs.join(gone.withColumnRenamed("__id", "__gone_id").hint("merge"), F.col(doc_id) == F.col("__gone_id"), "left").drop("__gone_id")
     lines = F.split(F.col(text), "\n", -1)
-    kept = F.filter(lines, lambda line, i: ~F.exists("__gone", lambda g: (i >= g["start"]) & (i < g["stop"])))
-    removed = F.aggregate("__gone", F.lit(0).cast("long"), lambda n, g: n + g["stop"] - g["start"])
-    return (out.withColumn("n_lines", F.coalesce(F.size(lines).cast("long"), F.lit(0).cast("long")))
-            .withColumn("n_lines", F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines")))
-            .withColumn("n_removed_lines", F.coalesce(removed, F.lit(0).cast("long")))
+    cut = F.flatten(F.transform("__gone", lambda g: F.sequence(g["start"], g["stop"] - 1)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), cut)  # by a hash set, in order
+    kept = F.transform(stay, lambda i: F.get(lines, i))
+    return (out.withColumn("n_lines", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"))
+            .withColumn("n_removed_lines", F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(stay)).cast("long"))
             .withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).drop("__gone"))
-
-
-def _pieces(lines: str, ends: str) -> Column:
-    return F.transform(ends, lambda end, i: F.struct(
-        F.when(i == 0, F.lit(0)).otherwise(F.get(F.col(ends), i - 1)).alias("start"), end.alias("stop"),
-        F.array_join(F.slice(F.col(lines), F.when(i == 0, F.lit(0)).otherwise(F.get(F.col(ends), i - 1)) + 1,
-                             end - F.when(i == 0, F.lit(0)).otherwise(F.get(F.col(ends), i - 1))), "\n").alias("body")))
