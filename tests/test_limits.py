@@ -4,7 +4,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from conftest import entry
+from conftest import entry, texts
+from triage.operators import graphql
 from triage.sources import artifacts, captures
 
 
@@ -32,3 +33,21 @@ def test_source_map_with_a_long_source(spark):
     text = json.dumps({"version": 3, "sources": ["a.js"], "sourcesContent": ["x" * 21_000_000], "mappings": ""})
     parsed = spark.createDataFrame([(text,)], "text string").select(F.from_json("text", artifacts.schemas.SOURCE_MAP, artifacts.schemas.JSON_LIMITS).alias("m"))
     assert parsed.select(F.length(F.get("m.sourcesContent", F.lit(0)))).first()[0] == 21_000_000
+
+
+def test_graphql_evidence_is_whole(spark, exchange):
+    """Whole blocks are redacted, then kept whole: no secret is cut in two where a prefix would end, and nothing after it is lost."""
+    for cut in (1200, 1600):
+        at = lambda head: head + "x" * (cut - len(head) - 8) + " "
+        mail = "someone.long@example.test"
+        body = {"query": at("query Q { a(x: \"") + mail + "\") tail } fragment F on T { " + at("a(x: \"") + mail + "\") tail }"}
+        errors = json.dumps({"errors": [{"message": at("") + mail + " tail", "path": ["p"]}]})
+        payloads = graphql.gql_payloads(exchange(("g.har", [entry("https://a.test/graphql", "POST", body=json.dumps(body), text=errors)])))
+        docs = graphql.gql_documents(payloads)
+        sdl = graphql.gql_schema_sdl(texts(spark, ("s.graphql", at("type Query { a: Int } # ") + mail + " tail")))
+        ops = graphql.gql_operations(docs)
+        leads = graphql.gql_leads(ops, payloads, sdl).where("evidence <> ''").select("category", "evidence").collect()
+        assert {r.category for r in leads} == {"excessive_error_detail", "introspection_artifact"}
+        found = [r[0] for df in (ops, graphql.gql_fragments(docs), sdl) for r in df.select("redacted_evidence").collect()]
+        found += [r[0] for r in graphql.gql_errors(payloads).select("evidence").collect()] + [r.evidence for r in leads]
+        assert len(found) == 6 and all("<redacted-email>" in t and "someone" not in t and "tail" in t for t in found)

@@ -174,13 +174,13 @@ def gql_operations(documents: DataFrame) -> DataFrame:
         "source_file", "entry_idx", "side", "pos", "start", "endpoint_id", c("op_type").alias("operation_type"),
         c("operation").alias("operation_name"), "variables", "variable_types", "fields", "fragments",
         "sensitive_fields", "object_id_candidates", "tag_mask", OP_TAGS.array(c("tag_mask")).alias("risk_tags"),
-        redact(F.substring("block", 1, 1200)).alias("redacted_evidence"))
+        redact(F.col("block")).alias("redacted_evidence"))
 
 
 def gql_fragments(documents: DataFrame) -> DataFrame:
     return _blocks(documents).filter("kind = 'fragment'").select(
         "source_file", "entry_idx", "name", gql_fields(F.col("block")).alias("fields"),
-        redact(F.substring("block", 1, 1200)).alias("redacted_evidence"))
+        redact(F.col("block")).alias("redacted_evidence"))
 
 
 def gql_variables(operations: DataFrame) -> DataFrame:
@@ -217,7 +217,7 @@ def gql_schema_sdl(artifacts: DataFrame) -> DataFrame:
         F.lit("schema_sdl").alias("artifact_type"), "type_names", "query_names", "mutation_names",
         "subscription_names", F.filter("type_names", is_sensitive).alias("sensitive_types"),
         F.filter(fields, is_sensitive).alias("sensitive_fields"),
-        redact(F.substring("text", 1, 1600)).alias("redacted_evidence"))
+        redact(text).alias("redacted_evidence"))
 
 
 _TYPE = "struct<name:string,fields:array<struct<name:string>>>"
@@ -274,7 +274,7 @@ def gql_errors(payloads: DataFrame) -> DataFrame:
     """Error lists that tell about stacks, paths or resolvers."""
     lead = _lead("excessive_error_detail", "Verbose GraphQL error details", "low",
                  "Captured errors include resolver, path, location, extension, exception, or stack details.",
-                 operation=F.lit(""), evidence=redact(F.substring("text", 1, 1200)))
+                 operation=F.lit(""), evidence=redact(F.col("text")))
     return (payloads.filter((F.col("kind") == "errors") & F.col("text").rlike(rules.GQL_ERROR_DETAIL))
             .select("source_file", "entry_idx", "side", "pos", F.inline(F.array(lead))))
 
