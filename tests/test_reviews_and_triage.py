@@ -7,6 +7,7 @@ from conftest import entry, texts
 from triage import rules, schemas
 from triage.operators import authz, correlate, endpoints, frontend, graphql, quality, scope
 from triage.operators import vocabulary as vocab
+from triage.plans import queries
 from triage.sources import artifacts as art
 
 # --- front end ------------------------------------------------------------------------------------
@@ -82,6 +83,16 @@ def test_graphql_operations(spark, exchange):
     assert {"state_changing_mutation", "idor_bola_candidate", "batching_indicator", "excessive_error_detail"} <= leads
 
 
+def test_graphql_endpoints_of_every_name(spark, monkeypatch):
+    """The query scans every text that the pattern can match in, also those without the word graphql."""
+    given = texts(spark, ("a.js", 'post("https://a.test/api/GQL?x=1")'), ("b.js", "go('/v1/gql')"), ("c.js", "x = '/query'"),
+                  ("d.js", "see /graphql"), ("e.js", "no graphql or gql or query path"))
+    monkeypatch.setattr(queries.D, "artifacts", lambda spark, sf: given)
+    monkeypatch.setattr(queries.D, "exchanges", lambda spark, sf: None)
+    got = {(r.host, r.path) for r in queries.QUERIES["gql_endpoints"](spark, "").collect()}
+    assert got == {("a.test", "/api/GQL"), ("", "/v1/gql"), ("", "/query"), ("", "/graphql")}
+
+
 def test_graphql_schemas(spark):
     sdl = graphql.gql_schema_sdl(texts(spark, ("s.graphql", "type Query {\n  user(id: ID): User\n}\ntype Account { x: Int }"))).first()
     assert sdl.query_names == ["user"] and sdl.type_names == ["Account", "Query"] and sdl.sensitive_types == ["Account"]

@@ -23,9 +23,9 @@ _PAYLOAD_TEST = '"(?:query|errors|variables|operationName)"'
 _OP_TEST = "(?Ui)" + rules.GQL_OPERATION_HEAD
 
 
-def graphql_bearing(artifacts: DataFrame, text: str = "text") -> DataFrame:
-    """Cheap pre-test before the costly analysis."""
-    return artifacts.filter(F.lower(F.col(text)).contains("graphql"))
+def endpoint_bearing(artifacts: DataFrame, text: str = "text") -> DataFrame:
+    """Cheap pre-test before the search for endpoints: every text in which GQL_ENDPOINT can match."""
+    return artifacts.filter(contains_any(F.lower(F.col(text)), ["/graphql", "/gql", "/query"]))
 
 
 def is_sensitive(name: Column) -> Column:

@@ -439,7 +439,7 @@ def _operations(spark, sf):
 
 @query
 def gql_endpoints(spark, sf):
-    return flat(graphql.gql_merge(graphql.gql_endpoints(D.exchanges(spark, sf), graphql.graphql_bearing(D.artifacts(spark, sf)))))
+    return flat(graphql.gql_merge(graphql.gql_endpoints(D.exchanges(spark, sf), graphql.endpoint_bearing(D.artifacts(spark, sf)))))
 
 
 @query
