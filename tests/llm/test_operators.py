@@ -308,6 +308,17 @@ def test_line_dedup_of_planted_passages(spark):
     assert want[len(texts) - 5][0] == "r\nr" and want[len(texts) - 4][0] == "u\nv" and want[len(texts) - 2][0] == ""
 
 
+def test_lines_of_texts_that_share_an_id(spark):
+    """What is cut from one stays in the other, and they are places of their own."""
+    texts = ["a\nb", "p\nq\na\nb", "a\nb\nkept\nhere", "kept\ntoo"]
+    given = spark.createDataFrame(list(zip([1, 2, 2, 2], texts)), "doc_id long, text string")
+    got = sorted(r.text for r in line_chunks.dedup_lines(given).collect())
+    assert got == ["a\nb", "kept\nhere", "kept\ntoo", "p\nq"]
+    alike = spark.createDataFrame([(7, "m\nn"), (7, "m\nn"), (7, "m\nn\no")], "doc_id long, text string")
+    assert sorted((r.text, r.n_removed_lines) for r in line_chunks.dedup_lines(alike).collect()) in (
+        [("", 2), ("", 2), ("m\nn\no", 0)], [("m\nn", 0), ("m\nn", 0), ("o", 2)])
+
+
 def test_tool_calls(spark):
     calls = [("a", 1, "1", "search", '{"q": "x", "n": 2.0}'), ("a", 2, "2", "search", '{"q":"$result:1"}'), ("a", 3, "3", "search", '{"q":"$result:4"}'),
              ("a", 4, "4", "search", '{"q":"$result:3"}'), ("a", 5, "5", "search", '{"n": 0}'), ("a", 6, "6", "nothing", "{}"), ("a", 7, "7", "search", "{bad"),

@@ -40,32 +40,34 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     A line goes, with its line feed, if it lies in ``window`` lines in a row (two or more) that an earlier place, by id and line, has byte by
     byte, or has over ``words`` words and is at an earlier place; so maximal repeated runs go whole, within a document too, where a repeat
     begins after the end of the first occurrence.  A text of one shorter line is never cut.  Null texts stay null and empty ones empty, both
-    with n_removed_lines 0 (n_lines 0 for null, 1 for empty).  Rows that share an id are treated as occurrences of one document and are all
-    cut alike; rows whose id is null are never cut and never count.  Columns already named n_lines or n_removed_lines are replaced.
+    with n_removed_lines 0 (n_lines 0 for null, 1 for empty).  Rows that share id and text are one document and are cut alike; those that
+    share an id but have different texts are documents of their own.  Rows whose id is null are never cut and never count.  Columns already
+    named n_lines or n_removed_lines are replaced.
     """
     docs = docs.drop("n_lines", "n_removed_lines")
-    lined = docs.select(F.col(doc_id).alias("__id"), F.split(F.col(text), "\n", -1).alias("__lines")).where("__id is not null and __lines is not null")
+    key, digest = ["__id", "__digest"], F.xxhash64(F.col(text)).alias("__digest")
+    lined = docs.select(F.col(doc_id).alias("__id"), digest, F.split(F.col(text), "\n", -1).alias("__lines")).where("__id is not null and __lines is not null")
     # one row per chunk, without its text: place, hash
-    places = land(lined.select("__id", F.inline(chunks(F.col("__lines"), window, words))), "line-chunks")
-    repeated = places.groupBy("h", "n").agg(F.count("*").alias("times"), F.min(F.struct("__id", "start")).alias("first")).where(
+    places = land(lined.select(*key, F.inline(chunks(F.col("__lines"), window, words))), "line-chunks")
+    repeated = places.groupBy("h", "n").agg(F.count("*").alias("times"), F.min(F.struct(*key, "start")).alias("first")).where(
         "times > 1").select("h", "n", "first")
-    is_first = F.struct("__id", "start") == F.col("first")
-    apart = (F.col("__id") != F.col("first.__id")) | (F.col("start") >= F.col("first.start") + F.col("stop") - F.col("start"))
-    marked = places.join(repeated, ["h", "n"]).where(is_first | apart).select("__id", "start", "stop", "h", is_first.alias("is_first"))
-    marked = marked.distinct().groupBy("__id").agg(F.collect_list(F.struct("start", "stop", "h", "is_first")).alias("marks"))
+    is_first = F.struct(*key, "start") == F.col("first")
+    apart = (F.struct(*key) != F.struct("first.__id", "first.__digest")) | (F.col("start") >= F.col("first.start") + F.col("stop") - F.col("start"))
+    marked = places.join(repeated, ["h", "n"]).where(is_first | apart).select(*key, "start", "stop", "h", is_first.alias("is_first"))
+    marked = marked.distinct().groupBy(*key).agg(F.collect_list(F.struct("start", "stop", "h", "is_first")).alias("marks"))
     marked = land(marked, "line-marks")
 
     # bytes of the marked chunks only
-    body = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(marked.hint("merge"), "__id").select(
-        "__id", F.split("__text", "\n", -1).alias("__lines"), "marks")
-    body = body.select("__id", F.inline(F.transform("marks", lambda m: F.struct(
+    body = docs.select(F.col(doc_id).alias("__id"), digest, F.col(text).alias("__text")).join(marked.hint("merge"), key).select(
+        *key, F.split("__text", "\n", -1).alias("__lines"), "marks")
+    body = body.select(*key, F.inline(F.transform("marks", lambda m: F.struct(
         m["start"].alias("start"), m["stop"].alias("stop"), m["h"].alias("h"), m["is_first"].alias("is_first"),
         _body(F.col("__lines"), m["start"], m["stop"]).alias("body")))))
     later = body.where("not is_first").join(body.where("is_first").select("h", "body"), ["h", "body"], "left_semi")
-    gone = later.groupBy("__id").agg(F.collect_set(F.struct("start", "stop")).alias("__gone"))
+    gone = later.groupBy(*key).agg(F.collect_set(F.struct("start", "stop")).alias("__gone"))
 
     # what is marked and what goes grows with the corpus, so neither is broadcast
-    out = docs.join(gone.withColumnRenamed("__id", "__gone_id").hint("merge"), F.col(doc_id) == F.col("__gone_id"), "left").drop("__gone_id")
+    out = docs.withColumns({"__id": F.col(doc_id), "__digest": digest}).join(gone.hint("merge"), key, "left").drop(*key)
     lines = F.split(F.col(text), "\n", -1)
     cut = F.flatten(F.transform("__gone", lambda g: F.sequence(g["start"], g["stop"] - 1)))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), cut)  # by a hash set, in order
