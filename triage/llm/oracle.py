@@ -1,3 +1,54 @@
-"""The queries that SQL can express, as DuckDB SQL over the same tables."""
+"""The queries of this package as SQL, where SQL can express them on whole tables."""
 
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+#: Unsigned CRC-32 of the text {x}, bit by bit (reflected polynomial 0xEDB88320).
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({x}) + 1), lambda i: ascii(substr({x}, i, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::BIGINT) ELSE r >> 1 END)),
+    4294967295::BIGINT)"""
+
+FILL_MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+                  sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+h AS (SELECT *, len(u) AS n, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3,
+             ('0x' || s[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                  WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM p
+"""
+
+PREFIX_TRIE = r"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                      sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS n
+           FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, CRC % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+rows AS (SELECT convs.c, 0 AS part, t.n, t.role, t.text FROM convs JOIN t ON t.c = convs.c - convs.c % 20 AND t.n <= convs.h
+         UNION ALL SELECT convs.c, 1, t.n, t.role, t.text FROM convs JOIN t ON t.c = convs.c AND t.n > convs.h),
+seqs AS (SELECT c, coalesce(list(struct_pack(role := role, text := text) ORDER BY part, n) FILTER (n IS NOT NULL), []) AS s
+         FROM convs LEFT JOIN rows USING (c) GROUP BY c),
+pre AS (SELECT c, d, s[1:d] AS p, d = len(s) AS ends FROM (SELECT c, s, unnest(range(len(s) + 1)) AS d FROM seqs)),
+nodes AS (SELECT d, p, min(c) AS conv_id, count(*) AS n_convs, list(c ORDER BY c) FILTER (ends) AS ends FROM pre GROUP BY d, p),
+valued AS (SELECT *, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(p[d].text, '[^\x20\x09-\x0D]+')) END AS v,
+                  (SELECT count(*) FROM nodes k WHERE k.d = nodes.d + 1 AND k.p[1:nodes.d] = nodes.p) AS n_children FROM nodes),
+below AS (SELECT a.d, a.p, sum(b.v) AS saved, count(*) FILTER (b.n_children = 0) AS n_leaves
+          FROM valued a JOIN valued b ON b.d >= a.d AND b.p[1:a.d] = a.p GROUP BY a.d, a.p)
+SELECT v.conv_id, v.d::BIGINT AS depth, up.conv_id AS parent_conv_id, v.n_convs::BIGINT AS n_convs, v.n_children::BIGINT AS n_children,
+       below.n_leaves::BIGINT AS n_leaves, below.saved::BIGINT AS saved_tokens, sha256(coalesce(array_to_string(v.ends, ','), '')) AS ends_sha256
+FROM valued v JOIN below ON below.d = v.d AND below.p = v.p LEFT JOIN nodes up ON up.d = v.d - 1 AND up.p = v.p[1:v.d - 1]
+""".replace("CRC", _CRC32.format(x="c::VARCHAR"))
+
+EXACT_DEDUP = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS k FROM documents),
+g AS (SELECT k, first(doc_id ORDER BY n DESC, doc_id NULLS LAST) AS keep_id, max(n) AS n, count(*) AS group_size FROM d GROUP BY k)
+SELECT d.doc_id, g.keep_id, g.group_size::BIGINT AS group_size, d.n = g.n AND d.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(d.k) AS text_sha256
+FROM d JOIN g USING (k)
+"""
+
+SQL: dict[str, str] = {"op11_fill_middle": FILL_MIDDLE, "op12_prefix_trie": PREFIX_TRIE, "op13_exact_dedup": EXACT_DEDUP}

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triage.llm import chat_tools, decontaminate, embed_join, line_chunks, ngram_join, packing, pii, secrets, suffix_dedup, toxicity
-from triage.llm.common import table
+from triage.llm import (chat_tools, decontaminate, embed_join, exact_dedup, fill_middle, line_chunks, ngram_join, packing, pii, prefix_trie,
+                        secrets, suffix_dedup, toxicity)
+from triage.llm.common import land, table
 
 
 def tokenizer() -> str:
@@ -112,9 +113,30 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_tools.link_calls(calls, results, tools).withColumn("errors", F.array_join("errors", "; "))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts and digests of all documents, rearranged from a store of compressed frames."""
+    store = land(fill_middle.frame_store(table(spark, sf_dir, "documents").select("doc_id", "text")), "frames")
+    return fill_middle.digests(fill_middle.rearrange(store)).select(
+        "row.doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, each begun like the first of its family of twenty."""
+    trie = prefix_trie.build(*prefix_trie.rebuilt(prefix_trie.turns_of(table(spark, sf_dir, "conversations"))))
+    found = trie.nodes.join(prefix_trie.end_digests(trie.ends), "node", "left")
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+                        F.coalesce("ends_sha256", nothing).alias("ends_sha256"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets, "op2_pii": op2_pii, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing,
     "op5_embedding_join": op5_embedding_join, "op6_ngram_join": op6_ngram_join,
     "op7_suffix_dedup": op7_suffix_dedup, "op8_decontamination": op8_decontamination, "op9_line_dedup": op9_line_dedup,
-    "op10_tool_calls": op10_tool_calls,
+    "op10_tool_calls": op10_tool_calls, "op11_fill_middle": op11_fill_middle, "op12_prefix_trie": op12_prefix_trie,
+    "op13_exact_dedup": op13_exact_dedup,
 }
