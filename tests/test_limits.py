@@ -5,7 +5,8 @@ import json
 from pyspark.sql import functions as F
 
 from conftest import entry, texts
-from triage.operators import graphql
+from triage.functions import gqltext, jsonwalk, urls
+from triage.operators import exchanges, graphql
 from triage.sources import artifacts, captures
 
 
@@ -51,3 +52,113 @@ def test_graphql_evidence_is_whole(spark, exchange):
         found = [r[0] for df in (ops, graphql.gql_fragments(docs), sdl) for r in df.select("redacted_evidence").collect()]
         found += [r[0] for r in graphql.gql_errors(payloads).select("evidence").collect()] + [r.evidence for r in leads]
         assert len(found) == 6 and all("<redacted-email>" in t and "someone" not in t and "tail" in t for t in found)
+
+
+def test_urls_of_any_length(spark):
+    """A host is found behind any number of @ signs; patterns that repeat a group would end the JVM."""
+    long = 500_000
+    given = [("https://" + "a@" * long + "h.test/p?x=1", "h.test", "/p"), ("http://u:p@[::1]:80/x", "::1", "/x"), ("//q.test", "q.test", ""),
+             ("https://" + "a" * long + "/" + "b/" * long, "a" * long, "/" + "b/" * long), ("mailto:x@y.test", "", "x@y.test"),
+             ("http://h.test:80@evil.test:81/a@b", "evil.test", "/a@b")]
+    rows = spark.createDataFrame([(u,) for u, _, _ in given], "url string").select(urls.host(F.col("url")).alias("h"), urls.path(F.col("url")).alias("p")).collect()
+    assert [(r.h, r.p) for r in rows] == [(h, p) for _, h, p in given]
+
+
+def test_json_bodies_of_any_shape(spark, exchange):
+    """Repeated keys, NaN, lone surrogates, long numbers and deep nesting, against the built-in parser with its limits lifted."""
+    deep = '{"d":' * 30_000 + '"v"' + "}" * 30_000
+    given = {r'{"a":"\ud800x","\udfff":1,"p":"😀"}': ([("a", "�x"), ("�", "1"), ("p", "\U0001f600")], ["a", "�", "p"]),
+             '{"a":{"gone":1},"a":{"b":[1,{"c":NaN}]},"e":-Infinity}': ([("b", "1"), ("c", "nan"), ("e", "-inf")], ["a", "e", "b", "c"]),
+             '{"n":' + "9" * 6000 + "}": ([("n", "9" * 6000)], ["n"]), deep: ([("d", "v")], ["d"] * 30_000),
+             '{"a":1': ([], []), "[1,2,]": ([], []), ' {"x":null} ': ([("x", "None")], ["x"]), "": ([], []), "null": ([], [])}
+    rows = spark.createDataFrame([(i, b) for i, b in enumerate(given)], "i int, b string").repartition(1)
+    got = {r.i: r for r in rows.select("i", jsonwalk.body_leaves(F.col("b")).alias("leaves"), jsonwalk.json_keys(F.col("b")).alias("ks")).collect()}
+    for i, (leaves, keys) in enumerate(given.values()):
+        found = [(x["name"], x["value"]) for x in got[i].leaves if x["value"] != ""]
+        assert (found, sorted(got[i].ks)) == (leaves, sorted(keys)), i
+    ex = exchange(("a.har", [entry("https://a.test/graphql", "POST", body='{"query":"query Q { a }","variables":{"\\ud800":1},"v":' + "1" * 5000 + "}"),
+                             entry("https://a.test/graphql", "POST", body='{"query":"query R { b }","x":' + "[" * 30_000 + "]" * 30_000 + "}")]))
+    assert {r.operation_name for r in graphql.gql_operations(graphql.gql_documents(graphql.gql_payloads(ex))).collect()} == {"Q", "R"}
+    assert exchanges.sensitive_material(ex).count() >= 0
+
+
+def test_stack_parser_against_the_built_in_one():
+    import random
+
+    rng = random.Random(2)
+
+    def value(depth=0):
+        pick = rng.random()
+        if depth > 4 or pick < 0.4:
+            return rng.choice([1, -0.5, 1e20, True, None, "a\ud800b", 'x"\\', 12345678901234567890, ""])
+        if pick < 0.7:
+            return [value(depth + 1) for _ in range(rng.randint(0, 4))]
+        return {rng.choice("abc") + str(i): value(depth + 1) for i in range(rng.randint(0, 4))}
+
+    def tried(parser, text):
+        try:
+            return repr(parser(text))
+        except ValueError:
+            return None
+
+    for _ in range(3000):
+        text = json.dumps(value(), indent=rng.choice([None, 2]))
+        assert tried(jsonwalk._parse, text) == tried(json.loads, text) is not None
+        at = rng.randrange(len(text))
+        broken = text[:at] + rng.choice(["", "{", "}", ",", ":", '"', "1", "]", "["]) + text[at + 1 :]
+        assert tried(jsonwalk._parse, broken) == tried(json.loads, broken), broken
+
+
+def test_graphql_blocks_by_a_scan_per_head():
+    """Every head read afresh, character by character, gives the same blocks as the one pass."""
+    import random
+
+    rng = random.Random(1)
+
+    def end_of(text, start):
+        depth, inside, i = 0, "", start
+        while i < len(text):
+            c = text[i]
+            if inside == "#":
+                inside = "" if c in "\r\n" else "#"
+            elif inside == '"""':
+                if text.startswith('\\"', i):
+                    i += 1
+                elif text.startswith('"""', i):
+                    inside, i = "", i + 2
+            elif inside:
+                if c == "\\":
+                    i += 1
+                elif c == inside:
+                    inside = ""
+            elif text.startswith('"""', i):
+                inside, i = '"""', i + 2
+            elif c in "\"'`#":
+                inside = c
+            else:
+                depth += (c == "{") - (c == "}")
+                if depth == 0:
+                    return i + 1
+            i += 1
+        return None
+
+    for _ in range(20_000):
+        text = "".join(rng.choices(["{", "}", '"', "'", "`", "a", "#", "\n", '"""', "query {", "query x{"], k=rng.randint(1, 30)))
+        if '""""' in text:  # which three of four signs belong together depends on where a reading begins
+            continue
+        for block in gqltext.find_blocks(text):
+            brace = text.index("{", block["start"])
+            end = end_of(text, brace)
+            assert block["block"] == text[brace:end] if end else text[brace:].startswith(block["block"]), text
+
+
+def test_graphql_heads_without_an_end_take_linear_room():
+    for text in ("query a{ b " * 8000, "\"query a{ b' " * 8000, "query a{ # don't {\n" * 8000):
+        assert sum(len(b["block"]) for b in gqltext.find_blocks(text)) <= 2 * len(text)
+
+
+def test_schema_text_with_comments_and_descriptions(spark):
+    sdl = ('"""\nThe root: type Ghost { x: Int }\n"""\ntype Query {\n  # old(a: Int): Int }\n  "not: a field"\n  user(id: ID = "}", o: O = {a: 1}): User\n'
+           '  me: User @d(x: {k: "}"})\n}\n# type Gone { a: Int }\ntype User { id: ID }')
+    r = graphql.gql_schema_sdl(texts(spark, ("s.graphql", sdl))).first()
+    assert (r.type_names, r.query_names) == (["Query", "User"], ["me", "user"])

@@ -256,13 +256,60 @@ def test_scope_decisions(spark):
     urls = {"https://example.test/x": True, "http://a.api.example.test/": True, "https://api.example.test/": False, "https://admin.example.test/": False,
             "https://EXAMPLE.test/Private/a": False, "ftp://example.test/": False, "example.test": False, "https://docs.test/v1/a": True,
             "https://docs.test/v10/a": False, "https://z.test/open/b1": True, "https://example.test./x": True}
-    rows = scope.scope_decide(spark.createDataFrame([(u,) for u in urls], "url string"), given).collect()
+    rows = scope.scope_decide(spark.createDataFrame([(u,) for u in urls], "url string"), scope.rule_table(spark, given)).collect()
     assert {r.url: r.allowed for r in rows} == urls
     by_url = {r.url: r for r in rows}
     assert by_url["https://EXAMPLE.test/Private/a"].matched_rule == "example.test/private/*"
     assert by_url["ftp://example.test/"].reason.startswith("Invalid URL")
-    table = spark.createDataFrame([("in", 0, "a.test"), ("out", 0, "b.test")], schemas.SCOPE_RULE)
-    assert scope.rule_list(table) == [("out", "b.test"), ("in", "a.test")]
+    table = spark.createDataFrame([("in", 0, "a.test"), ("out", 1, "*.test/x"), ("out", 0, "a.test/x"), ("in", 1, None)], schemas.SCOPE_RULE)
+    got = {r.url: (r.allowed, r.matched_rule) for r in scope.scope_decide(spark.createDataFrame([("http://a.test/x",), ("http://a.test/",)], "url string"), table).collect()}
+    assert got == {"http://a.test/x": (False, "a.test/x"), "http://a.test/": (True, "a.test")}
+    assert scope.scope_decide(spark.createDataFrame([("http://a.test/",)], "url string"), table.limit(0)).first().allowed is False
+
+
+def test_scope_rules_of_all_forms_against_shell_patterns(spark):
+    """Random rules and targets by plain loops."""
+    import random
+    from fnmatch import fnmatchcase
+    from urllib.parse import urlsplit
+
+    rng = random.Random(5)
+    word = lambda: rng.choice(["a", "b", "ab", "api", "x1", "a-b", "é", "a[b"])
+    host = lambda: ".".join(word() for _ in range(rng.randint(1, 4)))
+    urls = {f"http://{host().replace('[', '')}{''.join('/' + word() for _ in range(rng.randint(0, 4)))}" for _ in range(400)}
+    urls |= {"http://" + "a." * 300 + "b/" + "x/" * 5000}
+    wild = lambda x: "".join(rng.choice(["*", "?", "[ab]", "[!a]", "[a-c]", "[z-a]", "["]) if rng.random() < 0.15 else c for c in x)
+    made = set()
+    for _ in range(600):
+        name = rng.choice(["", "*."]) + host().replace("[", "")
+        where = "/" + "/".join(word() for _ in range(rng.randint(0, 4)))
+        made.add(rng.choice([name, wild(name + where), wild(where), "https://" + name + wild(where).replace("?", "*").replace("#", ""), "", "  ", "*"]))
+    made = sorted(made)
+
+    def matches(rule, name, where):
+        text = rule.strip().lower().rstrip(".")
+        is_host = lambda r: name.endswith(r[1:]) if r.startswith("*.") else name == r
+        if not text:
+            return False
+        if "://" in text:
+            try:
+                parts = urlsplit(text)
+            except ValueError:
+                return False
+            return bool(parts.hostname) and is_host(parts.hostname.rstrip(".")) and fnmatchcase(where, parts.path or "/")
+        if text.startswith("/"):
+            return fnmatchcase(where, text)
+        return fnmatchcase(name + where, text) if "/" in text else is_host(text)
+
+    want = set()
+    for u in urls:
+        parts = urlsplit(u)
+        for i, r in enumerate(made):
+            if parts.hostname and matches(r, parts.hostname.rstrip("."), parts.path or "/"):
+                want.add((u, i))
+    table = spark.createDataFrame([("in", i, r) for i, r in enumerate(made)], schemas.SCOPE_RULE)
+    got = [(r.url, r.ord) for r in scope.scope_matches(spark.createDataFrame([(u,) for u in urls], "url string"), table).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
 
 
 # --- quality ----------------------------------------------------------------------------------------------------------

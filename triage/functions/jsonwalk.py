@@ -1,71 +1,171 @@
-"""Walking JSON bodies."""
+"""Walking JSON bodies of any shape: keys and named leaves.
+
+Bodies are taken as they come: repeated keys (the last value counts), NaN and infinities, numbers of any length, any depth, and lone
+surrogate escapes, which become U+FFFD since no UTF-8 text can hold them.  What is no JSON has no keys and no leaves.
+"""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from json.decoder import scanstring
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_ESCAPED_BACKSLASH, _ESCAPED_QUOTE = "\x01", "\x02"
-_KEY = r'"([^"]*+)"(\s*+:)?'
-
+_TOKEN = re.compile(
+    r"[ \t\n\r]*(?:(?P<mark>[{}\[\],:])|(?P<quote>\")|(?P<number>-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)|(?P<word>true|false|null|NaN|-?Infinity))")
+_WORDS = {"true": True, "false": False, "null": None, "NaN": float("nan"), "Infinity": float("inf"), "-Infinity": float("-inf")}
+_END = re.compile(r"[ \t\n\r]*\Z")
+#: Digits from which a whole number is kept as text instead of being computed.
+_LONG = 4000
 
-def json_keys(body: Column) -> Column:
-    """Every object key of a JSON text, at any depth, once per occurrence.
 
-    In valid JSON a quote only delimits strings once escaped quotes are out of the
-    way, so a left-to-right scan of string tokens is exact, and a token followed by
-    a colon is a key.  One linear pass on the JVM; the validity test before it has the
-    limits of the JSON parser (repeated keys, NaN, very long numbers, deep nesting: no keys).
-    """
-    masked = F.replace(F.replace(body, F.lit("\\\\"), F.lit(_ESCAPED_BACKSLASH)), F.lit('\\"'), F.lit(_ESCAPED_QUOTE))
-    tokens = F.arrays_zip(F.regexp_extract_all(masked, F.lit(_KEY), F.lit(1)).alias("t"),
-                          F.regexp_extract_all(masked, F.lit(_KEY), F.lit(2)).alias("c"))
-    raw = F.transform(F.filter(tokens, lambda z: z["c"] != ""), lambda z: z["t"])
-    plain = F.transform(raw, lambda k: F.when(k.rlike("[\\\\\x01\x02]"), _unescape(k)).otherwise(k))
-    empty = F.array().cast("array<string>")
-    looks = F.regexp_extract(body, r"^\s*+(.)", 1).isin("{", "[")
-    return F.when(looks & F.try_parse_json(body).isNotNull(), plain).otherwise(empty)
+class Digits:
+    """A whole number too long to compute with."""
 
+    def __init__(self, text: str) -> None:
+        self.text = text
 
-def _unescape(key: Column) -> Column:
-    text = F.replace(F.replace(key, F.lit(_ESCAPED_BACKSLASH), F.lit("\\\\")), F.lit(_ESCAPED_QUOTE), F.lit('\\"'))
-    return F.coalesce(F.from_json(F.concat(F.lit('["'), text, F.lit('"]')), "array<string>")[0], text)
+    def __str__(self) -> str:
+        return self.text
 
 
-def distinct_json_keys(body: Column) -> Column:
-    return F.array_sort(F.array_distinct(json_keys(body)))
+def utf8(text: str | None) -> str | None:
+    """The text with U+FFFD for lone surrogates."""
+    if text is None or text.isascii():
+        return text
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return text
 
 
-def _leaves(text):
-    """(name, value) leaves in document order; list items inherit the name above them."""
+def parse(text: str):
+    """The value of a JSON text; ValueError if it is none.  The built-in parser reads all but deep nesting and very long numbers."""
     try:
-        root = json.loads(text)
+        return json.loads(text)
+    except json.JSONDecodeError:
+        raise
     except (ValueError, RecursionError):
+        return _parse(text)
+
+
+def _parse(text: str):
+    """One pass over the tokens with the open arrays and objects on a stack."""
+    at, root = 0, []
+    stack: list[tuple[list | dict, str | None]] = [(root, None)]  # container, key that waits for its value
+    ready = True  # a value may come: after an opening, a comma or a colon
+    opened = False  # the container may also end here
+    while len(stack) > 1 or not root:
+        token = _TOKEN.match(text, at)
+        if token is None:
+            raise ValueError(f"no JSON at {at}")
+        at, kind, mark = token.end(), token.lastgroup, token.group().lstrip(" \t\n\r")
+        box, key = stack[-1]
+        if kind == "mark" and mark in "]}":
+            if len(stack) == 1 or (isinstance(box, dict) != (mark == "}")) or (ready and not opened) or key is not None:
+                raise ValueError(f"{mark} at {at}")
+            stack.pop()
+            ready = opened = False
+            continue
+        if kind == "mark" and mark == ",":
+            if ready or len(stack) == 1:
+                raise ValueError(f"comma at {at}")
+            ready, opened = True, False
+            continue
+        if not ready:
+            raise ValueError(f"value at {at}")
+        if isinstance(box, dict) and key is None:
+            if kind != "quote":
+                raise ValueError(f"no key at {at}")
+            name, at = scanstring(text, at, True)
+            colon = _TOKEN.match(text, at)
+            if colon is None or colon.group("mark") != ":":
+                raise ValueError(f"no colon at {at}")
+            at, opened = colon.end(), False
+            stack[-1] = (box, name)
+            continue
+        if kind == "quote":
+            value, at = scanstring(text, at, True)
+        elif kind == "mark":
+            if mark == ":":
+                raise ValueError(f"colon at {at}")
+            value = {} if mark == "{" else []
+        elif kind == "number":
+            whole = not set(mark) & set(".eE")
+            value = float(mark) if not whole else Digits(mark) if len(mark) > _LONG else int(mark)
+        else:
+            value = _WORDS[mark]
+        if isinstance(box, dict):
+            box[key] = value
+            stack[-1] = (box, None)
+        else:
+            box.append(value)
+        ready = opened = kind == "mark"
+        if opened:
+            stack.append((value, None))
+    if not _END.match(text, at):
+        raise ValueError(f"more at {at}")
+    return root[0]
+
+
+def walk(text: str | None, keys: bool = False):
+    """Keys, once per occurrence, or (name, value) leaves in document order; None if the text is no JSON, or null.
+
+    Items of a list inherit the name above them; leaves without a name are left out.
+    """
+    if text is None:
+        return None
+    try:
+        root = parse(text)
+    except ValueError:
+        return None
+    if root is None:
         return None
     found, stack = [], [("", root)]
     while stack:
         name, node = stack.pop()
         if isinstance(node, dict):
-            stack.extend((str(k), v) for k, v in reversed(node.items()))
+            if keys:
+                found.extend(utf8(k) for k in node)
+            stack.extend((k, v) for k, v in reversed(node.items()))
         elif isinstance(node, list):
             stack.extend((name, v) for v in reversed(node))
-        elif name:
-            found.append({"name": name, "value": str(node)})
-    return None if root is None else found
+        elif name and not keys:
+            found.append((utf8(name), utf8(str(node))))
+    return found
 
 
 _PAIRS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.StringType())]))
+_ARROW_PAIRS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
 
 
-@F.pandas_udf(_PAIRS)
-def _json_leaves(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in bodies:
-        yield batch.map(lambda b: _leaves(b) if b is not None else None)
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _json_keys(bodies: pa.Array) -> pa.Array:
+    return pa.array([walk(b.as_py(), keys=True) for b in bodies], pa.list_(pa.string()))
+
+
+@F.arrow_udf(_PAIRS)
+def _json_leaves(bodies: pa.Array) -> pa.Array:
+    found = (walk(b.as_py()) for b in bodies)
+    return pa.array([f and [{"name": n, "value": v} for n, v in f] if f is not None else None for f in found], _ARROW_PAIRS)
+
+
+def json_keys(body: Column) -> Column:
+    """Every object key of a JSON text, at any depth, once per occurrence.
+
+    The one Arrow step that a plan takes for all the bodies of its rows; only bodies that open like an object or a list are sent to it.
+    """
+    opens = F.regexp_extract(body, r"^\s*+(.)", 1).isin("{", "[")
+    return F.coalesce(_json_keys(F.when(opens, body)), F.array().cast("array<string>"))
+
+
+def distinct_json_keys(body: Column) -> Column:
+    return F.array_sort(F.array_distinct(json_keys(body)))
 
 
 def body_leaves(body: Column) -> Column:

@@ -29,8 +29,9 @@ def netloc(url: Column) -> Column:
 
 def host(url: Column) -> Column:
     """Lower-case host name without user info, port or brackets."""
-    authority = _OPTIONAL_SCHEME + r"//(?:[^/?#@]*@)*\[?((?<=\[)[^\]/?#]*|[^/?#:@\[\]]*)"
-    return F.lower(F.regexp_extract(url, authority, 1))
+    # user info goes by substring_index: a pattern that repeats a group takes a stack frame for every "@"
+    return let(F.substring_index(netloc(url), "@", -1), lambda a: F.lower(
+        F.regexp_extract(a, r"^\[?((?<=\[)[^\]]*|[^:\[\]]*)", 1)))
 
 
 def path(url: Column) -> Column:

@@ -106,7 +106,7 @@ def gql_payloads(exchanges: DataFrame | None = None, artifacts: DataFrame | None
     parts = []
     if exchanges is not None:
         rows = _payload_rows(exchanges)
-        raw = (F.col("side") == 0) & F.try_parse_json("body").isNull() & F.col("body").rlike(_OP_TEST)
+        raw = (F.col("side") == 0) & F.col("w").isNull() & F.col("body").rlike(_OP_TEST)
         whole = F.array(F.struct(F.lit("document").alias("kind"), F.col("body").alias("text"),
                                  F.lit("").alias("operation_name"), F.lit(1).alias("n")))
         walked = rows.withColumn("w", payload_parts(F.col("body")))
@@ -194,9 +194,13 @@ def gql_variables(operations: DataFrame) -> DataFrame:
                                "object_id_candidate": is_object_id(F.col("name"))})
 
 
+#: Block strings, strings and comments of schema text, whichever begins first.
+_SDL_ASIDE = r'(?s)""".*?(?:"""|\z)|"(?:\\.|[^"\\\n])*+"|#[^\n\r]*'
+
+
 def gql_schema_sdl(artifacts: DataFrame) -> DataFrame:
-    """Type names and root fields of schema text."""
-    text = F.col("text")
+    """Type names and root fields of schema text; what descriptions and comments say is no schema."""
+    text = F.col("code")
     types = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(rules.GQL_TYPE_NAME), F.lit(1))))
     roots = F.arrays_zip(
         F.transform(F.regexp_extract_all(text, F.lit(rules.GQL_ROOT_TYPE), F.lit(1)), F.lower).alias("root"),
@@ -208,7 +212,9 @@ def gql_schema_sdl(artifacts: DataFrame) -> DataFrame:
         got = F.regexp_extract_all(F.coalesce(last, F.lit("")), F.lit(rules.GQL_ROOT_FIELD), F.lit(1))
         return F.array_sort(F.array_distinct(got))
 
-    df = artifacts.filter(text.rlike(rules.GQL_TYPE_NAME) | text.rlike(rules.GQL_ROOT_TYPE)).select(
+    may = lambda x: x.rlike(rules.GQL_TYPE_NAME) | x.rlike(rules.GQL_ROOT_TYPE)
+    coded = artifacts.filter(F.col("text").rlike(r"(?i)type|interface|input|enum|union|scalar")).withColumn("code", F.regexp_replace("text", _SDL_ASIDE, ""))
+    df = coded.filter(may(text)).select(
         "source_file", "text", types.alias("type_names"), roots.alias("roots")).withColumns(
         {f"{k}_names": names(k) for k in ("query", "mutation", "subscription")})
     fields = F.array_sort(F.array_union(F.array_union("query_names", "mutation_names"), F.col("subscription_names")))
@@ -217,7 +223,7 @@ def gql_schema_sdl(artifacts: DataFrame) -> DataFrame:
         F.lit("schema_sdl").alias("artifact_type"), "type_names", "query_names", "mutation_names",
         "subscription_names", F.filter("type_names", is_sensitive).alias("sensitive_types"),
         F.filter(fields, is_sensitive).alias("sensitive_fields"),
-        redact(text).alias("redacted_evidence"))
+        redact(F.col("text")).alias("redacted_evidence"))
 
 
 _TYPE = "struct<name:string,fields:array<struct<name:string>>>"

@@ -1,29 +1,34 @@
-"""Scope policy: URLs against an ordered list of in and out rules.
+"""Scope policy: URLs against a table of in and out rules.
 
-A scope profile is a hand-written list.  Its rules become literal conditions of
-each row, so a decision needs no join and no shuffle of the URLs, and every
-pattern is compiled once per task.
+Rules meet targets in an equi-join, so neither their number nor their order reaches the driver or the plan.  Every rule has one key that each
+of its matches must have: its host or domain, the first segments of its path up to the first wildcard, or, for globs over the host, a word
+that stands free in it.  A target has few keys: its host, its domains, each with and without the first segments of its path, and its words.
+What meets is then tested as a whole, and the first match in the order of the rules (out rules before in rules) decides.
 """
 
 from __future__ import annotations
 
-import fnmatch
+import re
 from urllib.parse import urlsplit
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from triage.functions.urls import host, path, scheme
 
-MAX_RULES = 5_000
+#: Path segments and labels of a domain in a key; longer rules share the key of their beginning and are told apart by the test.
+SEGMENTS, LABELS = 2, 8
+#: Parts into which the targets of a key are dealt, so that one that all targets have isn't one task.
+SALTS = 16
 
+_RULE = T.StructType([T.StructField(n, T.StringType()) for n in ("key", "host", "under", "exact", "path_regex", "whole_regex")])
 
-def rule_list(rules: DataFrame) -> list[tuple[str, str]]:
-    """(kind, rule) pairs of a (kind, ord, rule) table, out rules first; the size is checked."""
-    rows = rules.orderBy(F.when(F.col("kind") == "out", 0).otherwise(1), "ord").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"A scope profile may have at most {MAX_RULES} rules")
-    return [(r["kind"], r["rule"]) for r in rows]
+
+def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
+    """(kind, ord, rule) of (kind, rule) pairs in their order."""
+    return spark.createDataFrame([(k, i, r) for i, (k, r) in enumerate(rules)], "kind string, ord int, rule string")
 
 
 def scope_target(url: Column) -> Column:
@@ -34,58 +39,176 @@ def scope_target(url: Column) -> Column:
     return F.when(valid, F.struct(name.alias("host"), F.lower(where).alias("path")))
 
 
-def _glob(text: Column, pattern: str) -> Column:
-    if not any(c in pattern for c in "*?["):
-        return text == pattern
-    regex = fnmatch.translate(pattern)
-    return text.rlike("^" + regex.replace(r"\Z", r"\z"))
-
-
-def _host_is(name: Column, rule: str) -> Column:
-    return name.endswith(rule[1:]) & (name != rule[1:]) if rule.startswith("*.") else name == rule
-
-
-def rule_condition(target: Column, rule: str) -> Column | None:
-    """Condition under which a target matches a rule; NULL rules match nothing."""
-    text = rule.strip().lower().rstrip(".")
-    name, where = target["host"], target["path"]
+# ---- rules --------------------------------------------------------------------------------------------------------------
+
+def glob_regex(pattern: str) -> str:
+    """A shell pattern as a JVM expression: ``*``, ``?`` and ``[…]`` or ``[!…]``; a bracket that isn't closed stands for itself."""
+    out, at = [], 0
+    while at < len(pattern):
+        c = pattern[at]
+        at += 1
+        if c == "*":
+            while pattern[at : at + 1] == "*":
+                at += 1
+            out.append(".*")
+        elif c == "?":
+            out.append(".")
+        else:
+            end = pattern.find("]", at + 1 + (pattern[at : at + 1] == "!")) if c == "[" else -1
+            if end < 0:
+                out.append(re.escape(c) if c.isascii() else c)
+                continue
+            out.append(_bracket(pattern[at:end]))
+            at = end + 1
+    return "(?s)^" + "".join(out) + r"\z"
+
+
+def _bracket(body: str) -> str:
+    negated, body = body.startswith("!"), body.removeprefix("!")
+    parts, i = [], 0
+    while i < len(body):
+        if body[i + 1 : i + 2] == "-" and i + 2 < len(body):
+            if body[i] <= body[i + 2]:
+                parts.append(f"{_in_class(body[i])}-{_in_class(body[i + 2])}")
+            i += 3
+        else:
+            parts.append(_in_class(body[i]))
+            i += 1
+    if not parts:  # only ranges that hold nothing
+        return "." if negated else r"(?!)"
+    return f"[{'^' if negated else ''}{''.join(parts)}]"
+
+
+def _in_class(c: str) -> str:
+    return "\\" + c if c in "\\[]^-&" else c
+
+
+def _literal(pattern: str) -> str:
+    """What stands before the first wildcard."""
+    return re.split(r"[*?\[]", pattern, maxsplit=1)[0]
+
+
+def _path_key(pattern: str) -> str:
+    """``=`` and the whole path, or the first whole segments of what every match begins with."""
+    literal = _literal(pattern)
+    if literal == pattern:
+        return "=" + pattern
+    return "/".join(literal.split("/")[:-1][: SEGMENTS + 1]) + "/"
+
+
+def _free_word(pattern: str) -> str | None:
+    """The last word of a pattern that has no wildcard at either end."""
+    found = None
+    for m in re.finditer(r"[^\W_]+", re.sub(r"(?s)\[!?.[^\]]*\]?", "*", pattern), re.ASCII):
+        text = m.string
+        if text[m.start() - 1 : m.start()] not in ("*", "?") and text[m.end() : m.end() + 1] not in ("*", "?"):
+            found = m.group()
+    return found
+
+
+def read_rule(rule: str | None) -> dict | None:
+    """The parts of a rule, or None for one that matches nothing."""
+    text = (rule or "").strip().lower().rstrip(".")
     if not text:
         return None
+    name, where = text, None
     if "://" in text:
-        parts = urlsplit(text)
-        if not parts.hostname:
+        try:
+            parts = urlsplit(text)
+            name, where = (parts.hostname or "").rstrip("."), parts.path or "/"
+        except ValueError:
             return None
-        return _host_is(name, parts.hostname.rstrip(".")) & _glob(where, parts.path or "/")
-    if text.startswith("/"):
-        return _glob(where, text)
-    if "/" in text:
-        return _glob(F.concat(name, where), text)
-    return _host_is(name, text)
-
-
-def _conditions(rules: list[tuple[str, str]]):
-    for order, (kind, rule) in enumerate(sorted(rules, key=lambda r: r[0] != "out")):
-        cond = rule_condition(F.col("_t"), rule)
-        if cond is not None:
-            yield cond, F.struct(F.lit(kind).alias("kind"), F.lit(order).alias("ord"), F.lit(rule).alias("rule"))
-
-
-def scope_matches(urls: DataFrame, rules: list[tuple[str, str]], url: str = "url") -> DataFrame:
+        if not name:
+            return None
+    elif "/" in text:
+        name, _, rest = text.partition("/")
+        where = "/" + rest
+        if name != _literal(name):  # a wildcard of the host can reach into the path
+            word = _free_word(text)
+            return {"key": f"t|{word}" if word else "*", "whole_regex": glob_regex(text)}
+    if where is not None and not where.startswith("/"):
+        return None
+    out = {"key": "", "host": name or None, "under": None}
+    if name.startswith("*.") and "://" in text or name.startswith("*.") and where is None:
+        out |= {"host": None, "under": name[2:]}
+        out["key"] = "u|" + ".".join(name[2:].split(".")[-LABELS:])
+    elif name:
+        out["key"] = "h|" + name
+    if where is not None:
+        out["key"] += "|" + _path_key(where)
+        out |= {"exact": where} if _literal(where) == where else {"path_regex": glob_regex(where)}
+    return out
+
+
+@F.arrow_udf(_RULE)
+def _read_rules(rules: pa.Array) -> pa.Array:
+    return pa.array([read_rule(r.as_py()) for r in rules], pa.struct([(f.name, pa.string()) for f in _RULE]))
+
+
+def compiled(rules: DataFrame) -> DataFrame:
+    """kind, ord, rule, rank (its place in the order) and parts of every rule that can match something."""
+    rank = F.when(F.col("kind") == "out", 0).otherwise(1).cast("bigint") * (1 << 40) + F.col("ord")
+    return rules.select("kind", "ord", "rule", rank.alias("rank"), _read_rules(F.col("rule")).alias("r")).select(
+        "kind", "ord", "rule", "rank", "r.*").where("key is not null")
+
+
+# ---- targets ------------------------------------------------------------------------------------------------------------
+
+def _target_keys(name: Column, where: Column) -> Column:
+    labels = F.split(name, r"\.")
+    size = F.size(labels)
+    tails = F.when(size > 1, F.transform(
+        F.sequence(F.lit(1), F.least(size - 1, F.lit(LABELS))), lambda n: F.concat(F.lit("u|"), F.array_join(F.slice(labels, -n, n), "."))))
+    hosts = F.concat(F.array(F.concat(F.lit("h|"), name)), F.coalesce(tails, F.array().cast("array<string>")))
+    segments = F.split(where, "/", SEGMENTS + 2)
+    folders = F.transform(F.sequence(F.lit(1), F.size(segments) - 1), lambda n: F.concat(F.array_join(F.slice(segments, F.lit(1), n), "/"), F.lit("/")))
+    paths = F.transform(F.concat(F.array(F.concat(F.lit("="), where)), folders), lambda p: F.concat(F.lit("|"), p))
+    both = F.flatten(F.transform(F.concat(hosts, F.array(F.lit(""))), lambda h: F.transform(paths, lambda p: F.concat(h, p))))
+    words = F.transform(F.regexp_extract_all(F.concat(name, where), F.lit("[0-9a-z]+"), F.lit(0)), lambda w: F.concat(F.lit("t|"), w))
+    return F.array_distinct(F.concat(hosts, both, words, F.array(F.lit("*"))))
+
+
+def _matches(targets: DataFrame, rules: DataFrame) -> DataFrame:
+    """host, path, kind, ord, rule, rank of every distinct target and every rule that matches it."""
+    parts = compiled(rules).withColumnRenamed("host", "rule_host").withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    keyed = targets.select("host", "path", F.explode(_target_keys(F.col("host"), F.col("path"))).alias("key")).withColumn(
+        "salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int"))
+    c = F.col
+    fits = ((c("rule_host").isNull() | (c("host") == c("rule_host")))
+            & (c("under").isNull() | c("host").endswith(F.concat(F.lit("."), c("under"))))
+            & (c("exact").isNull() | (c("path") == c("exact")))
+            & (c("path_regex").isNull() | F.rlike(c("path"), c("path_regex")))
+            & (c("whole_regex").isNull() | F.rlike(F.concat("host", "path"), c("whole_regex"))))
+    return keyed.join(parts, ["key", "salt"]).where(fits).select("host", "path", "kind", "ord", "rule", "rank")
+
+
+def _with_target(urls: DataFrame, url: str) -> DataFrame:
+    return urls.withColumn("__t", scope_target(F.col(url)))
+
+
+def scope_matches(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     """Every (row, rule) pair that matches."""
-    hits = F.array_compact(F.array(*[F.when(cond, value) for cond, value in _conditions(rules)]))
-    found = urls.withColumn("_t", scope_target(F.col(url)))
-    return found.select(*urls.columns, F.inline(hits))
-
-
-def scope_decide(urls: DataFrame, rules: list[tuple[str, str]], url: str = "url") -> DataFrame:
-    """Decision, reason and deciding rule per row: out rules first, then in rules, else denied."""
-    hit = F.coalesce(*[F.when(cond, value) for cond, value in _conditions(rules)],
-                     F.lit(None).cast("struct<kind:string,ord:int,rule:string>"))
-    decided = urls.withColumn("_t", scope_target(F.col(url))).withColumn("_m", hit)
-    kind, valid = F.col("_m.kind"), F.col("_t").isNotNull()
-    reason = (F.when(~valid, "Invalid URL; an explicit http:// or https:// URL is required.")
+    found = _with_target(urls, url).where("__t is not null").withColumns({"__host": F.col("__t.host"), "__path": F.col("__t.path")})
+    hits = _matches(found.select(F.col("__host").alias("host"), F.col("__path").alias("path")).distinct(), rules)
+    hits = hits.select(F.col("host").alias("__host"), F.col("path").alias("__path"), "kind", "ord", "rule")
+    return found.join(hits, ["__host", "__path"]).select(*urls.columns, "kind", "ord", "rule")
+
+
+def scope_decide(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
+    """Decision, reason and deciding rule per row: out rules first, then in rules, else denied.  Of rules with the same place the
+    smallest text decides."""
+    given = _with_target(urls, url)
+    valid = given.where("__t is not null").withColumns({"__host": F.col("__t.host"), "__path": F.col("__t.path")}).drop("__t")
+    first = _matches(valid.select(F.col("__host").alias("host"), F.col("__path").alias("path")).distinct(), rules).groupBy("host", "path").agg(
+        F.min(F.struct("rank", "rule", "kind")).alias("m"))
+    first = first.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("m.kind").alias("__kind"), F.col("m.rule").alias("__rule"))
+    decided = valid.join(first, ["__host", "__path"], "left").drop("__host", "__path")
+    broken = given.where("__t is null").drop("__t").withColumns({"__kind": F.lit("none"), "__rule": F.lit(None).cast("string")})
+    kind = F.col("__kind")
+    reason = (F.when(kind == "none", "Invalid URL; an explicit http:// or https:// URL is required.")
               .when(kind == "out", "Target matches an explicit out-of-scope rule.")
               .when(kind == "in", "Target matches an in-scope rule.")
               .otherwise("Target does not match any in-scope rule."))
-    return (decided.withColumns({"allowed": F.coalesce(valid & (kind == "in"), F.lit(False)), "reason": reason,
-                                 "matched_rule": F.coalesce(F.col("_m.rule"), F.lit(""))}).drop("_t", "_m"))
+    both = decided.unionByName(broken)
+    return both.withColumns({"allowed": F.coalesce(kind == "in", F.lit(False)), "reason": reason,
+                             "matched_rule": F.coalesce("__rule", F.lit(""))}).drop("__kind", "__rule")

@@ -61,7 +61,8 @@ def event_stages(dialect: str) -> list[list[tuple[str, str]]]:
         ("gql", "case when k % 10 = 0 then 'mutation UpdateUser($userId: ID!, $role: String) "
                 "{ updateUser(id: $userId, role: $role) { id email tenantName ...UserBits } } "
                 "fragment UserBits on User { phone }' else 'query Invoices' || org || '($orgId: ID!) "
-                "{ invoices(org: $orgId) { total currency label(text: \"a } b\") } }' end"),
+                "{ invoices(org: $orgId) { total currency label(text: \"a } b' || case when k % 50 = 1 then repeat(' word', 300) else '' end || "
+                "'\") last' || ks || ' } }' end"),
     ]
     third = [(n, n) for n, _ in second] + [
         ("url", "'https://' || host || path || qs"),
@@ -247,6 +248,8 @@ def saved_artifacts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SDL = (
+    "'# type Old { was: String } isn''t read' || chr(10) || chr(34) || chr(34) || chr(34) || 'Not read: } {' || chr(10) || '  token: a type Ghost' "
+    "|| chr(34) || chr(34) || chr(34) || chr(10) || "
     "'type Supplier' || s || ' {' || chr(10) || '  id: ID!' || chr(10) || '  email: String' || chr(10) || '}' || chr(10) || "
     "'type Query {' || chr(10) || '  supplier' || s || '(id: ID!): Supplier' || s || chr(10) || '  ownerOf' || s || ': String' "
     "|| chr(10) || '}' || chr(10) || 'enum Role' || s || ' { A B }'"
@@ -388,3 +391,16 @@ def workspaces(spark: SparkSession, sf: str) -> DataFrame:
         F.when(c("doc_id") % 8 != 0, F.array(step)).otherwise(F.array().cast(
             "array<struct<id:string,ord:int,action:string,expected_result:string,actual_result:string>>")).alias("reproduction_steps"),
         F.array(item).alias("evidence_items"), F.array().cast("array<string>").alias("quality_warnings"))
+
+
+# A scope policy with one rule for every part, in all the forms that rules have.
+_N, _K = "cast(p_partkey % 1000 as varchar(20))", "cast(p_partkey as varchar(20))"
+POLICY_RULE = f"""case p_partkey % 12 when 0 then '/en/' || {_N} when 1 then '/fr/' || cast(p_partkey % 100 as varchar(20)) || '*'
+ when 2 then 'thther.example.org/en/' || {_N} || '*' when 3 then '*.example.net/de/' || {_N} || '?' when 4 then 'https://m.ththth.example.net/en/' || {_N}
+ when 5 then 'h' || {_K} || '.example.org' when 6 then '*.T' || {_K} || '.example.net.' when 7 then 'https://*.example.com/es/' || {_N} || '[./]*'
+ when 8 then '*/admin/*' || {_K} || '*' when 9 then 'blog.*/es/' || {_N} when 10 then ' https://*.example.org/[!e]?/' || {_N} || '/ '
+ else case when p_partkey % 500 = 11 then '*.example.net' else 'api.example.test/v' || cast(p_partkey % 50 as varchar(20)) || '/*' end end"""
+
+
+def policy_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").selectExpr("case when p_partkey % 5 < 2 then 'out' else 'in' end as kind", "p_partkey as ord", f"{POLICY_RULE} as rule")

@@ -28,8 +28,7 @@ GQL_EP = f""", ge0 as (select source_file, entry_idx as ord, method, url, {_AUTH
  ge as (select method, gh, gp, count(*) as occurrences, arg_min({{'url': case when {scheme('url')} <> '' then {scheme('url')} || '://' ||
  {netloc('url')} || gp else gp end, 'source_file': source_file}}, {{'a': source_file, 'b': ord}}) as f,
  array_to_string(list_sort(list_distinct(flatten(list(string_split(auths, ','))))), ',') as auth_indicators from ge1 group by method, gh, gp)"""
-_BEARING = f"(select * from {ARTS} where contains(lower(text), 'graphql'))"
-SQL["gql_endpoints"] = BASE + GQL_EP.replace("SRC", _BEARING) + f""" select {_gid('gql-endpoint', 'method', 'gh', 'gp')} as endpoint_id, method,
+SQL["gql_endpoints"] = BASE + GQL_EP.replace("SRC", f"(select * from {ARTS})") + f""" select {_gid('gql-endpoint', 'method', 'gh', 'gp')} as endpoint_id, method,
  gh as host, gp as path, {redact('f.url')} as url, f.source_file as source_file, occurrences, auth_indicators from ge"""
 
 # --- operations: the shapes of the derived documents are known ---------------------------------------------
@@ -72,7 +71,7 @@ SQL["gql_operations"] = BASE + DOCS_CTE + f""" select operation_id, source_file,
  lambda z: regexp_replace(z[2:], ':\\s*', ':')), ',') as variable_types, array_to_string(fs, ',') as fields,
  array_to_string(list_sort(list_distinct(regexp_extract_all(blk, '\\.\\.\\.([A-Za-z_]\\w*)', 1))), ',') as fragments,
  array_to_string(sf, ',') as sensitive_fields, array_to_string(oi, ',') as object_id_candidates, tags as risk_tags,
- {redact('substr(blk, 1, 1200)')} as redacted_evidence from op"""
+ {redact('blk')} as redacted_evidence from op"""
 SQL["gql_variables"] = BASE + DOCS_CTE + f""", vr as (select unnest(vars) as name, args, source_file, entry_idx from op)
  select name, arg_min(regexp_extract(args, '\\$' || name || ':\\s*([\\w!]+)', 1), {{'a': source_file, 'b': entry_idx}}) as value_type,
  count(*) as operations, cast({sensitive('name')} as int) as sensitive, cast({object_id('name')} as int) as object_id_candidate from vr group by name"""

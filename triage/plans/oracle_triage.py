@@ -182,6 +182,24 @@ SQL["scope_decide"] = _SC + f""", pk as (select *, {_PICK} as m from sc) select
 SQL["scope_matches"] = _SC + " " + " union all ".join(
     f"select source_file, entry_idx, {q(k)} as kind, {q(r)} as rule from sc where ok and {c}" for k, r, c in _RULES)
 
+# Every distinct target against every rule, each rule read by its form.
+_POLICY = _SC + f""", tg as (select distinct h, lp from sc where ok),
+ ru as (select case when p_partkey % 5 < 2 then 'out' else 'in' end as kind, p_partkey as ord, {D.POLICY_RULE} as rule from part),
+ rn as (select *, rtrim(lower(trim(rule)), '.') as t from ru),
+ rp as (select *, contains(t, '://') as u, case when contains(t, '://') then regexp_extract(t, '^[a-z]+://([^/]*)', 1) else t end as rh,
+  case when contains(t, '://') then coalesce(nullif(regexp_extract(t, '^[a-z]+://[^/]*(/.*)$', 1), ''), '/') end as rpath from rn),
+ hit as (select tg.*, kind, ord, rule from tg join rp on
+  case when u then (case when starts_with(rh, '*.') then ends_with(h, rh[2:]) else h = rh end) and lp glob rpath
+       when starts_with(t, '/') then lp glob t when contains(t, '/') then (h || lp) glob t
+       when starts_with(t, '*.') then ends_with(h, t[2:]) else h = t end)"""
+SQL["scope_policy_matches"] = _POLICY + " select kind, ord, rule, count(*) as urls from sc join hit using (h, lp) where ok group by all"
+SQL["scope_policy_decide"] = _POLICY + """, fst as (select h, lp, first(kind order by kind desc, ord) as kind, first(rule order by kind desc, ord) as rule
+  from hit group by h, lp) select source_file, entry_idx, url, cast(ok and coalesce(kind = 'in', false) as int) as allowed,
+ case when not ok then 'Invalid URL; an explicit http:// or https:// URL is required.' when kind = 'out' then
+ 'Target matches an explicit out-of-scope rule.' when kind = 'in' then 'Target matches an in-scope rule.'
+ else 'Target does not match any in-scope rule.' end as reason, case when ok then coalesce(rule, '') else '' end as matched_rule
+ from sc left join fst using (h, lp)"""
+
 # --- quality ---------------------------------------------------------------------------------------------------------
 
 _PRES = f"""with ws as (select *, title || ' ' || impact || ' ' || rationale || ' Denied Allowed' as body, 'e1' as eid from {_WS}),

@@ -710,15 +710,31 @@ def artifact_dedupe(spark, sf):
 
 # --- scope -----------------------------------------------------------------------------------------------------------------------------------
 
+def _urls(spark, sf):
+    return D.exchanges(spark, sf).select("source_file", "entry_idx", "url")
+
+
 @query
 def scope_decide(spark, sf):
-    return flat(scope.scope_decide(D.exchanges(spark, sf).select("source_file", "entry_idx", "url"), SCOPE))
+    return flat(scope.scope_decide(_urls(spark, sf), scope.rule_table(spark, SCOPE)))
 
 
 @query
 def scope_matches(spark, sf):
-    return scope.scope_matches(D.exchanges(spark, sf).select("source_file", "entry_idx", "url"), SCOPE).select(
-        "source_file", "entry_idx", "kind", "rule")
+    return scope.scope_matches(_urls(spark, sf), scope.rule_table(spark, SCOPE)).select("source_file", "entry_idx", "kind", "rule")
+
+
+@query
+def scope_policy_decide(spark, sf):
+    """Decisions by a policy with a rule for every part."""
+    return flat(scope.scope_decide(_urls(spark, sf), D.policy_rules(spark, sf)))
+
+
+@query
+def scope_policy_matches(spark, sf):
+    """How many URLs each rule of that policy matches."""
+    found = scope.scope_matches(_urls(spark, sf), D.policy_rules(spark, sf))
+    return found.groupBy("kind", "ord", "rule").agg(F.count("*").alias("urls"))
 
 
 # --- quality -------------------------------------------------------------------------------------------------------------------------------------

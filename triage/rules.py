@@ -296,7 +296,7 @@ GQL_SENSITIVE = [
 GQL_KEYWORDS = ["query", "mutation", "subscription", "fragment", "on", "true", "false", "null", "id"]
 GQL_SCALARS = ["ID", "String", "Int", "Float", "Boolean"]
 GQL_TYPE_NAME = r"(?Ud)\b(?:type|interface|input|enum|union|scalar)\s+([A-Za-z_]\w*)"
-GQL_ROOT_TYPE = r"(?Udsi)\btype\s+(Query|Mutation|Subscription)\s*\{(.*?)\}"
+GQL_ROOT_TYPE = r"(?Udsi)\btype\s+(Query|Mutation|Subscription)\s*\{((?:[^{}]++|\{[^{}]*+\})*+)\}"
 GQL_ROOT_FIELD = r"(?Udm)^\s*([A-Za-z_]\w*)\s*(?:\(|:)"
 GQL_TAG_WORDS = {
     "admin-operation": ["admin"],
