@@ -11,16 +11,19 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from decimal import Decimal
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from triage.functions.jsonwalk import utf8
 from triage.llm.common import land, small_batches
 
 #: A string argument of this form stands for the result of another call of the conversation.
 REFERENCE = r'"\$result:([^"\\]+)"'
-_schemas: dict[str, dict | None] = {}
+_schemas: dict[str | None, dict | bool | None] = {}
 
 
 def link_calls(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
@@ -33,7 +36,8 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFr
     invalid (arguments are no JSON object or break the schema), cycle; the first that fits of no_call, no_tool, invalid, cycle,
     no_result, linked.  A reference to a call that isn't there is an error, as are rows whose conversation or identifier is null
     (status no_call for results, invalid for calls; they are linked with nothing).  Empty tables give an empty result.
-    message is canonical JSON: keys sorted, no white space, numbers shortest; null where the arguments are no JSON object.
+    message is canonical JSON: keys sorted, no white space, numbers shortest; null where the arguments are no JSON object.  Arguments with a
+    number out of range or nested too deep for the parser are invalid; lone surrogates are written as U+FFFD.
     """
     small_batches(calls.sparkSession)
     key = ["conv_id", "call_id"]
@@ -46,7 +50,7 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFr
     answers = first(results.where(named), "content").select(
         *key, F.col("turn").alias("result_turn"), "content", F.col("repeats").alias("r2"))
     tools = tools.where("name is not null").groupBy("name").agg(F.min("schema").alias("schema"))
-    both = known.withColumn("is_call", F.lit(True)).join(answers.withColumn("is_result", F.lit(True)), key, "full")
+    both = known.withColumn("is_call", F.lit(True)).hint("shuffle_hash").join(answers.withColumn("is_result", F.lit(True)), key, "full")
     loose = calls.where(~named).select(
         *key, "turn", "name", "arguments", F.lit(0).alias("r1"), F.lit(True).alias("is_call"), F.lit(None).alias("result_turn"),
         F.lit(None).alias("content"), F.lit(0).alias("r2"), F.lit(None).alias("is_result"))
@@ -109,29 +113,33 @@ def _depths(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def judge(row: dict, call_id: str | None, named: bool) -> tuple[str, list[str], str | None]:
-    """Status, errors and message of a linked row."""
+    """Status, errors and message of a linked row.  Whatever is in the row ends in its status, never in an exception."""
+    status, errors, message = _judge(row, call_id, named)
+    return status, [utf8(e) for e in errors], utf8(message)
+
+
+def _judge(row: dict, call_id: str | None, named: bool) -> tuple[str, list[str], str | None]:
     if not row["is_call"]:
         return "no_call", ["result without a call"], canonical({"id": call_id, "result": row["content"]})
     errors = [] if named else ["no identifier"]
     errors += [f"no call {m}" for m in row["missing"] or []]
-    arguments, broken = None, False
+    arguments, schema, message = None, _schema(row["schema"]), None
     try:
-        arguments = json.loads(row["arguments"] or "", parse_constant=_refuse, object_pairs_hook=_once)
-        broken = not isinstance(arguments, dict)
-    except (ValueError, RecursionError) as e:
-        broken = True
-        errors.append(f"arguments: {e}"[:200])
-    if broken and arguments is not None:
-        errors.append("arguments: not an object")
-    schema = _schema(row["schema"])
-    if not broken and schema is not None:
-        errors += check(arguments, schema, "arguments")
-    message = None if broken else canonical({
-        "arguments": arguments, "id": call_id, "name": row["name"], **({"result": row["content"]} if row["is_result"] else {})})
+        arguments = json.loads(row["arguments"] or "", parse_constant=_refuse, parse_float=_finite, object_pairs_hook=_once)
+        if not isinstance(arguments, dict):
+            errors.append("arguments: not an object")
+        else:
+            message = canonical({"arguments": arguments, "id": call_id, "name": row["name"], **({"result": row["content"]} if row["is_result"] else {})})
+            if schema is not None:
+                errors += check(arguments, schema, "arguments")
+    except RecursionError:
+        errors.append("arguments: nested too deep")
+    except ValueError as e:
+        errors.append(f"arguments: {e}")
     if row["schema"] is None:
         return "no_tool", [*errors, "no such tool"], message
     if schema is None:
-        return "no_tool", [*errors, "tool's schema is no JSON object"], message
+        return "no_tool", [*errors, "tool's schema is no JSON Schema"], message
     if errors:
         return "invalid", errors, message
     if row["depth"] is None:
@@ -139,6 +147,13 @@ def judge(row: dict, call_id: str | None, named: bool) -> tuple[str, list[str],
     return ("linked" if row["is_result"] else "no_result"), [], message
 
 
+def _finite(text: str) -> float:
+    number = float(text)
+    if not math.isfinite(number):
+        raise ValueError(f"{text} is out of range")
+    return number
+
+
 def _refuse(word: str):
     raise ValueError(f"{word} is no JSON")
 
@@ -150,66 +165,174 @@ def _once(pairs: list[tuple]) -> dict:
     return out
 
 
-def _schema(text: str | None) -> dict | None:
+def _schema(text: str | None) -> dict | bool | None:
+    """A schema's object, or true or false; null for anything else."""
     if text not in _schemas:
         try:
             found = json.loads(text or "")
-        except ValueError:
+        except (ValueError, RecursionError):
             found = None
         if len(_schemas) > 1000:
             _schemas.clear()
-        _schemas[text] = found if isinstance(found, dict) else None
+        _schemas[text] = found if isinstance(found, (dict, bool)) else None
     return _schemas[text]
 
 
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
+#: Keywords that judge nothing.
+_NOTES = {"$schema", "$id", "$comment", "$defs", "definitions", "title", "description", "default", "examples", "deprecated", "readOnly", "writeOnly", "format"}
 
 
 def _is(value, kind: str) -> bool:
     if kind in ("number", "integer"):
-        return isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or value == int(value))
-    return isinstance(value, _TYPES[kind]) if kind in _TYPES else True
+        return isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or value == math.floor(value))
+    return isinstance(value, _TYPES[kind])
+
 
+def _same(a, b) -> bool:
+    """Equal as JSON: true is not 1, but 1.0 is."""
+    return canonical(a) == canonical(b)
 
-def check(value, schema: dict, at: str) -> list[str]:
-    """What breaks a JSON Schema: type, enum, const, required, properties, additionalProperties, items, lengths, bounds, pattern."""
+
+def check(value, schema, at: str) -> list[str]:
+    """What breaks a JSON Schema: boolean schemas, type, enum, const, allOf, anyOf, oneOf, not, required, properties, patternProperties,
+    additionalProperties, propertyNames, min/maxProperties, items, contains, uniqueItems, lengths, bounds, multipleOf, pattern.  Any other
+    keyword, and one with a value that means nothing, is an error of its own: what isn't understood is never passed as valid.
+    """
+    if schema is True:
+        return []
+    if schema is False:
+        return [f"{at}: not allowed"]
+    if not isinstance(schema, dict):
+        return [f"{at}: schema is neither object nor boolean"]
     out = []
-    kinds = schema.get("type")
-    kinds = kinds if isinstance(kinds, list) else [kinds] if kinds else []
-    if kinds and not any(_is(value, k) for k in kinds):
-        return [f"{at}: not {' or '.join(kinds)}"]
-    if "enum" in schema and value not in schema["enum"]:
-        out.append(f"{at}: not one of the values")
-    if "const" in schema and value != schema["const"]:
-        out.append(f"{at}: not the value")
-    if isinstance(value, dict):
-        known = schema.get("properties", {})
-        out += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in value]
-        for k in sorted(value):
-            if k in known:
-                out += check(value[k], known[k], f"{at}.{k}")
-            elif schema.get("additionalProperties") is False:
-                out.append(f"{at}.{k}: not known")
-    if isinstance(value, list):
-        for i, x in enumerate(value if isinstance(schema.get("items"), dict) else []):
-            out += check(x, schema["items"], f"{at}[{i}]")
-    if isinstance(value, (str, list)):
-        few, many = ("minLength", "maxLength") if isinstance(value, str) else ("minItems", "maxItems")
-        out += [f"{at}: too short"] * (len(value) < schema.get(few, 0)) + [f"{at}: too long"] * (len(value) > schema.get(many, math.inf))
-    if isinstance(value, str) and "pattern" in schema and not re.search(schema["pattern"], value):
-        out.append(f"{at}: does not match")
-    if _is(value, "number"):
-        out += [f"{at}: too small"] * (value < schema.get("minimum", -math.inf)) + [f"{at}: too large"] * (value > schema.get("maximum", math.inf))
+    for word in sorted(schema):
+        if word in _NOTES:
+            continue
+        judged = _KEYWORDS.get(word)
+        if judged is None:
+            out.append(f"{at}: schema keyword {word} is not known")
+            continue
+        try:
+            found = judged(value, schema[word], at, schema)
+        except (TypeError, KeyError, AttributeError, re.error, ArithmeticError):
+            found = [f"{at}: schema keyword {word} can't be read"]
+        out += found
     return out
 
 
+def _type(value, kinds, at, schema):
+    kinds = kinds if isinstance(kinds, list) else [kinds]
+    return [] if any([_is(value, k) for k in kinds]) else [f"{at}: not {' or '.join(kinds)}"]
+
+
+def _required(value, names, at, schema):
+    return [f"{at}.{k}: missing" for k in sorted(set(names)) if k not in value] if isinstance(value, dict) else []
+
+
+def _properties(value, known, at, schema):
+    return [e for k in sorted(value) if k in known for e in check(value[k], known[k], f"{at}.{k}")] if isinstance(value, dict) else []
+
+
+def _pattern_properties(value, known, at, schema):
+    return [e for p in sorted(known) for k in sorted(value) if re.search(p, k) for e in check(value[k], known[p], f"{at}.{k}")] if isinstance(value, dict) else []
+
+
+def _additional(value, rest, at, schema):
+    if not isinstance(value, dict):
+        return []
+    patterns = schema.get("patternProperties", {})
+    other = [k for k in sorted(value) if k not in schema.get("properties", {}) and not any(re.search(p, k) for p in patterns)]
+    return [f"{at}.{k}: not known" for k in other] if rest is False else [e for k in other for e in check(value[k], rest, f"{at}.{k}")]
+
+
+def _branches(value, schemas, at) -> list[bool]:
+    return [not check(value, s, at) for s in list(schemas)]
+
+
+def _items(value, kind, at, schema):
+    if not isinstance(value, list):
+        return []
+    kinds = [*kind, *[True] * len(value)] if isinstance(kind, list) else [kind] * len(value)
+    return [e for i, x in enumerate(value) for e in check(x, kinds[i], f"{at}[{i}]")]
+
+
+def _unless(bad: bool, at: str, what: str) -> list[str]:
+    return [f"{at}: {what}"] if bad else []
+
+
+def _size(kind: type, bad, what: str):
+    return lambda v, n, at, s: _unless(isinstance(v, kind) and bad(len(v), n), at, what)
+
+
+def _bound(bad, what: str):
+    return lambda v, n, at, s: _unless(_is(v, "number") and bad(v, n), at, what)
+
+
+_FEW, _MANY = (lambda n, least: n < least), (lambda n, most: n > most)
+_KEYWORDS = {
+    "type": _type, "required": _required, "properties": _properties, "patternProperties": _pattern_properties,
+    "additionalProperties": _additional, "items": _items,
+    "enum": lambda v, given, at, s: _unless(not any([_same(v, x) for x in list(given)]), at, "not one of the values"),
+    "const": lambda v, given, at, s: _unless(not _same(v, given), at, "not the value"),
+    "allOf": lambda v, given, at, s: [e for x in list(given) for e in check(v, x, at)],
+    "anyOf": lambda v, given, at, s: _unless(not any(_branches(v, given, at)), at, "fits no schema of anyOf"),
+    "oneOf": lambda v, given, at, s: _unless(sum(_branches(v, given, at)) != 1, at, "does not fit one schema of oneOf alone"),
+    "not": lambda v, given, at, s: _unless(not check(v, given, at), at, "fits the schema of not"),
+    "propertyNames": lambda v, given, at, s: [e for k in sorted(v) for e in check(k, given, f"{at}.{k}")] if isinstance(v, dict) else [],
+    "contains": lambda v, given, at, s: _unless(isinstance(v, list) and not any(_branches_of(v, given, at)), at, "contains none that fits"),
+    "uniqueItems": lambda v, given, at, s: _unless(given is True and isinstance(v, list) and len({canonical(x) for x in v}) < len(v), at, "holds an item twice"),
+    "minLength": _size(str, _FEW, "too short"), "maxLength": _size(str, _MANY, "too long"),
+    "minItems": _size(list, _FEW, "too short"), "maxItems": _size(list, _MANY, "too long"),
+    "minProperties": _size(dict, _FEW, "too few keys"), "maxProperties": _size(dict, _MANY, "too many keys"),
+    "minimum": _bound(lambda v, n: v < n, "too small"), "maximum": _bound(lambda v, n: v > n, "too large"),
+    "exclusiveMinimum": _bound(lambda v, n: v <= n, "too small"), "exclusiveMaximum": _bound(lambda v, n: v >= n, "too large"),
+    "multipleOf": _bound(lambda v, n: Fraction(repr(v)) % Fraction(repr(n)) != 0, "not a multiple"),
+    "pattern": lambda v, given, at, s: _unless(isinstance(v, str) and not re.search(given, v), at, "does not match"),
+}
+
+
+def _branches_of(values: list, schema, at: str) -> list[bool]:
+    return [not check(x, schema, at) for x in values]
+
+
+def _number(x: int | float) -> str:
+    """Whole numbers by their digits; others shortest, without exponent from 1e-6 to 1e21."""
+    if isinstance(x, int):
+        return int.__repr__(x)
+    if x == 0:
+        return "0"
+    if 1e-6 <= abs(x) < 1e21:
+        return format(Decimal(repr(x).removesuffix(".0")), "f")
+    mantissa, _, power = repr(x).partition("e")
+    return f"{mantissa.removesuffix('.0')}e{'+' if int(power) > 0 else ''}{int(power)}"
+
+
 def canonical(value) -> str:
-    """Keys sorted, no white space, whole floats as integers."""
-    def plain(x):
-        if isinstance(x, dict):
-            return {k: plain(v) for k, v in x.items()}
-        if isinstance(x, list):
-            return [plain(v) for v in x]
-        return int(x) if isinstance(x, float) and x.is_integer() and abs(x) < 2**53 else x
-
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """Canonical JSON: keys sorted by UTF-16 units, no white space, shortest numbers.  Walks with a stack, so any depth is written."""
+    out: list[str] = []
+    stack: list = [value]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, _Raw):
+            out.append(x)
+        elif isinstance(x, dict):
+            keys = sorted(x, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
+            stack.append(_Raw("}"))
+            for i in range(len(keys) - 1, -1, -1):
+                stack += [x[keys[i]], _Raw(("," if i else "") + json.dumps(keys[i], ensure_ascii=False) + ":")]
+            stack.append(_Raw("{"))
+        elif isinstance(x, list):
+            stack.append(_Raw("]"))
+            for i in range(len(x) - 1, -1, -1):
+                stack += [x[i], _Raw("," if i else "")]
+            stack.append(_Raw("["))
+        elif isinstance(x, (int, float)) and not isinstance(x, bool):
+            out.append(_number(x))
+        else:
+            out.append(json.dumps(x, ensure_ascii=False))
+    return "".join(out)
+
+
+class _Raw(str):
+    """Text of the output that waits on the stack."""
