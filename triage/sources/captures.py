@@ -8,26 +8,39 @@ from pyspark.sql import functions as F
 from triage.functions.tags import let
 from triage.functions.text import strip
 from triage.schemas import JSON_LIMITS, PAIRS
+from triage.sources import har_blocks
 
 _COOKIES = "array<struct<name:string,value:string,path:string,secure:boolean,httpOnly:boolean,sameSite:string>>"
 
 
-def _scan(spark: SparkSession, path: str) -> DataFrame:
-    return (spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.har")
-            .select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("text")))
-
-
 def read_har(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
-    """One row per ``log.entries`` item of every capture below ``path``.
+    """One row per ``log.entries`` item of every capture below ``path``; a capture of any size is read by as many tasks as it has splits.
 
-    The text of a capture is one JSON value and cannot be split, so parsing is as
-    parallel as there are files; land the rows as Parquet before heavy use.
+    Unless lenient, one bad entry rejects its file.  The files are read once for the rows and once to judge them: land the rows as
+    Parquet before heavy use.
     """
-    return exchanges_from_har(_scan(spark, path), lenient)
+    items, frames = har_blocks.read_items(spark, path)
+    entries = items.select("source_file", "entry_idx", _entry(F.col("item")).alias("x"))
+    if lenient:
+        return _exchanges(entries.filter("x.is_object"))
+    bad = _rejects(entries, frames).select("source_file")
+    return _exchanges(entries).join(bad, "source_file", "left_anti")
 
 
 def read_har_rejects(spark: SparkSession, path: str) -> DataFrame:
-    return har_rejects(_scan(spark, path))
+    """(source_file, reason) of the captures a strict read leaves out.  Spark passes over files without a byte."""
+    items, frames = har_blocks.read_items(spark, path)
+    return _rejects(items.select("source_file", "entry_idx", _entry(F.col("item")).alias("x")), frames)
+
+
+def _rejects(entries: DataFrame, frames: DataFrame) -> DataFrame:
+    """The first that holds: no text, broken JSON anywhere, a wrong frame, the first entry that is wrong."""
+    broken = F.col("x.fault") == INVALID
+    faults = entries.where("x.fault is not null").groupBy("source_file").agg(
+        F.max(broken).alias("broken"), F.min(F.struct("entry_idx", "x.fault")).alias("first"))
+    reason = (F.when(F.col("reason").isin("HAR file is empty", INVALID), F.col("reason")).when(F.col("broken"), F.lit(INVALID))
+              .otherwise(F.coalesce("reason", "first.fault")))
+    return frames.join(faults, "source_file", "left").select("source_file", reason.alias("reason")).where("reason is not null")
 
 
 _ENTRY = (
@@ -37,11 +50,21 @@ _ENTRY = (
 )
 
 
+INVALID = "Invalid JSON in HAR file"
+
+
+def _is_broken(text: Column) -> Column:
+    """Whether a text is no JSON, of whatever length its strings are."""
+    held = F.concat(F.lit('{"v":'), text, F.lit("}"))
+    return F.from_json(held, "v string, _broken string", {**JSON_LIMITS, "columnNameOfCorruptRecord": "_broken"})["_broken"].isNotNull()
+
+
 def _entry(e: Column) -> Column:
     """A parsed entry with its fault, if any."""
     return let(F.from_json(e, _ENTRY, JSON_LIMITS), lambda x: F.struct(
         x.alias("e"), e.startswith("{").alias("is_object"),
-        F.when(~e.startswith("{"), F.lit("Every HAR log.entries item must be an object"))
+        F.when(x["request"].isNull() & x["response"].isNull() & _is_broken(e), F.lit(INVALID))
+        .when(~e.startswith("{"), F.lit("Every HAR log.entries item must be an object"))
         .when(x["request"].isNull() | x["response"].isNull(),
               F.lit("Every HAR entry must contain request and response objects"))
         .when(x["response"]["status"].isNotNull() & x["response"]["status"].try_cast("double").isNull(),
@@ -58,7 +81,7 @@ def _parsed(captures: DataFrame) -> DataFrame:
         fault = F.array_compact(F.transform(entries, lambda x: x["fault"]))
         reason = (F.when(strip(text) == "", F.lit("HAR file is empty"))
                   # only what gave no entries is parsed again, to tell broken text from a missing list
-                  .when(raw.isNull() & F.get_json_object(text, "$").isNull(), F.lit("Invalid JSON in HAR file"))
+                  .when(raw.isNull() & _is_broken(text), F.lit(INVALID))
                   .when(~text.rlike(r"^\s*+\{"), F.lit("HAR root must be a JSON object"))
                   .when(raw.isNull(), F.lit("HAR must contain a log.entries list"))
                   .otherwise(F.try_element_at(fault, F.lit(1))))
@@ -81,9 +104,12 @@ def exchanges_from_har(captures: DataFrame, lenient: bool = False) -> DataFrame:
     """Exchange rows from capture texts; one bad entry rejects its file unless lenient."""
     kept = F.col("c.entries") if lenient else F.when(F.col("c.reason").isNull(), F.col("c.entries"))
     rows = _parsed(captures).select("source_file", F.posexplode(kept).alias("entry_idx", "x"))
-    if lenient:
-        rows = rows.filter("x.is_object")
-    rows = rows.select("source_file", "entry_idx", F.col("x.e.request").alias("q"), F.col("x.e.response").alias("p"))
+    return _exchanges(rows.filter("x.is_object") if lenient else rows)
+
+
+def _exchanges(entries: DataFrame) -> DataFrame:
+    """Parsed entries (source_file, entry_idx, x) as exchange rows."""
+    rows = entries.select("source_file", "entry_idx", F.col("x.e.request").alias("q"), F.col("x.e.response").alias("p"))
 
     def text(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(""))
