@@ -88,18 +88,44 @@ def suffix_removal(rows, k=50):
     return out
 
 
-def line_dedup(rows, window=2, words=50):
-    """id to (text, lines, lines removed): what an earlier place has as a window of lines or as one long line goes."""
-    place, out = {}, {}
-    chunks = lambda lines: [(i, i + window) for i in range(len(lines) - window + 1)] + [
-        (i, i + 1) for i, line in enumerate(lines) if len(line.split()) > words]
-    rows = sorted(rows, key=lambda r: (r[0] is None, r[0]))
-    for d, text in rows:
-        lines, gone = (text or "").split("\n"), set()
-        if d is not None and text is not None:
-            for lo, hi in chunks(lines):
-                first = place.setdefault(tuple(lines[lo:hi]), (d, lo))
-                if first[0] != d or lo >= first[1] + hi - lo:
-                    gone |= set(range(lo, hi))
-        out[d] = (text if not gone else "\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines) if text is not None else 0, len(gone))
-    return out
+def line_dedup(rows, words=50, least=24):
+    """id to (text, lines, lines removed), by the rules of the operator read line by line; ids are distinct."""
+    import struct
+
+    import xxhash
+
+    def of_long(x, seed):
+        return xxhash.xxh64(struct.pack("<q", x - (x >> 63 << 64)), seed=seed).intdigest()
+
+    def rolled(x, y, gap):
+        h = [xxhash.xxh64(z.encode(), seed=42).intdigest() for z in (x, y)]
+        h = xxhash.xxh64(struct.pack("<i", gap), seed=of_long(h[1], of_long(h[0], 42))).intdigest()
+        return h - (h >> 63 << 64)
+
+    def chunks(lines):
+        """(start, stop, the windows beside it that are no chunks)"""
+        filled = [i for i, x in enumerate(lines) if x.strip(" \t\r\x0b\x0c")]
+        said = lambda i: lines[i].count(" ") + 1
+        pairs = [(i, j + 1, rolled(lines[i], lines[j], j - i)) if len((lines[i] + lines[j]).encode()) >= least else None for i, j in zip(filled, filled[1:])]
+        at = lambda k: pairs[k] if 0 <= k < len(pairs) else None
+        is_ = []
+        for k, p in enumerate(pairs):
+            near = [q[2] for q in (at(k - 1), at(k + 1)) if q]
+            is_.append(bool(p) and (said(p[0]) + said(p[1] - 1) > words or not near or any(p[2] <= q for q in near)))
+        one = lambda k: at(k)[:2] if at(k) and not is_[k] else None
+        out = [(*p[:2], [x for x in (one(k - 1), one(k + 1)) if x]) for k, p in enumerate(pairs) if is_[k]]
+        return out + [(i, i + 1, []) for i in filled if said(i) > words]
+
+    texts = {d: (t or "").split("\n") for d, t in rows if d is not None and t is not None}
+    found = {d: chunks(lines) for d, lines in texts.items()}
+    body = lambda d, lo, hi: tuple(texts[d][lo:hi])
+    many = Counter(body(d, lo, hi) for d, cs in found.items() for lo, hi, _ in cs)
+    spans = {(d, lo, hi) for d, cs in found.items() for lo, hi, _ in cs}
+    spans |= {(d, *w) for d, cs in found.items() for lo, hi, near in cs if many[body(d, lo, hi)] > 1 for w in near}
+    place, gone = {}, defaultdict(set)
+    for d, lo, hi in sorted(spans):
+        first = place.setdefault(body(d, lo, hi), (d, lo, hi))
+        if first[0] != d or lo >= first[2]:
+            gone[d] |= set(range(lo, hi))
+    return {d: (t if not gone[d] else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]), len(t.split("\n")) if t is not None else 0, len(gone[d]))
+            for d, t in rows}

@@ -272,50 +272,59 @@ def test_toxicity_learns_and_is_fair(spark):
     assert toxicity.score(docs, none).select("score").distinct().count() == 1
 
 
-def test_line_dedup(spark, odd):
+def test_line_dedup(spark, docs, odd):
     block = "\n".join(f"line number {i} of a shared block" for i in range(40))
     rows = [(1, "start\n" + block), (2, "other start\nand more\n" + block + "\nend"), (3, block), (4, "single"), (5, "single"), (6, None), (7, ""),
-            (8, "a\nb"), (9, "a\nb"), (None, "a\nb")]
+            (8, "}\n\n}"), (9, "}\n\n}"), (None, block)]
     given = spark.createDataFrame([(*r, 3) for r in rows], "doc_id long, text string, n_lines int")
     got = {r.doc_id: r for r in line_chunks.dedup_lines(given).collect()}
     assert got[1].text == rows[0][1] and got[1].n_removed_lines == 0
-    assert got[2].n_lines == 43 and got[2].n_removed_lines >= 20 and got[2].text.startswith("other start")
-    assert got[3].n_removed_lines >= 20
+    assert (got[2].n_lines, got[2].n_removed_lines, got[2].text) == (43, 40, "other start\nand more\nend")
+    assert (got[3].n_removed_lines, got[3].text) == (40, "")
     assert got[4].text == got[5].text == "single" and got[6].text is None and got[7].text == ""
-    assert got[8].text == "a\nb" and got[9].text == "" and got[9].n_removed_lines == 2
-    assert got[None].text == "a\nb"
-    every = line_chunks.dedup_lines(odd).join(odd.select("doc_id", F.col("text").alias("old")), "doc_id").collect()
-    kept = set()
-    for r in sorted(every, key=lambda r: r.doc_id):  # a removed line stays somewhere before
-        lines = (r.old or "").split("\n")
-        left = (r.text or "").split("\n")
-        assert set(lines) - set(left) <= kept
-        kept |= set(left)
+    assert got[8].text == got[9].text == "}\n\n}" and got[None].text == block
+    for table in (docs, odd):
+        assert {r.doc_id: (r.text, r.n_lines, r.n_removed_lines) for r in line_chunks.dedup_lines(table).collect()} == brute.line_dedup(rows_of(table))
+    assert line_chunks.dedup_lines(docs.limit(0)).count() == 0
 
 
 def test_line_dedup_of_planted_passages(spark):
-    """Passages of 1 to 6 lines in unlike surroundings go whole; a text of copies of one line keeps the first two."""
+    """Passages of 1 to 6 lines in unlike surroundings go whole, blank lines within them too; pairs of blank lines and brackets stay."""
     rng = random.Random(5)
     say = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
-    passages = [[say(60)], [say(50)], *([say(9) for _ in range(k)] for k in range(2, 7)), ["", ""]]
-    texts = [[say(8) for _ in range(rng.randint(0, 3))] + p + [say(8) for _ in range(rng.randint(0, 3))] for _ in range(3) for p in passages]
-    texts += [["r"] * 7, ["u", "v"] * 4, passages[4] + passages[6] + passages[4], [passages[0][0]], [passages[1][0]]]
-    given = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)] + [(99, None), (None, "\n".join(passages[3]))], "doc_id long, text string")
+    passages = [[say(60)], [say(26), say(26)], [say(30), "", say(30)], *([say(9) for _ in range(k)] for k in range(3, 7)), [say(12), "", say(12), " ", "\t", say(30)]]
+    alone = [["", ""], ["}", ""], ["}", "}"], [say(50)]]
+    dressed = lambda p: [say(8) for _ in range(rng.randint(0, 3))] + p + [say(8) for _ in range(rng.randint(0, 3))]
+    texts = [dressed(p) for _ in range(6) for p in passages + alone]
+    texts += [[say(30)] * 7, [say(30), say(30)] * 4, passages[4] + passages[6] + passages[4], list(passages[0]), list(alone[3])]
+    given = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)] + [(999, None), (None, "\n".join(passages[3]))], "doc_id long, text string")
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed_lines) for r in line_chunks.dedup_lines(given).collect()}
-    want = brute.line_dedup(rows_of(given))
-    assert got == want
-    assert sum(n for _, _, n in want.values()) >= 2 * (1 + 20 + 2) + 5 + 6
-    assert want[len(texts) - 5][0] == "r\nr" and want[len(texts) - 4][0] == "u\nv" and want[len(texts) - 2][0] == ""
+    assert got == brute.line_dedup(rows_of(given))
+    for i, t in enumerate(texts[:-5]):
+        p = (passages + alone)[i % 12]
+        assert got[i][2] == (len(p) if i >= 12 and i % 12 < 8 else 0), (p, got[i])
+    assert got[len(texts) - 2][0] == "" and got[len(texts) - 1][2] == 0
+
+
+def test_line_dedup_with_hot_chunks(spark):
+    """One passage in every text, one line in all places; the same result whatever counts as hot."""
+    rng = random.Random(8)
+    say = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    hot, line = [say(20) for _ in range(3)], say(60)
+    texts = ["\n".join([say(9)] * (i % 3) + hot + [line] * (i % 4) + [say(9)]) for i in range(2500)]
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed_lines) for r in line_chunks.dedup_lines(given).collect()}
+    assert got == brute.line_dedup(list(enumerate(texts)))
 
 
 def test_lines_of_texts_that_share_an_id(spark):
     """What is cut from one stays in the other, and they are places of their own."""
     texts = ["a\nb", "p\nq\na\nb", "a\nb\nkept\nhere", "kept\ntoo"]
     given = spark.createDataFrame(list(zip([1, 2, 2, 2], texts)), "doc_id long, text string")
-    got = sorted(r.text for r in line_chunks.dedup_lines(given).collect())
+    got = sorted(r.text for r in line_chunks.dedup_lines(given, least=0, words=1).collect())
     assert got == ["a\nb", "kept\nhere", "kept\ntoo", "p\nq"]
     alike = spark.createDataFrame([(7, "m\nn"), (7, "m\nn"), (7, "m\nn\no")], "doc_id long, text string")
-    assert sorted((r.text, r.n_removed_lines) for r in line_chunks.dedup_lines(alike).collect()) in (
+    assert sorted((r.text, r.n_removed_lines) for r in line_chunks.dedup_lines(alike, least=0, words=1).collect()) in (
         [("", 2), ("", 2), ("m\nn\no", 0)], [("m\nn", 0), ("m\nn", 0), ("o", 2)])
 
 
