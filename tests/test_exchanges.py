@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from conftest import entry, texts
+from triage import schemas
 from triage.operators import auth_surface, endpoints, exchanges, reviews
 from triage.sources import artifacts as art
 from triage.sources import captures
@@ -133,7 +134,7 @@ def test_header_cors_cache_reviews(exchange):
 def test_third_parties_and_findings(exchange):
     ex = exchange(capture())
     sens = exchanges.sensitive_material(ex)
-    third = reviews.third_parties(ex, sens).collect()
+    third = reviews.third_parties(ex).collect()
     assert [(r.host, r.request_count, r.methods, r.sensitive_categories) for r in third] == [("stats.tracker.test", 1, ["GET"], ["email"])]
     assert reviews.third_party_urls(ex).count() == 1
     found = reviews.har_findings(sens, reviews.review_cache(ex))
@@ -196,7 +197,13 @@ def test_artifact_scans_and_sinks(spark, tmp_path):
         [("x/a.txt", bytearray(b"mail a@b.com")), ("x/b.bin", bytearray(b"\x00a@b.com")), ("x/c", bytearray(b"\xff\xfe"))],
         "path string, content binary")).collect()}
     assert items["a.txt"].contains_sensitive_data and items["a.txt"].redacted_evidence_text == "mail <redacted-email>"
-    assert not items["b.bin"].contains_sensitive_data and items["c"].redacted_evidence_text == ""
+    assert items["b.bin"].contains_sensitive_data is None and items["c"].redacted_evidence_text == ""
+    assert [items[k].not_scanned for k in ("a.txt", "b.bin", "c")] == ["", "Holds NUL bytes.", "Not valid UTF-8."]
+    with open(tmp_path / "huge.bin", "wb") as f:
+        f.truncate(3 << 30)  # no disk is used
+    huge = {r.path.rsplit("/", 1)[-1]: r for r in art.hash_manifest(spark, str(tmp_path), "*.bin").collect()}
+    assert (huge["huge.bin"].size_bytes, huge["huge.bin"].sha256, huge["huge.bin"].not_hashed) == (3 << 30, None, art.TOO_LARGE)
+    assert huge["c.bin"].not_hashed == ""
     table = spark.createDataFrame([("id", "write to a@b.com")], "id string, note string")
     art.write_inventory({"notes": table}, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out" / "notes")).first().note == "write to <redacted-email>"
@@ -211,3 +218,39 @@ def test_saved_artifact_types(spark):
     kinds = {r.source_file: r.artifact_type for r in art.detect_artifact_type(given).collect()}
     assert kinds == {"a.json": "endpoint_inventory", "b.json": "authz_matrix", "c.json": "vocabulary_inventory", "d.json": "json_report",
                      "har-x.json": "har_report", "r.md": "markdown_report"}
+
+
+def test_only_changed_inputs_are_scanned_again(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    root, scanned = str(tmp_path / "store"), []
+
+    def scan(changed):
+        scanned.append(sorted(r.source_file for r in changed.collect()))
+        return {"words": changed.select("source_file", F.explode(F.split("text", " ")).alias("word"))}
+
+    def state(**files):
+        given = spark.createDataFrame([(k, v) for k, v in files.items()], "source_file string, text string")
+        return given.select(F.col("source_file").alias("path"), F.sha2("text", 256).alias("sha256")), given
+
+    def reloaded(inputs):
+        return sorted((r.source_file, r.word) for r in art.reload_inventory(inputs, root, "words").collect())
+
+    inputs, given = state(a="x y", b="z", c="mail m@n.com")
+    art.update_inventory(inputs, given, scan, root)
+    assert scanned == [["a", "b", "c"]]
+    assert reloaded(inputs) == [("a", "x"), ("a", "y"), ("b", "z"), ("c", "<redacted-email>"), ("c", "mail")]
+    art.update_inventory(inputs, given, scan, root)  # nothing changed, so nothing is scanned
+    assert len(scanned) == 1
+    inputs, given = state(a="x y", b="new text", d="more")  # one changed, one gone, one new
+    art.update_inventory(inputs, given, scan, root)
+    assert scanned[1:] == [["b", "d"]]
+    assert reloaded(inputs) == [("a", "x"), ("a", "y"), ("b", "new"), ("b", "text"), ("d", "more")]
+    (tmp_path / "store" / "words" / "run=9").mkdir()  # a run that ended before its manifest
+    spark.createDataFrame([("a", "lost")], "source_file string, word string").write.mode("overwrite").parquet(str(tmp_path / "store" / "words" / "run=9"))
+    assert ("a", "lost") not in reloaded(inputs)
+    inputs, given = state(a="x y", b="z", d="more")  # back to a content of before: the newest run counts, so it is scanned again
+    art.update_inventory(inputs, given, scan, root)
+    assert scanned[2:] == [["b"]] and reloaded(inputs)[2:] == [("b", "z"), ("d", "more")]
+    art.write_inventory({"endpoints": spark.createDataFrame([], schemas.struct("endpoints"))}, str(tmp_path / "one"))
+    assert art.read_inventory(spark, str(tmp_path / "one" / "endpoints"), "endpoints").count() == 0

@@ -9,7 +9,7 @@ from triage import rules
 from triage.functions.tags import TagSet, contains_any, let, present
 from triage.functions.text import CATEGORIES, redact
 from triage.functions.urls import host, path, root_domain
-from triage.operators.exchanges import header, header_or_empty, unique_headers
+from triage.operators.exchanges import header, header_or_empty, sensitive_material, unique_headers
 
 COOKIE_RISKS = TagSet(rules.COOKIE_RISKS)
 _STRINGS = "array<string>"
@@ -305,19 +305,22 @@ def _outside(per_host: DataFrame, exchanges: DataFrame) -> DataFrame:
     return per_host.join(primary_hosts(exchanges), "source_file").filter(outside).drop("primary_host")
 
 
-def third_parties(exchanges: DataFrame, sensitive: DataFrame) -> DataFrame:
+def third_parties(exchanges: DataFrame) -> DataFrame:
     """Hosts outside a capture's root domain: requests, methods, distinct URLs, leaked categories.
 
-    All three inputs are reduced to one row per (file, host) before they are joined.
+    The outside (file, host) pairs come from URLs alone; only their exchanges are then scanned for sensitive values, and both sides
+    are reduced to one row per pair before they are joined.
     """
     rows = _hosts(exchanges)
     counted = rows.groupBy("source_file", "host", "method").agg(F.count("*").alias("n"))
     per_host = counted.groupBy("source_file", "host").agg(
         F.sum("n").alias("request_count"), F.array_sort(F.collect_set("method")).alias("methods"))
-    leaked = (sensitive.select("source_file", host(F.col("source_url")).alias("host"),
+    outside = _outside(per_host, exchanges)
+    scanned = exchanges.withColumn("host", host(F.col("url"))).join(
+        outside.select("source_file", "host"), ["source_file", "host"], "left_semi").drop("host")
+    leaked = (sensitive_material(scanned).select("source_file", host(F.col("source_url")).alias("host"),
                                CATEGORIES.mask({n: F.col("category") == n for n in CATEGORIES.names}).alias("m"))
               .groupBy("source_file", "host").agg(F.bit_or("m").alias("m")))
-    outside = _outside(per_host, exchanges)
     return outside.join(leaked, ["source_file", "host"], "left").select(
         "source_file", "host", "request_count", "methods",
         CATEGORIES.array(F.coalesce("m", F.lit(0).cast("long"))).alias("sensitive_categories"))

@@ -365,6 +365,8 @@ te as (select *, {risk_tags('p', 'method', 'oids', 'scheme')} as tags, {id12('ep
  case when scheme <> '' then scheme || '://' || nl || p else p end as ep_url from te2)"""
 SQL["text_endpoints"] = TEXT_EP + (
     " select source_file, line, method, raw as raw_url, template as normalized_path, tags as risk_tags, oids as object_ids from te")
+SQL["reused_text_endpoints"] = TEXT_EP + (
+    f" select source_file, line, method, {redact('raw')} as raw_url, {redact('template')} as normalized_path, tags as risk_tags, oids as object_ids from te")
 SQL["api_client_hints"] = TEXT_EP + (
     f" select source_file, line, method, {redact('ep_url')} as url from te where h <> '' or tags <> ''")
 SQL["text_endpoint_inventory"] = TEXT_EP + f""" , m as (select endpoint_id, method, h as host, template as normalized_path,

@@ -294,7 +294,7 @@ SQL["classify_inputs"] = f"""select source_file, input_type, case input_type whe
 SQL["content_manifest"] = (f"select source_file as path, cast(strlen(text) as bigint) as size_bytes, sha256(text) as sha256 from (select * from {DOCS} union all "
                            f"select * from {PAGES})")
 SQL["evidence_items"] = f"""select source_file as path, regexp_extract(source_file, '[^/]*$') as title, cast(strlen(text) as bigint) as size_bytes, sha256(text) as sha256,
- 'Local file (' || cast(strlen(text) as varchar) || ' bytes)' as description, cast({redact('text')} <> text as int) as contains_sensitive_data,
+ 'Local file (' || cast(strlen(text) as varchar) || ' bytes)' as description, cast({redact('text')} <> text as int) as contains_sensitive_data, '' as not_scanned,
  {redact('text')} as redacted_evidence_text from (select * from {DOCS} union all select * from {SCRIPTS})"""
 SQL["scope_rule_table"] = """select 'out' as kind, 0 as ord, 'admin' || cast(s_suppkey as varchar) || '.example.test' as rule from supplier union all
  select 'in', 0, 's' || cast(s_suppkey as varchar) || '.example.test' from supplier union all select 'in', 1, '*.example.test' from supplier"""

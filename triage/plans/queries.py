@@ -6,6 +6,7 @@ their order, so that two engines can be compared value by value.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from triage.operators import auth_surface as auth
 from triage.operators import authz, correlate, endpoints, exchanges, frontend, graphql, quality, reviews, scope
 from triage.operators import vocabulary as vocab
 from triage.plans import derived as D
+from triage.session import shared_dir
 from triage.sources import artifacts as art
 from triage.sources import captures as cap
 
@@ -207,11 +209,26 @@ def har_endpoint_values(spark, sf):
 
 @query
 def text_endpoints(spark, sf):
-    found = endpoints.endpoints_from_text(D.artifacts(spark, sf))
+    return _text_endpoints(D.artifacts(spark, sf))
+
+
+def _text_endpoints(texts):
+    found = endpoints.endpoints_from_text(texts)
     return found.select("source_file", "line", "method", "raw_url", "normalized_path", endpoints.RISKS.joined(
         F.col("risk_mask")).alias("risk_tags"), endpoints.OBJECT_IDS.joined(F.col("object_mask")).alias("object_ids"))
 
 
+@query
+def reused_text_endpoints(spark, sf):
+    """Endpoints of all texts from an inventory whose first run saw other contents of every second text: only those are scanned again."""
+    texts, root = D.artifacts(spark, sf), f"{shared_dir(spark)}/inventory-{uuid.uuid4().hex}"
+    before = texts.withColumn("text", F.when(F.xxhash64("source_file") % 2 == 0, F.concat("text", F.lit(" fetch('/api/old')"))).otherwise(F.col("text")))
+    for state in (before, texts):
+        inputs = state.select(F.col("source_file").alias("path"), F.sha2("text", 256).alias("sha256"))
+        art.update_inventory(inputs, state, lambda changed: {"text_endpoints": _text_endpoints(changed)}, root)
+    return art.reload_inventory(inputs, root, "text_endpoints")
+
+
 @query
 def text_endpoint_inventory(spark, sf):
     return flat(endpoints.merge_endpoints(endpoints.endpoints_from_text(D.artifacts(spark, sf))).drop("risk_mask"))
@@ -261,8 +278,7 @@ def cache_observations(spark, sf):
 
 @query
 def third_parties(spark, sf):
-    ex = D.exchanges(spark, sf)
-    return flat(reviews.third_parties(ex, exchanges.sensitive_material(ex)))
+    return flat(reviews.third_parties(D.exchanges(spark, sf)))
 
 
 @query

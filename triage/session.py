@@ -1,5 +1,7 @@
 """Session settings the engine is tuned with; none is needed for right results."""
 
+import tempfile
+
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -16,3 +18,14 @@ def configure(builder):
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     return builder
+
+
+def shared_dir(spark) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where none is set and everything runs on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")

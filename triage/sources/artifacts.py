@@ -25,11 +25,18 @@ def read_artifacts(spark: SparkSession, root: str, suffixes: list[str]) -> DataF
                     _suffix(F.col("_metadata.file_path")).alias("suffix"), F.col("value").alias("text")))
 
 
-def hash_manifest(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(path, size_bytes, sha256) per file."""
+#: Bytes that a cell can hold.
+LARGEST = (1 << 31) - 1 - 1024
+TOO_LARGE = "Larger than 2 GiB; not hashed."
+
+
+def hash_manifest(spark: SparkSession, root: str, glob: str = "*", largest: int = LARGEST) -> DataFrame:
+    """(path, size_bytes, sha256, not_hashed) per file; a file over ``largest`` bytes is not opened and has a reason instead of a hash."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", glob).load(root))
-    return manifest_of(files)
+    hashed = manifest_of(files.where(F.col("length") <= largest)).withColumn("not_hashed", F.lit(""))
+    return hashed.unionByName(files.where(F.col("length") > largest).select(
+        "path", F.col("length").alias("size_bytes"), F.lit(None).cast("string").alias("sha256"), F.lit(TOO_LARGE).alias("not_hashed")))
 
 
 def manifest_of(files: DataFrame) -> DataFrame:
@@ -146,6 +153,56 @@ def write_inventory(tables: dict[str, DataFrame], path: str, fmt: str = "parquet
         redact_struct(table).write.mode(mode).format(fmt).save(f"{path}/{name}")
 
 
+# ---- inventories that grow with their inputs ------------------------------------------------------------------------------
+#
+# A root holds one folder per table and run, and one manifest per run: (path, sha256) of the inputs that the run scanned, written last.
+# A run without a manifest never counts, so one that ended early is simply repeated.
+
+_MANIFEST = "path string, sha256 string, run bigint"
+
+
+def _manifests(spark: SparkSession, root: str) -> DataFrame:
+    """(path, sha256, run): the newest entry of every input."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest")
+    if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        return spark.createDataFrame([], _MANIFEST)
+    rows = spark.read.schema("path string, sha256 string").option("basePath", f"{root}/manifest").parquet(f"{root}/manifest/*")
+    rows = rows.withColumn("run", F.regexp_extract("_metadata.file_path", r"/run=(\d+)/", 1).cast("bigint"))
+    newest = rows.groupBy("path").agg(F.max("run").alias("run"))
+    return rows.join(newest, ["path", "run"]).select("path", "sha256", "run").distinct()
+
+
+def changed_inputs(inputs: DataFrame, root: str) -> DataFrame:
+    """The rows of a manifest (path, sha256) that no run has scanned, or only with another content."""
+    known = _manifests(inputs.sparkSession, root)
+    return inputs.join(known.select("path", "sha256"), ["path", "sha256"], "left_anti")
+
+
+def update_inventory(inputs: DataFrame, texts: DataFrame, scan, root: str) -> None:
+    """Scan what changed and publish it.
+
+    ``inputs`` is the manifest of the texts (path, sha256), ``texts`` has them by source_file, and ``scan`` maps texts to a dict of tables
+    with a source_file column.  Nothing is scanned or written if nothing changed.
+    """
+    spark = inputs.sparkSession
+    todo = changed_inputs(inputs.select("path", "sha256"), root).distinct()
+    if todo.isEmpty():
+        return
+    run = (_manifests(spark, root).agg(F.max("run")).first()[0] or 0) + 1
+    changed = texts.join(todo.select(F.col("path").alias("source_file")), "source_file", "left_semi")
+    for name, table in scan(changed).items():
+        redact_struct(table).write.mode("overwrite").parquet(f"{root}/{name}/run={run}")
+    todo.write.mode("overwrite").parquet(f"{root}/manifest/run={run}")
+
+
+def reload_inventory(inputs: DataFrame, root: str, name: str) -> DataFrame:
+    """The rows of one table that belong to the inputs as they are now; inputs without a run give none."""
+    spark = inputs.sparkSession
+    current = inputs.select("path", "sha256").join(_manifests(spark, root), ["path", "sha256"]).select(F.col("path").alias("source_file"), "run")
+    rows = spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}")
+    return rows.join(current.distinct(), ["source_file", "run"], "left_semi").drop("run")
+
+
 def write_wordlists(lists: DataFrame, path: str, fmt: str = "text", mode: str = "errorifexists"):
     """(list, term) rows to one folder per list, as text, csv or json."""
     # by range, so that a long list is written by many tasks
@@ -168,16 +225,18 @@ def profile_rules(profiles: DataFrame) -> DataFrame:
 def evidence_items(files: DataFrame) -> DataFrame:
     """Hash, size, type, sensitivity and redacted text of evidence files (path, content).
 
-    Text of any size is scanned and kept, without NUL bytes and only if it is valid UTF-8.
+    Text of any size is scanned and kept, without NUL bytes and only if it is valid UTF-8.  What isn't scanned says why in not_scanned
+    and has no contains_sensitive_data.
     """
     content = F.col("content")
-    text = F.try_validate_utf8(content.cast("string"))
-    text = F.when(F.contains(text, F.lit("\x00")), F.lit("")).otherwise(F.coalesce(text, F.lit("")))
-    return (files.withColumn("t", text)
+    valid = F.try_validate_utf8(content.cast("string"))
+    reason = (F.when(content.isNull(), "No content.").when(valid.isNull(), "Not valid UTF-8.").when(F.contains(valid, F.lit("\x00")), "Holds NUL bytes.")
+              .otherwise(""))
+    return (files.withColumn("not_scanned", reason).withColumn("t", F.when(F.col("not_scanned") == "", valid).otherwise(""))
             .select("path", F.substring_index("path", "/", -1).alias("title"),
                     F.length(content).cast("bigint").alias("size_bytes"), F.sha2(content, 256).alias("sha256"),
                     F.concat(F.lit("Local file ("), F.length(content), F.lit(" bytes)")).alias("description"),
-                    F.col("t"), redact(F.col("t")).alias("redacted_evidence_text"))
-            .select("path", "title", "size_bytes", "sha256", "description",
-                    (F.col("t") != F.col("redacted_evidence_text")).alias("contains_sensitive_data"),
+                    "not_scanned", F.col("t"), redact(F.col("t")).alias("redacted_evidence_text"))
+            .select("path", "title", "size_bytes", "sha256", "description", "not_scanned",
+                    F.when(F.col("not_scanned") == "", F.col("t") != F.col("redacted_evidence_text")).alias("contains_sensitive_data"),
                     "redacted_evidence_text"))
