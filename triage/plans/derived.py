@@ -404,3 +404,10 @@ POLICY_RULE = f"""case p_partkey % 12 when 0 then '/en/' || {_N} when 1 then '/f
 
 def policy_rules(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").selectExpr("case when p_partkey % 5 < 2 then 'out' else 'in' end as kind", "p_partkey as ord", f"{POLICY_RULE} as rule")
+
+
+def artifact_maps(spark: SparkSession, sf: str) -> DataFrame:
+    """One source map for every text artifact, which embeds it under its own name."""
+    m = F.struct(F.array("source_file").alias("sources"), F.array("text").alias("sourcesContent"))
+    return artifacts(spark, sf).select(F.concat(F.lit("maps/"), "source_file", F.lit(".map")).alias("source_file"), F.lit(".map").alias("suffix"),
+                                       F.to_json(m).alias("text"))

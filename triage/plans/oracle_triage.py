@@ -9,6 +9,7 @@ from triage.plans import derived as D
 from triage.plans.oracle import (
     ARTS, BASE, DOCS, EVENTS, MERGED, OBS, PAGES, SCRIPTS, SQL, classes, has_any, host, id12, norm, ordered_tags, path, q, redact, rx, scheme,
 )
+from triage.plans.oracle_reviews import AUTH_EP
 
 # --- authorization --------------------------------------------------------------------------------------
 
@@ -298,3 +299,14 @@ SQL["evidence_items"] = f"""select source_file as path, regexp_extract(source_fi
  {redact('text')} as redacted_evidence_text from (select * from {DOCS} union all select * from {SCRIPTS})"""
 SQL["scope_rule_table"] = """select 'out' as kind, 0 as ord, 'admin' || cast(s_suppkey as varchar) || '.example.test' as rule from supplier union all
  select 'in', 0, 's' || cast(s_suppkey as varchar) || '.example.test' from supplier union all select 'in', 1, '*.example.test' from supplier"""
+
+SQL["graphql_inputs"] = f"""select source_file, suffix from (select source_file, '.js' as suffix, text from {SCRIPTS}) where regexp_matches(lower(text),
+ 'graphql|query |mutation ') union all select 'schema/' || cast(s_suppkey as varchar) || '.graphql', '.graphql' from supplier"""
+_FOUND = [("secrets", "secret_scan"), ("internal_references", "internal_refs"), ("runtime_configs", "runtime_config"), ("source_maps", "sourcemap_refs"),
+          ("storage_references", "storage_refs"), ("dom_review_leads", "dom_leads"), ("postmessage_leads", "message_leads")]
+SQL["embedded_findings"] = " union all ".join(
+    [f"select '{name}' as analysis, source_file, cast(line as int) as line, redacted_evidence as evidence from ({SQL[query]})" for name, query in _FOUND]
+    + [f"select 'endpoints', source_file, cast(line as int), {redact('raw_url')} from ({SQL['text_endpoints']})"])
+SQL["auth_endpoints_of_inventories"] = BASE + f""", ae0 as (select source_file, entry_idx as ord, method, url from ex union all
+ select 'inventory/' || endpoint_id, 0, method, url from ({SQL['text_endpoint_inventory']})), ae1 as """ + AUTH_EP.split("ae1 as ", 1)[1] + (
+    SQL["auth_endpoints"].split(AUTH_EP, 1)[1])

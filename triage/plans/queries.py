@@ -329,6 +329,14 @@ def auth_endpoints(spark, sf):
     return flat(_auth_endpoints(spark, sf).drop("tag_mask"))
 
 
+@query
+def auth_endpoints_of_inventories(spark, sf):
+    """Authentication endpoints of captures and of the saved endpoint inventory of all texts."""
+    saved = endpoints.merge_endpoints(endpoints.endpoints_from_text(D.artifacts(spark, sf))).select(
+        F.concat(F.lit("inventory/"), "endpoint_id").alias("source_file"), F.lit(0).cast("bigint").alias("entry_idx"), "method", "url")
+    return flat(auth.auth_endpoints(D.exchanges(spark, sf), inventories=saved).drop("tag_mask"))
+
+
 @query
 def session_leads(spark, sf):
     return auth.session_leads(_auth_endpoints(spark, sf), reviews.cookie_observations(D.exchanges(spark, sf)))
@@ -434,6 +442,15 @@ def embedded_source_urls(spark, sf):
     return found.select("source_file", "line", "method", "raw_url")
 
 
+@query
+def embedded_findings(spark, sf):
+    """All front-end analyses and endpoints of the sources embedded in one source map per text; the maps are parsed once."""
+    path = f"{shared_dir(spark)}/embedded-{uuid.uuid4().hex}"
+    sources = art.expand_sources(art.read_source_maps(D.artifact_maps(spark, sf)))
+    sources.write.parquet(path)
+    return frontend.rescan(spark.read.schema(sources.schema).parquet(path))
+
+
 @query
 def frontend_summary(spark, sf):
     a = D.artifacts(spark, sf)
@@ -841,6 +858,13 @@ def classify_inputs(spark, sf):
     return flat(art.classify_inputs(mixed))
 
 
+@query
+def graphql_inputs(spark, sf):
+    """The inputs of the GraphQL analysis among scripts, documents, pages, schemas and saved results."""
+    mixed = D.artifacts(spark, sf).unionByName(D.schema_artifacts(spark, sf)).unionByName(D.saved_artifacts(spark, sf))
+    return art.graphql_bearing(mixed).select("source_file", "suffix")
+
+
 @query
 def artifact_types(spark, sf):
     return art.detect_artifact_type(D.saved_artifacts(spark, sf))

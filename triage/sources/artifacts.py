@@ -101,6 +101,14 @@ def classify_inputs(artifacts: DataFrame) -> DataFrame:
             .select("source_file", "input_type", modules.alias("analyses")))
 
 
+def graphql_bearing(artifacts: DataFrame) -> DataFrame:
+    """The inputs of the GraphQL analysis: schema and document files, captures that mention it, scripts that mention it or an operation."""
+    low, suffix = F.lower("text"), F.col("suffix")
+    mentions = low.contains("graphql")
+    return artifacts.where(suffix.isin(".graphql", ".gql") | ((suffix == ".har") & mentions) | (
+        suffix.isin(".js", ".mjs", ".cjs") & (mentions | low.contains("query ") | low.contains("mutation "))))
+
+
 def detect_artifact_type(artifacts: DataFrame) -> DataFrame:
     """Type of a saved result by its top-level keys; the first rule that fits wins."""
     keys, suffix = F.col("top_keys"), F.col("suffix")
