@@ -177,7 +177,7 @@ def terms_from_inventories(**tables: DataFrame) -> DataFrame:
         return lambda df: _terms(_one(c(name)), category, context, classify)
 
     def listed(name, category, context, classify=False):
-        return lambda df: _terms(F.coalesce(c(name), empty), category, context, classify)
+        return lambda df: _terms(F.coalesce(c(name), empty) if name in df.columns else empty, category, context, classify)
 
     def parts(name, context):
         return lambda df: _parts(_one(c(name)), context)

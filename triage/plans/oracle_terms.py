@@ -302,3 +302,13 @@ SQL["workspace_terms"] = "with" + terms(" union all ".join([
     _rows(_WSR, "'idor'", "object_name", "true"), _rows(_WSR, "'Evidence'", "object_name", "true"),
     _rows(f"{_WSR} where doc_id % 8 <> 0", "unnest(['Open', 'the', 'page'])", "javascript_identifier", "true")])) + (
     " select normalized_value, category, occurrences from tm")
+
+_EPI, _RCI, _STI = (f"({SQL[n]})" for n in ("text_endpoint_inventory", "runtime_config", "storage_refs"))
+_RTI = f"(select 'pages/' || cast(page_id as varchar) as source_file, {path('url')} as path from pages)"
+_split_list = "unnest(string_split({}, ','))".format
+SQL["saved_table_terms"] = "with" + terms(" union all ".join(
+    [_rows(src, col, "endpoint_path") for src, col in ((_EPI, "path"), (_EPI, "normalized_path"), (_RTI, "path"))]
+    + [_rows(src, f"unnest({split(col)})", "route_segment", "true") for src, col in ((_EPI, "path"), (_EPI, "normalized_path"), (_RTI, "path"))]
+    + [_rows(_EPI, _split_list("object_id_candidates"), "object_name"), _rows(_EPI, _split_list("risk_tags"), "unknown", "true"),
+       _rows(_RCI, _split_list("config_keys"), "json_key", "true"), _rows(_RCI, "title", "object_name", "true"), _rows(_STI, "key", "object_name", "true")])) + (
+    " select normalized_value, category, occurrences from tm")

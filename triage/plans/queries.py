@@ -572,6 +572,16 @@ def inventory_terms(spark, sf):
     return vocab.aggregate_terms(raw).select("normalized_value", "category", "occurrences")
 
 
+@query
+def saved_table_terms(spark, sf):
+    """Terms out of saved endpoint, runtime-config, route and storage tables, here those of all texts and pages."""
+    a = D.artifacts(spark, sf)
+    routes = D.table(spark, sf, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("source_file"), U.path(F.col("url")).alias("path"))
+    raw = vocab.terms_from_inventories(endpoints=endpoints.merge_endpoints(endpoints.endpoints_from_text(a)), routes=routes,
+                                       runtime_configs=frontend.scan_runtime_config(a), storage_references=frontend.storage_refs(a))
+    return vocab.aggregate_terms(raw).select("normalized_value", "category", "occurrences")
+
+
 @query
 def workspace_terms(spark, sf):
     return vocab.aggregate_terms(vocab.terms_from_inventories(workspaces=D.workspaces(spark, sf))).select(
