@@ -73,10 +73,8 @@ def _body(lines: Column, start: Column, stop: Column) -> Column:
     return F.array_join(F.slice(lines, start + 1, stop - start), "\n")
 
 
-def _with_first(places: DataFrame, key: list[str]) -> DataFrame:
-    """The places whose hash repeats, with times and first (the first place); hot hashes are joined by broadcast."""
-    repeated = places.groupBy("h", "n").agg(F.count("*").alias("times"), F.min(F.struct(*key, "start", "stop")).alias("first")).where("times > 1")
-    repeated, limit = land(repeated, "line-repeats"), HOT * places.count()
+def _met(places: DataFrame, repeated: DataFrame, limit: float) -> DataFrame:
+    """The places whose h and n are among the repeated ones, with the columns of those; hot ones, boundedly many, are joined by broadcast."""
     hot, rare = repeated.where(F.col("times") > limit), repeated.where(F.col("times") <= limit)
     others = places.join(F.broadcast(hot.select("h", "n")), ["h", "n"], "left_anti")
     return places.join(F.broadcast(hot), ["h", "n"]).unionByName(others.join(rare, ["h", "n"]))
@@ -97,10 +95,14 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     lined = docs.select(F.col(doc_id).alias("__id"), digest, F.split(F.col(text), "\n", -1).alias("__lines")).where("__id is not null and __lines is not null")
     # one row per chunk, without its text
     places = land(lined.select(*key, F.inline(chunks(F.col("__lines"), words, least))), "line-chunks")
-    met = _with_first(places, key)
-    beside = met.select(*key, F.explode(F.array_compact(F.array("before", "behind"))).alias("w")).select(*key, "w.*").distinct()
-    places = land(places.drop("before", "behind").unionByName(beside), "line-chunks")
-    met = _with_first(places, key)
+    limit = HOT * places.count()
+    repeated = land(places.groupBy("h", "n").agg(F.count("*").alias("times")).where("times > 1"), "line-repeats")
+    open_ = places.where("before is not null or behind is not null").select(*key, "h", "n", F.array_compact(F.array("before", "behind")).alias("near"))
+    beside = land(_met(open_, repeated, limit).select(*key, F.explode("near").alias("w")).select(*key, "w.*").distinct(), "line-extensions")
+    places = places.drop("before", "behind").unionByName(beside)
+    first = F.min(F.struct(*key, "start", "stop")).alias("first")
+    repeated = land(places.groupBy("h", "n").agg(F.count("*").alias("times"), first).where("times > 1"), "line-repeats")
+    met = _met(places, repeated, limit)
     is_first = F.struct(*key, "start") == F.struct("first.__id", "first.__digest", "first.start")
     apart = (F.struct(*key) != F.struct("first.__id", "first.__digest")) | (F.col("start") >= F.col("first.stop"))
     marked = met.where(is_first | apart).select(*key, F.struct(
