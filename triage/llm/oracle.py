@@ -52,3 +52,72 @@ FROM d JOIN g USING (k)
 """
 
 SQL: dict[str, str] = {"op11_fill_middle": FILL_MIDDLE, "op12_prefix_trie": PREFIX_TRIE, "op13_exact_dedup": EXACT_DEDUP}
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(text: str, pattern: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '{pattern}')"
+
+
+def _components(ids: str, links: str) -> str:
+    """CTEs: reach (a, b) of all pairs in either order that links connect, and comp (id, component_id)."""
+    return f"""both_ways AS (SELECT a, b FROM {links} UNION SELECT b, a FROM {links}),
+reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON l.a = r.b),
+comp AS (SELECT i.id, least(i.id, coalesce(min(reach.b), i.id)) AS component_id FROM {ids} i LEFT JOIN reach ON reach.a = i.id GROUP BY i.id)"""
+
+
+EMBEDDING_JOIN = f"""
+WITH RECURSIVE v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding::DOUBLE[], lambda z: z IS NULL OR NOT isfinite(z))) = 0 AND len(list_filter(embedding::DOUBLE[], lambda z: z <> 0)) > 0),
+links AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.label = b.label AND a.id < b.id AND len(a.x) = len(b.x)
+    AND list_cosine_similarity(a.x, b.x) >= 0.93),
+ids AS (SELECT DISTINCT vec_id AS id FROM embeddings),
+{_components("ids", "links")},
+n AS (SELECT id, count(*) AS n_links FROM (SELECT a AS id FROM links UNION ALL SELECT b FROM links) GROUP BY id)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings e JOIN comp ON comp.id = e.vec_id LEFT JOIN n ON n.id = e.vec_id
+"""
+
+NGRAM_JOIN = rf"""
+WITH RECURSIVE w AS (SELECT doc_id AS id, {_words("text", r"[^\x20\x09-\x0D]+")} AS ws FROM documents),
+g AS (SELECT DISTINCT id, ws[i:i + least(4, len(ws)) - 1] AS s FROM (SELECT id, ws, unnest(range(1, len(ws) - least(4, len(ws)) + 2)) AS i FROM w WHERE len(ws) > 0)),
+size AS (SELECT w.id, count(g.id) AS n FROM w LEFT JOIN g USING (id) GROUP BY w.id),
+common AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.id < b.id GROUP BY a.id, b.id),
+links AS (SELECT a, b FROM common JOIN size x ON x.id = a JOIN size y ON y.id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+ids AS (SELECT id FROM size),
+{_components("ids", "links")},
+n AS (SELECT id, count(*) AS n_links FROM (SELECT a AS id FROM links UNION ALL SELECT b FROM links) GROUP BY id)
+SELECT size.id AS doc_id, size.n::BIGINT AS n_shingles, component_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM size JOIN comp USING (id) LEFT JOIN n USING (id)
+"""
+
+SUFFIX_DEDUP = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+win AS (SELECT doc_id, i, x[i:i + 49] AS s FROM (SELECT doc_id, x, unnest(range(1, n - 48)) AS i FROM d WHERE n >= 50)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first FROM win) WHERE first < doc_id),
+runs AS (SELECT doc_id, min(i) AS lo, max(i) AS hi FROM (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM gone) GROUP BY doc_id, r),
+edges AS (SELECT doc_id, lo, hi FROM runs UNION ALL SELECT doc_id, n + 1, n + 1 FROM d),
+kept AS (SELECT doc_id, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) + 1 AS a, lo - 1 AS b FROM edges),
+text AS (SELECT doc_id, string_agg(CASE WHEN a <= b THEN hex(x[a:b]) ELSE '' END, '' ORDER BY a) AS t FROM kept JOIN d USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(hi - lo + 1) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(t)) AS kept_sha256
+FROM d JOIN text USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""
+
+DECONTAMINATION = rf"""
+WITH w AS (SELECT doc_id, {_words("text", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")} AS ws FROM documents),
+iw AS (SELECT item_id, {_words("text", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")} AS ws FROM benchmark),
+win AS (SELECT DISTINCT item_id, ws[i:i + least(10, len(ws)) - 1] AS g FROM (
+    SELECT item_id, ws, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM iw WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT len(g) AS l FROM win),
+dw AS (SELECT doc_id, i, l, ws[i:i + l - 1] AS g FROM (SELECT doc_id, ws, l, unnest(range(1, len(ws) - l + 2)) AS i FROM w JOIN sizes ON len(ws) >= l)),
+hit AS (SELECT doc_id, i, l, item_id FROM dw JOIN win USING (g)),
+covered AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + l)) AS j FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM hit GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+SQL |= {"op5_embedding_join": EMBEDDING_JOIN, "op6_ngram_join": NGRAM_JOIN, "op7_suffix_dedup": SUFFIX_DEDUP, "op8_decontamination": DECONTAMINATION}
