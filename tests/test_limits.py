@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import entry, texts
 from triage.functions import gqltext, jsonwalk, urls
-from triage.operators import exchanges, graphql
+from triage.operators import endpoints, exchanges, graphql
 from triage.sources import artifacts, captures
 
 
@@ -162,3 +162,14 @@ def test_schema_text_with_comments_and_descriptions(spark):
            '  me: User @d(x: {k: "}"})\n}\n# type Gone { a: Int }\ntype User { id: ID }')
     r = graphql.gql_schema_sdl(texts(spark, ("s.graphql", sdl))).first()
     assert (r.type_names, r.query_names) == (["Query", "User"], ["me", "user"])
+
+
+def test_many_urls_in_one_text(spark):
+    """Strings are claimed by one sort, not by a search for each; order and first places are kept."""
+    n = 30_000
+    text = "\n".join(f"fetch('https://a.test/p/{i % 700}'); x = \"/api/{i % (n // 2)}\"" for i in range(n))
+    got = endpoints.endpoints_from_text(texts(spark, ("a.js", text))).select("raw_url", "line").collect()
+    calls = [r for r in got if r.raw_url.startswith("https://a.test/")]
+    quoted = {r.raw_url: r.line for r in got if r.raw_url.startswith("/api/")}
+    assert len(calls) == n and len(got) == n + n // 2
+    assert quoted == {f"/api/{i}": i + 1 for i in range(n // 2)}

@@ -106,21 +106,21 @@ def endpoints_from_text(artifacts: DataFrame) -> DataFrame:
     absolute = F.transform(pattern_hits(text, rules.ABSOLUTE_URL, (0,)), plain("g0"))
     quoted = F.transform(pattern_hits(text, rules.QUOTED_PATH, (2,)), plain("g2"))
 
-    def first_seen(hits: Column, *claimed: Column) -> Column:
-        taken = F.concat(*[F.transform(a, lambda x: x["raw"]) for a in claimed])
-        fresh = F.array_except(F.transform(hits, lambda x: x["raw"]), taken)
-        return let(F.transform(hits, lambda x: x["raw"]), lambda raws: F.transform(
-            fresh, lambda r: F.try_element_at(hits, F.array_position(raws, r).cast("int"))))
+    def of(hits: Column, is_call: bool) -> Column:
+        return F.transform(hits.cast(kind), lambda x: F.struct(x["raw"].alias("raw"), x["method"].alias("method"), x["line"].alias("line"), F.lit(is_call).alias("call")))
+
+    def claimed(hits: Column) -> Column:
+        """Calls, and of the other strings the first place of each that no kind before has; one sort by string, one back by place."""
+        places = F.transform(hits, lambda x, i: F.struct(x["raw"].alias("raw"), i.alias("pos"), x["method"].alias("method"), x["line"].alias("line"), x["call"].alias("call")))
+        kept = let(F.array_sort(places), lambda ps: F.filter(ps, lambda x, i: x["call"] | (i == 0) | (F.get(ps, i - 1)["raw"] != x["raw"])))
+        return F.array_sort(F.transform(kept, lambda x: F.struct(x["pos"].alias("pos"), x["raw"].alias("raw"), x["method"].alias("method"), x["line"].alias("line"))))
 
     scanned = artifacts.select(
-        "source_file", "suffix", calls.cast(kind).alias("calls"), absolute.cast(kind).alias("absolute"),
-        quoted.cast(kind).alias("quoted"),
+        "source_file", "suffix", F.concat(of(calls, True), of(absolute, False), of(quoted, False)).alias("hits"),
         F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(rules.FORM_NAME), F.lit(1)))).alias("forms"),
         F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(rules.ID_NAME), F.lit(1)))).alias("ids"))
-    scanned = scanned.withColumn("absolute", first_seen(F.col("absolute"), F.col("calls")))
-    scanned = scanned.withColumn("quoted", first_seen(F.col("quoted"), F.col("calls"), F.col("absolute")))
-    rows = scanned.select("source_file", "suffix", "forms", "ids",
-                          F.posexplode(F.concat("calls", "absolute", "quoted")).alias("pos", "h"))
+    rows = scanned.where(F.size("hits") > 0).select("source_file", "suffix", "forms", "ids", F.explode(claimed(F.col("hits"))).alias("h")).select(
+        "source_file", "suffix", "forms", "ids", F.col("h.pos").alias("pos"), "h")
     return _describe(rows.select(
         "source_file", F.lit(0).cast("bigint").alias("entry_idx"), "pos", F.col("h.raw").alias("raw_url"),
         F.col("h.method").alias("method"), _none().alias("query_params"),
