@@ -1,10 +1,13 @@
 """Rows that once ended a job: very long addresses, and tool calls of every broken kind."""
 
 import json
+import random
+import re
+from itertools import accumulate
 
 from pyspark.sql import functions as F
 
-from triage.llm import chat_tools, pii
+from triage.llm import chat_tools, folds, pii, secrets
 
 
 def test_long_addresses_and_texts(spark):
@@ -54,3 +57,52 @@ def test_canonical_json():
     for _ in range(5_000):
         nested = [nested]
     assert chat_tools.canonical(nested) == "[" * 5001 + "]" * 5001
+
+
+def spans_by_loops(text, model, base):
+    """Base spans as given; runs whose pairs are likelier random, by a plain sum, that overlap no base span."""
+    text, n = text or "", len(secrets.ALPHABET)
+    out = list(base)
+    for m in re.finditer(secrets.RUN, text):
+        c = [secrets.ALPHABET.find(x) for x in m[0]]
+        total = sum(round(model[a * n + b], 6) for a, b in zip(c, c[1:]))
+        if total >= max(secrets.TOTAL_RATIO, secrets.MEAN_RATIO * (len(c) - 1)) and not any(a < m.end() and m.start() < z for a, _, z in base):
+            out.append((m.start(), 3, m.end()))
+    return sorted(out)
+
+
+def base_by_loops(text):
+    text, out = text or "", []
+    for m in re.finditer(secrets.ASSIGN, text):
+        out += [(m.start(), 0, m.end())] if len(m[2]) >= 8 else []
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    return out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+
+
+def test_secrets_of_both_sorts_by_loops(spark):
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choices(secrets.ALPHABET, k=n))
+    word = lambda: "".join(rng.choices("aeiounrst", k=rng.randint(3, 12)))
+    bits = [lambda: noise(rng.randint(14, 40)), word, lambda: "token=" + noise(12), lambda: "AKIA" + noise(20), lambda: "é😀", lambda: "%x" % rng.getrandbits(200),
+            lambda: word() + "_" + word() + word(), lambda: "password: 'abc"]
+    texts = ["".join(rng.choice(bits)() + rng.choice([" ", " ", "", "\n"]) for _ in range(rng.randint(0, 60))) for _ in range(150)] + [None, ""]
+    texts.append(" ".join(noise(20) + f" token={noise(9)}" for _ in range(6000)))
+    given = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)] + [(0, texts[0], 0)], "doc_id int, text string, __base int").repartition(4)
+    samples = [(noise(30), 1) for _ in range(300)] + [(word() + "_" + word(), 0) for _ in range(300)]
+    model = secrets.train(spark.createDataFrame(samples, "value string, label int"))
+    rows = secrets.scan(given.drop("__base"), model).collect()
+    want = [spans_by_loops(t, model, base_by_loops(t)) for t in texts]
+    assert len(rows) == len(texts) + 1
+    for r in rows:
+        assert [(s.start, s.kind, s.stop) for s in r.secrets] == want[r.doc_id], r.text[:200]
+    assert sum(k == 3 for w in want for _, k, _ in w) > 3000
+    assert secrets.scan(given.limit(0), model).count() == 0
+
+
+def test_running_folds(spark):
+    lists = [[], [3], list(range(256)), list(range(257)), [5, -1] * 3000]
+    given = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x array<int>")
+    got = {r.i: (r.a, r.b) for r in given.select("i", folds.before(F.col("x"), lambda a, b: a + b, F.lit(0)).alias("a"),
+                                                 folds.before(F.col("x"), F.greatest, F.lit(-9)).alias("b")).collect()}
+    for i, x in enumerate(lists):
+        assert got[i] == ([sum(x[:k]) for k in range(len(x))] if len(x) < 1000 else list(accumulate([0, *x[:-1]])), list(accumulate([-9, *x[:-1]], max)) if x else [])

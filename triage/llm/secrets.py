@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from triage.llm.folds import before, once
+
 #: Patterns of the base kinds (fixed values): name, pattern, group that must have the length, least length.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 BASE = (("assign", ASSIGN, 2, 8), ("access", r"AKIA[A-Z0-9]+", 0, 16), ("hex", r"[0-9a-f]+", 0, 32))
@@ -74,19 +76,25 @@ def ratio(value: Column, model: list[float]) -> Column:
 
 def _located(found: Column, parts: Column, ok, kind: Column) -> Column:
     """Array of (start, kind, stop) of matches, from the matches and the text between them."""
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,stop:int>>").alias("out"))
-
-    def step(s: Column, i: Column) -> Column:
-        start = s["at"] + F.length(F.get(parts, i))
-        stop = start + F.length(F.get(found, i))
-        one = F.struct(start.alias("start"), kind.alias("kind"), stop.alias("stop"))
-        return F.struct(stop.alias("at"), F.when(ok(i), F.concat(s["out"], F.array(one))).otherwise(s["out"]).alias("out"))
+    def all_(starts: Column) -> Column:
+        rows = F.transform(starts, lambda gap, i: F.struct(
+            (gap + F.length(F.get(parts, i))).alias("start"), kind.alias("kind"), (gap + F.length(F.get(parts, i)) + F.length(F.get(found, i))).alias("stop"), ok(i).alias("ok")))
+        return F.transform(F.filter(rows, lambda r: r["ok"]), lambda r: F.struct(*[r[c].alias(c) for c in ("start", "kind", "stop")]))
 
-    places = F.sequence(F.lit(0), F.size(found) - 1)
-    return F.when(F.size(found) > 0, F.aggregate(places, state, step, lambda s: s["out"])).otherwise(
+    sizes = F.transform(found, lambda m, i: F.length(F.get(parts, i)) + F.length(m))
+    return F.when(F.size(found) > 0, once(before(sizes, lambda a, b: a + b, F.lit(0)), all_)).otherwise(
         F.array().cast("array<struct<start:int,kind:int,stop:int>>"))
 
 
+def _free(spans: Column) -> Column:
+    """Sorted spans without those of kind random that overlap one of a base kind."""
+    end = (1 << 31) - 1
+    reached = before(F.transform(spans, lambda s: F.when(s["kind"] < 3, s["stop"]).otherwise(F.lit(-1))), F.greatest, F.lit(-1))
+    follows = before(F.transform(F.reverse(spans), lambda s: F.when(s["kind"] < 3, s["start"]).otherwise(F.lit(end))), F.least, F.lit(end))
+    return once(reached, lambda r: once(F.reverse(follows), lambda f: F.filter(
+        spans, lambda s, i: (s["kind"] < 3) | ((F.get(r, i) <= s["start"]) & (F.get(f, i) >= s["stop"])))))
+
+
 def base_values(docs: DataFrame, text: str = "text") -> DataFrame:
     """The matched values of the base kinds (column value), as samples of random strings."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -115,7 +123,8 @@ def scan(docs: DataFrame, model: list[float], *, text: str = "text", into: str =
     """Every row with its columns and ``into``: array of (start, kind, stop), sorted; kind is a place in KINDS, offsets count code points.
 
     Base kinds are leftmost non-overlapping matches of their patterns, those too short dropped.  A run of 16 characters or more that
-    touches none of them is of kind random if the models say so.  Null and empty texts have no spans.  A column already named
+    overlaps none of them is of kind random if the models say so; a part of a run beside a base span is no span.  Null and empty texts and an
+    empty table have no spans; repeated rows have the same.  A column already named
     ``into`` is replaced.
     """
     body = F.coalesce(F.col(text), F.lit(""))
@@ -139,8 +148,9 @@ def scan(docs: DataFrame, model: list[float], *, text: str = "text", into: str =
     four = three.withColumn("__more", F.when(
         F.exists("__runs", lambda r: r), _located(F.col("__run"), F.col("__run_by"), lambda i: F.get("__runs", i), F.lit(3))).otherwise(
         F.array().cast("array<struct<start:int,kind:int,stop:int>>")))
-    free = F.filter("__more", lambda r: ~F.exists("__base", lambda b: (b["start"] < r["stop"]) & (r["start"] < b["stop"])))
-    return four.withColumn(into, F.array_sort(F.concat("__base", free))).select(*docs.drop(into).columns, into)
+    spans = F.array_sort(F.concat("__base", "__more"))
+    free = F.when(F.size("__more") > 0, once(spans, _free)).otherwise(spans)
+    return four.withColumn(into, free).select(*docs.drop(into).columns, into)
 
 
 def listed(spans: Column) -> Column:
