@@ -20,7 +20,7 @@ AUTHZ = f"""with ex0 as (select {_KEYS}, arg_max({{'expected_result': expected_r
  expd as (select {_KEYS}, {id12('expect', _RID)} as id, f.expected_result as expected_result, f.boundary_type as boundary_type from ex0),
  ob0 as (select {_KEYS}, arg_max({{'observed_result': observed_result, 'evidence_reference': evidence_reference}},
  {{'a': o1, 'b': o2, 'c': observed_result || evidence_reference}}) as f
- from {D.staged_sql('(select * from lineitem where l_discount > 0.02)', D.OBSERVED)} group by all),
+ from {D.staged_sql('lineitem', D.OBSERVED)} group by all),
  obsd as (select {_KEYS}, f.observed_result as seen, f.evidence_reference as ref from ob0),
  objs as (select * from {D.staged_sql('orders', D.OBJECTS)}), acts as (select * from {D.staged_sql('customer', D.ACTORS)}),
  tpls as (select * from {D.staged_sql('(select distinct l_linenumber as n from lineitem)', D.TEMPLATES)}),

@@ -783,8 +783,9 @@ def scope_policy_matches(spark, sf):
 # --- quality -------------------------------------------------------------------------------------------------------------------------------------
 
 def _manifest(spark, sf):
-    """Files of the documents with an even id; attachments of the others are missing."""
-    return D.documents(spark, sf).select(F.col("source_file").alias("path")).filter(~F.col("path").rlike("[13579]\\.txt$"))
+    """A file for every document; those of the documents with an odd id lie elsewhere, so their attachments are missing."""
+    path = F.col("source_file")
+    return D.documents(spark, sf).select(F.when(path.rlike("[13579]\\.txt$"), F.concat(F.lit("moved/"), path)).otherwise(path).alias("path"))
 
 
 def _drafts(spark, sf):
