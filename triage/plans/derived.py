@@ -413,3 +413,15 @@ def artifact_maps(spark: SparkSession, sf: str) -> DataFrame:
     m = F.struct(F.array("source_file").alias("sources"), F.array("text").alias("sourcesContent"))
     return artifacts(spark, sf).select(F.concat(F.lit("maps/"), "source_file", F.lit(".map")).alias("source_file"), F.lit(".map").alias("suffix"),
                                        F.to_json(m).alias("text"))
+
+
+def gql_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The operation of every GraphQL event as a document file of its own."""
+    return event_rows(spark, sf).where("t = 'graphql'").selectExpr("'gql/' || ids || '.graphql' as source_file", "'.graphql' as suffix", "gql as text")
+
+
+def records(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested records with secret-named fields and keys at several depths."""
+    return event_rows(spark, sf).selectExpr(
+        "source_file", "i as entry_idx", "url", "named_struct('password', 'p' || us, 'note', 'mail ' || us || '@mail.example', 'inner', "
+        "array(named_struct('api_key', 'k' || ks, 'text', rq_auth))) as actor", "map('session_token', 't' || ks, 'lang', 'en', 'auth', rq_auth) as extra")

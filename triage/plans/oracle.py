@@ -210,6 +210,9 @@ def ph(category: str) -> str:
 
 
 SQL["sensitive_material"] = BASE + sensitive_ctes() + f" select *, {ph('category')} as redacted_value from sens"
+SQL["redact_records"] = BASE + f""" select source_file, entry_idx, {redact('url')} as url, '<redacted-secret>' as password,
+ {redact("'mail ' || us || '@mail.example'")} as note, '<redacted-secret>' as api_key, {redact('rq_auth')} as text, '<redacted-secret>' as extra_session_token,
+ 'en' as extra_lang, {redact('rq_auth')} as extra_auth from ex where source_file not like 'pages-%'"""
 SQL["redact_nested"] = BASE + (
     ", hv as (" + " union all ".join(f"select {q(n)} as name, {redact(c)} as v from ex where {c} is not null" for n, c in REQ_HEADERS)
     + ") select name, case when contains(v, '<redacted') then v else 'kept' end as value, count(*) as headers from hv group by all")

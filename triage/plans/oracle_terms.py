@@ -72,6 +72,9 @@ SQL["gql_operations"] = BASE + DOCS_CTE + f""" select operation_id, source_file,
  array_to_string(list_sort(list_distinct(regexp_extract_all(blk, '\\.\\.\\.([A-Za-z_]\\w*)', 1))), ',') as fragments,
  array_to_string(sf, ',') as sensitive_fields, array_to_string(oi, ',') as object_id_candidates, tags as risk_tags,
  {redact('blk')} as redacted_evidence from op"""
+_FILES_CTE = """, gd as (select 'gql/' || ids || '.graphql' as source_file, cast(0 as bigint) as entry_idx, '' as endpoint_id, gql as doc, 0 as dpos
+ from ex where t = 'graphql'),""" + DOCS_CTE[DOCS_CTE.index("\n op0 as"):]
+SQL["gql_file_operations"] = SQL["gql_operations"].replace(DOCS_CTE, _FILES_CTE)
 SQL["gql_variables"] = BASE + DOCS_CTE + f""", vr as (select unnest(vars) as name, args, source_file, entry_idx from op)
  select name, arg_min(regexp_extract(args, '\\$' || name || ':\\s*([\\w!]+)', 1), {{'a': source_file, 'b': entry_idx}}) as value_type,
  count(*) as operations, cast({sensitive('name')} as int) as sensitive, cast({object_id('name')} as int) as object_id_candidate from vr group by name"""

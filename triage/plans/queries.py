@@ -92,6 +92,15 @@ def redact_nested(spark, sf):
         F.count("*").alias("headers"))
 
 
+@query
+def redact_records(spark, sf):
+    """Nested redaction of records with secret-named fields in structs, lists and maps, every leaf of them."""
+    at = lambda key: F.try_element_at("extra", F.lit(key)).alias(f"extra_{key}")
+    return txt.redact_struct(D.records(spark, sf)).select(
+        "source_file", "entry_idx", "url", "actor.password", "actor.note", F.col("actor.inner")[0]["api_key"].alias("api_key"),
+        F.col("actor.inner")[0]["text"].alias("text"), at("session_token"), at("lang"), at("auth"))
+
+
 @query
 def sensitive_material(spark, sf):
     return exchanges.sensitive_material(D.exchanges(spark, sf))
@@ -475,9 +484,18 @@ def gql_endpoints(spark, sf):
     return flat(graphql.gql_merge(graphql.gql_endpoints(D.exchanges(spark, sf), graphql.endpoint_bearing(D.artifacts(spark, sf)))))
 
 
+@query
+def gql_file_operations(spark, sf):
+    """Operations of document files."""
+    return _flat_operations(graphql.gql_operations(graphql.gql_documents(graphql.gql_payloads(artifacts=D.gql_files(spark, sf)))))
+
+
 @query
 def gql_operations(spark, sf):
-    ops = _operations(spark, sf)
+    return _flat_operations(_operations(spark, sf))
+
+
+def _flat_operations(ops):
     types = F.array_join(F.transform("variable_types", lambda v: F.concat(v["name"], F.lit(":"), v["type"])), ",")
     return flat(ops.withColumn("variable_types", types).drop("tag_mask", "side", "pos"))
 
