@@ -7,7 +7,8 @@ from itertools import accumulate
 
 from pyspark.sql import functions as F
 
-from triage.llm import chat_tools, folds, pii, secrets
+from triage.llm import chat_tools, decontaminate, folds, packing, pii, secrets, toxicity
+from triage.llm.queries import tokenizer
 
 
 def test_long_addresses_and_texts(spark):
@@ -106,3 +107,28 @@ def test_running_folds(spark):
                                                  folds.before(F.col("x"), F.greatest, F.lit(-9)).alias("b")).collect()}
     for i, x in enumerate(lists):
         assert got[i] == ([sum(x[:k]) for k in range(len(x))] if len(x) < 1000 else list(accumulate([0, *x[:-1]])), list(accumulate([-9, *x[:-1]], max)) if x else [])
+
+
+def test_empty_tables_repeats_and_clashing_columns(spark):
+    texts = ["you are a stupid idiot", None, "", "kind words", "you are a stupid idiot", "w " * 300_000, "one two three four five six seven eight nine ten eleven"]
+    docs = spark.createDataFrame([(i % 5, t, 1, 2, "x", 0.5) for i, t in enumerate(texts)],
+                                 "doc_id long, text string, sequence_id int, offset int, hits string, score double")
+    labels = spark.createDataFrame([(0, 1), (3, 0), (1, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    scored = sorted((r.text or "", r.score) for r in toxicity.score(docs, model).collect())
+    assert len(scored) == 7 and all(0 <= s <= 1 for _, s in scored) and len({s for t, s in scored if t.startswith("you")}) == 1
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    nothing = toxicity.fit(docs, labels.limit(0))
+    assert len({r.score for r in toxicity.score(docs, nothing).collect()}) == 1
+
+    items = spark.createDataFrame([("a", "Two three"), ("b", None), (None, "idiot"), ("a", "Two three")], "item_id string, text string")
+    hits = {(r.doc_id, r.text): r.hits for r in decontaminate.find_hits(docs, items).collect()}
+    assert [(hits[1, texts[6]].n_hit, hits[1, texts[6]].items), hits[0, texts[0]].n_hit, hits[1, None].n_words] == [(2, ["a"]), 1, 0]
+    assert all(r.hits.n_hit == 0 for r in decontaminate.find_hits(docs, items.limit(0)).collect())
+    assert decontaminate.find_hits(docs.limit(0), items).count() == 0
+
+    parts = packing.pieces(docs, tokenizer())
+    packed = packing.pack(parts).collect()
+    assert sum(r.length for r in packed) == sum(len(packing.encode(t, tokenizer())) + 1 for t in texts)
+    assert len({(r.sequence_id, r.offset) for r in packed}) == len(packed)
+    assert packing.pack(packing.pieces(docs.limit(0), tokenizer())).count() == 0

@@ -237,7 +237,8 @@ def find_hits(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id:
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lowered.  An item with fewer than ``size`` words is one
     window; without words (or null) it matches nothing.  Null and empty texts have no words and no hits.  Items repeated under one id
-    count once; hits of an item whose id is null count as hits, but are listed nowhere.  A column already named ``into`` is replaced.
+    count once; hits of an item whose id is null count as hits, but are listed nowhere.  Without items nothing is hit; an empty table gives an
+    empty one.  Words are told apart by 64-bit hashes.  A column already named ``into`` is replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -61,7 +61,11 @@ def encode(text: str | None, path: str) -> np.ndarray:
 
 def pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", size: int = SIZE,
            end_id: int = END_ID) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens of every piece; a document has one more id (``end_id``) than its text."""
+    """doc_id, start, length, ids_crc32, doc_tokens of every piece; a document has one more id (``end_id``) than its text.
+
+    Null and empty texts are the end id alone.  Rows with a null id have pieces with a null id, and repeated rows each their own.  A very
+    long text is encoded whole and gives as many pieces as it needs.  An empty table gives none; other columns are ignored.
+    """
     small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                         ("doc_tokens", pa.int64())])
@@ -105,9 +109,8 @@ def pack_histogram(counts: dict[int, int], size: int = SIZE) -> list[tuple[int,
         while left:
             k = bisect_left(rests, length)
             if k == len(rests):
-                each = min(left, left)
-                put(size - length, (each, [length]))
-                left -= each
+                put(size - length, (left, [length]))
+                left = 0
                 continue
             rest = rests[k]
             n, held = open_[rest].pop()

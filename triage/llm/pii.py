@@ -194,7 +194,9 @@ def pseudonymise(docs: DataFrame, key: str, *, text: str = "text", inverse: bool
 
     Kinds: e-mail names, +1 phone numbers, dates of 1800 to 2199 (yyyy-MM-dd, MM/dd/yyyy), social security numbers, IPv4 addresses, card numbers
     that pass the Luhn check (first digit kept, check digit made anew).  Anything that fails its validation stays.  ``inverse`` takes
-    pseudonyms back with the same key (e-mail names come back in lower case).  Null texts stay null with counts 0.  Columns already named n_<kind> are replaced.
+    pseudonyms back with the same key (e-mail names come back in lower case).  Null texts stay null with counts 0.
+    Repeated rows get the same text, an empty table gives an empty one, and texts of any length are handled in one pass of each pattern.
+    The key stands in the plan: keep event logs as closed as the key.  Columns already named n_<kind> are replaced.
     """
     docs = docs.drop(*[f"n_{k}" for k in NAMES])
     body = F.coalesce(F.col(text), F.lit(""))

@@ -186,7 +186,8 @@ def _descend(got, size: int, prior: float, fairness: float, ridge: float, rounds
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", into: str = "score") -> DataFrame:
     """Every row with its columns and a score between 0 and 1; null and empty texts get the score of a text without features.
-    A column already named ``into`` is replaced."""
+    Repeated rows get the same score, texts of any length are read whole, and an empty table gives an empty one.  A column already named
+    ``into`` is replaced."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop(into)
