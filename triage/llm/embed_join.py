@@ -3,7 +3,7 @@
 Vectors become unit vectors in double precision; cosine >= c means a distance of at most eps = sqrt(2 - 2c).  Equal vectors of a label are one
 class.  All vectors are projected on the leading principal directions (from the second moments of all of them, summed by Spark), put in
 cells of width eps, and range-sorted by label and cells.  The sorted sequence is cut into blocks of a fixed size with a bounding box each.
-Pairs of blocks that lie in neighbouring cells of the first direction and whose boxes are at most eps apart are joined; in the task the
+Pairs of blocks that lie in neighbouring cells of the first ``KEYED`` directions and whose boxes are at most eps apart are joined; in the task the
 two sequences are halved again and again, skipping halves that are provably too far apart, down to short runs compared exactly.
 """
 
@@ -24,6 +24,8 @@ COSINE = 0.93
 DIRECTIONS = 8
 BLOCK = 512
 LEAF = 64
+#: Leading directions whose cells are the key by which blocks meet.
+KEYED = 3
 #: Rounding of projections never hides a pair.
 SLACK = 1e-6
 
@@ -121,15 +123,20 @@ def _one_width(classes: DataFrame, d: int, cosine: float, eps: float, m: int, bl
              pa.array([np.array([r[1:3] for r in held], np.int64).T.tobytes()], pa.binary())], names=["block", "label", "lo", "hi", "x", "ids"])
 
     cut = land(ordered.mapInArrow(blocks, "block long, label string, lo array<double>, hi array<double>, x binary, ids binary"), "grid-blocks")
-    box = cut.select("block", "label", "lo", "hi").withColumn("cell", F.explode(F.expr(
-        f"sequence(cast(floor(lo[0] / {eps}) as int), cast(floor(hi[0] / {eps}) as int))")))
-    # of two blocks one covers a cell that is the other's or next to it
-    left = box.select(F.col("block").alias("a"), "label", F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.explode(
-        F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    right = box.select(F.col("block").alias("b"), "label", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), "cell")
+    # blocks meet by the cells of the leading axes: each of two near ones covers a cell that is the other's or next to it, on every axis
+    axis_keys = [f"k{k}" for k in range(min(m, KEYED))]
+
+    def met(name: str, lo: str, hi: str, reach: int) -> DataFrame:
+        out = cut.select(F.col("block").alias(name), "label", F.col("lo").alias(lo), F.col("hi").alias(hi))
+        for k, key in enumerate(axis_keys):
+            out = out.withColumn(key, F.explode(F.expr(
+                f"sequence(cast(floor({lo}[{k}] / {eps}) as int) - {reach}, cast(floor({hi}[{k}] / {eps}) as int) + {reach})")))
+        return out
+
+    left, right = met("a", "lo1", "hi1", 1), met("b", "lo2", "hi2", 0)
     gap = F.aggregate(F.zip_with(F.arrays_zip("lo1", "hi1"), F.arrays_zip("lo2", "hi2"), lambda p, q: F.greatest(
         p["lo1"] - q["hi2"], q["lo2"] - p["hi1"], F.lit(0.0))), F.lit(0.0), lambda s, g: s + g * g)
-    near = left.join(right, ["label", "cell"]).where("a <= b").where(gap <= eps * eps).select("a", "b").distinct()
+    near = left.join(right, ["label", *axis_keys]).where("a <= b").where(gap <= eps * eps).select("a", "b").distinct()
     one_side = cut.select(F.col("block").alias("a"), F.col("x").alias("xa"), F.col("ids").alias("ia"))
     other = cut.select(F.col("block").alias("b"), F.col("x").alias("xb"), F.col("ids").alias("ib"))
     pairs = near.join(one_side, "a").join(other, "b").select("a", "b", "xa", "ia", "xb", "ib")
