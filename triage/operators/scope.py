@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from triage.functions.tags import let
 from triage.functions.urls import host, path, scheme
 
 #: Path segments and labels of a domain in a key; longer rules share the key of their beginning and are told apart by the test.
@@ -23,7 +24,7 @@ SEGMENTS, LABELS = 2, 8
 #: Parts into which the targets of a key are dealt, so that one that all targets have isn't one task.
 SALTS = 16
 
-_RULE = T.StructType([T.StructField(n, T.StringType()) for n in ("key", "host", "under", "exact", "path_regex", "whole_regex")])
+_RULE = T.StructType([T.StructField(n, T.StringType()) for n in ("key", "sort", "host", "under", "exact", "path_regex", "whole_regex")])
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
@@ -125,7 +126,7 @@ def read_rule(rule: str | None) -> dict | None:
         where = "/" + rest
         if name != _literal(name):  # a wildcard of the host can reach into the path
             word = _free_word(text)
-            return {"key": f"t|{word}" if word else "*", "whole_regex": glob_regex(text)}
+            return {"key": f"t|{word}" if word else "*", "sort": "t" if word else "*", "whole_regex": glob_regex(text)}
     if where is not None and not where.startswith("/"):
         return None
     out = {"key": "", "host": name or None, "under": None}
@@ -134,6 +135,7 @@ def read_rule(rule: str | None) -> dict | None:
         out["key"] = "u|" + ".".join(name[2:].split(".")[-LABELS:])
     elif name:
         out["key"] = "h|" + name
+    out["sort"] = out["key"][:1] + ("" if where is None else "|")
     if where is not None:
         out["key"] += "|" + _path_key(where)
         out |= {"exact": where} if _literal(where) == where else {"path_regex": glob_regex(where)}
@@ -146,7 +148,7 @@ def _read_rules(rules: pa.Array) -> pa.Array:
 
 
 def compiled(rules: DataFrame) -> DataFrame:
-    """kind, ord, rule, rank (its place in the order) and parts of every rule that can match something."""
+    """kind, ord, rule, rank (its place in the order), key, sort of key and parts of every rule that can match something."""
     rank = F.when(F.col("kind") == "out", 0).otherwise(1).cast("bigint") * (1 << 40) + F.col("ord")
     return rules.select("kind", "ord", "rule", rank.alias("rank"), _read_rules(F.col("rule")).alias("r")).select(
         "kind", "ord", "rule", "rank", "r.*").where("key is not null")
@@ -154,24 +156,34 @@ def compiled(rules: DataFrame) -> DataFrame:
 
 # ---- targets ------------------------------------------------------------------------------------------------------------
 
-def _target_keys(name: Column, where: Column) -> Column:
+def _target_keys(name: Column, where: Column, sorts: set[str]) -> Column:
+    """The keys of a target of the sorts that the rules have."""
+    none = F.array().cast("array<string>")
     labels = F.split(name, r"\.")
     size = F.size(labels)
     tails = F.when(size > 1, F.transform(
         F.sequence(F.lit(1), F.least(size - 1, F.lit(LABELS))), lambda n: F.concat(F.lit("u|"), F.array_join(F.slice(labels, -n, n), "."))))
-    hosts = F.concat(F.array(F.concat(F.lit("h|"), name)), F.coalesce(tails, F.array().cast("array<string>")))
+    hosts = {"h": F.array(F.concat(F.lit("h|"), name)), "u": F.coalesce(tails, none), "": F.array(F.lit(""))}
     segments = F.split(where, "/", SEGMENTS + 2)
     folders = F.transform(F.sequence(F.lit(1), F.size(segments) - 1), lambda n: F.concat(F.array_join(F.slice(segments, F.lit(1), n), "/"), F.lit("/")))
     paths = F.transform(F.concat(F.array(F.concat(F.lit("="), where)), folders), lambda p: F.concat(F.lit("|"), p))
-    both = F.flatten(F.transform(F.concat(hosts, F.array(F.lit(""))), lambda h: F.transform(paths, lambda p: F.concat(h, p))))
-    words = F.transform(F.regexp_extract_all(F.concat(name, where), F.lit("[0-9a-z]+"), F.lit(0)), lambda w: F.concat(F.lit("t|"), w))
-    return F.array_distinct(F.concat(hosts, both, words, F.array(F.lit("*"))))
+    keys = [hosts[k] for k in ("h", "u") if k in sorts]
+    begun = [hosts[k] for k in ("h", "u", "") if k + "|" in sorts]
+    if begun:
+        keys.append(let(paths, lambda ps: F.flatten(F.transform(F.concat(*begun), lambda h: F.transform(ps, lambda p: F.concat(h, p))))))
+    if "t" in sorts:
+        keys.append(F.transform(F.regexp_extract_all(F.concat(name, where), F.lit("[0-9a-z]+"), F.lit(0)), lambda w: F.concat(F.lit("t|"), w)))
+    if "*" in sorts:
+        keys.append(F.array(F.lit("*")))
+    return F.array_distinct(F.concat(*keys)) if keys else none
 
 
 def _matches(targets: DataFrame, rules: DataFrame) -> DataFrame:
     """host, path, kind, ord, rule, rank of every distinct target and every rule that matches it."""
-    parts = compiled(rules).withColumnRenamed("host", "rule_host").withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    keyed = targets.select("host", "path", F.explode(_target_keys(F.col("host"), F.col("path"))).alias("key")).withColumn(
+    parts = compiled(rules).withColumnRenamed("host", "rule_host")
+    sorts = {r[0] for r in parts.select("sort").distinct().collect()}  # seven at most
+    parts = parts.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    keyed = targets.select("host", "path", F.explode(_target_keys(F.col("host"), F.col("path"), sorts)).alias("key")).withColumn(
         "salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int"))
     c = F.col
     fits = ((c("rule_host").isNull() | (c("host") == c("rule_host")))
