@@ -209,18 +209,16 @@ def scope_matches(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFr
 def scope_decide(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     """Decision, reason and deciding rule per row: out rules first, then in rules, else denied.  Of rules with the same place the
     smallest text decides."""
-    given = _with_target(urls, url)
-    valid = given.where("__t is not null").withColumns({"__host": F.col("__t.host"), "__path": F.col("__t.path")}).drop("__t")
-    first = _matches(valid.select(F.col("__host").alias("host"), F.col("__path").alias("path")).distinct(), rules).groupBy("host", "path").agg(
-        F.min(F.struct("rank", "rule", "kind")).alias("m"))
+    # rows without a target meet nothing: no target has an empty host, and their URLs spread them over the tasks
+    given = _with_target(urls, url).withColumns({"__host": F.coalesce("__t.host", F.lit("")), "__path": F.coalesce("__t.path", F.col(url))}).drop("__t")
+    targets = given.where("__host <> ''").select(F.col("__host").alias("host"), F.col("__path").alias("path")).distinct()
+    first = _matches(targets, rules).groupBy("host", "path").agg(F.min(F.struct("rank", "rule", "kind")).alias("m"))
     first = first.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("m.kind").alias("__kind"), F.col("m.rule").alias("__rule"))
-    decided = valid.join(first, ["__host", "__path"], "left").drop("__host", "__path")
-    broken = given.where("__t is null").drop("__t").withColumns({"__kind": F.lit("none"), "__rule": F.lit(None).cast("string")})
+    both = given.join(first, ["__host", "__path"], "left").withColumn("__kind", F.when(F.col("__host") == "", F.lit("none")).otherwise(F.col("__kind")))
     kind = F.col("__kind")
     reason = (F.when(kind == "none", "Invalid URL; an explicit http:// or https:// URL is required.")
               .when(kind == "out", "Target matches an explicit out-of-scope rule.")
               .when(kind == "in", "Target matches an in-scope rule.")
               .otherwise("Target does not match any in-scope rule."))
-    both = decided.unionByName(broken)
     return both.withColumns({"allowed": F.coalesce(kind == "in", F.lit(False)), "reason": reason,
-                             "matched_rule": F.coalesce("__rule", F.lit(""))}).drop("__kind", "__rule")
+                             "matched_rule": F.coalesce("__rule", F.lit(""))}).drop("__host", "__path", "__kind", "__rule")
