@@ -3,7 +3,7 @@
 import pytest
 
 from conftest import texts
-from triage.operators import endpoints
+from triage.operators import endpoints, frontend
 
 
 def plan_of(df):
@@ -16,8 +16,16 @@ def dealt(spark):
     return rows.repartition(3)
 
 
-@pytest.mark.parametrize("scan", [endpoints.endpoints_from_text])
+@pytest.mark.parametrize("scan", [endpoints.endpoints_from_text, frontend.storage_refs, frontend.dom_leads, frontend.message_leads])
 def test_texts_are_tested_where_they_are_scanned(spark, scan):
     found = scan(dealt(spark))
     assert "Filter" not in plan_of(found).split("Repartition")[1]
     assert {r.source_file for r in found.collect()} == {"a.js"}
+
+
+def test_runtime_config_looks_ahead_only_behind_a_match(spark):
+    given = texts(spark, ("a.js", "x\nwindow.__APP_CONFIG__ = {env: 'a'} process.env.B = 2\n"), ("b.js", "config: debug=1"), ("c.js", "none"))
+    found = frontend.scan_runtime_config(given)
+    assert "(?Udi)(?=((?s:" not in plan_of(found)
+    got = sorted((r.source_file, r.line, r.redacted_evidence) for r in found.collect())
+    assert got == [("a.js", 2, "process.env.B = 2"), ("a.js", 2, "window.__APP_CONFIG__ = {env: 'a'} process.env.B = 2"), ("b.js", 1, "config: debug=1")]
