@@ -4,6 +4,7 @@ import pytest
 
 from conftest import texts
 from triage.operators import endpoints, frontend
+from triage.sources import artifacts
 
 
 def plan_of(df):
@@ -29,3 +30,10 @@ def test_runtime_config_looks_ahead_only_behind_a_match(spark):
     assert "(?Udi)(?=((?s:" not in plan_of(found)
     got = sorted((r.source_file, r.line, r.redacted_evidence) for r in found.collect())
     assert got == [("a.js", 2, "process.env.B = 2"), ("a.js", 2, "window.__APP_CONFIG__ = {env: 'a'} process.env.B = 2"), ("b.js", 1, "config: debug=1")]
+
+
+def test_source_maps_are_parsed_where_they_are_expanded(spark):
+    maps = texts(spark, ("a.map", '{"sources":["x.js"],"sourcesContent":["one"]}'), ("b.map", '{"other":1}'), ("c.map", "no json"), ("d.map", None)).repartition(3)
+    found = artifacts.read_source_maps(maps)
+    assert "Filter" not in plan_of(found).split("Repartition")[1]
+    assert [(r.source_file, r.source, r.content) for r in found.collect()] == [("a.map", "x.js", "one")]
