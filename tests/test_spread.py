@@ -3,7 +3,7 @@
 import pytest
 
 from conftest import texts
-from triage.operators import endpoints, frontend, scope
+from triage.operators import endpoints, frontend, reviews, scope
 from triage.sources import artifacts
 
 
@@ -39,6 +39,14 @@ def test_source_maps_are_parsed_where_they_are_expanded(spark):
     assert [(r.source_file, r.source, r.content) for r in found.collect()] == [("a.map", "x.js", "one")]
 
 
+def test_exchanges_of_one_host_meet_the_outside_hosts_in_parts(spark, exchange):
+    from conftest import entry
+    found = reviews.third_parties(exchange(("a.har", [entry("https://a.test/x")] + [
+        entry(f"https://cdn.other/{i}", text="mail someone@mail.example") for i in range(20)]), ("b.har", [])))
+    assert "salt" in plan_of(found)
+    assert [(r.source_file, r.host, r.request_count, r.sensitive_categories) for r in found.collect()] == [("a.har", "cdn.other", 20, ["email"])]
+
+
 def test_many_rules_are_not_sent_to_every_task(spark):
     urls = spark.createDataFrame([(1, "https://h7.test/"), (2, "https://h8.test/x"), (3, "ftp://h7.test/")], "id int, url string")
     rules = spark.range(scope.FEW_RULES + 1).selectExpr("'in' as kind", "cast(id as int) as ord", "concat('h', id, '.test') as rule")
