@@ -1,9 +1,11 @@
 """Work stays spread over the tasks: no text step goes back to a table's own splits, no hot pair or long rule list meets in one place."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import texts
 from triage.operators import endpoints, frontend, reviews, scope
+from triage.plans import derived
 from triage.sources import artifacts
 
 
@@ -39,6 +41,14 @@ def test_source_maps_are_parsed_where_they_are_expanded(spark):
     assert [(r.source_file, r.source, r.content) for r in found.collect()] == [("a.map", "x.js", "one")]
 
 
+def test_events_are_spread_by_their_number(spark, tmp_path):
+    spark.range(5 * derived.EVENTS_A_TASK + 1).select(
+        F.col("id").alias("event_id"), (F.col("id") % 9).alias("user_id"), F.lit("view").alias("event_type"), F.lit('{"k": 1}').alias("props")).write.parquet(
+        f"{tmp_path}/events.parquet")
+    rows = derived.event_rows(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() == 6 and rows.count() == 5 * derived.EVENTS_A_TASK + 1
+
+
 def test_exchanges_of_one_host_meet_the_outside_hosts_in_parts(spark, exchange):
     from conftest import entry
     found = reviews.third_parties(exchange(("a.har", [entry("https://a.test/x")] + [
