@@ -67,3 +67,17 @@ def test_many_rules_are_not_sent_to_every_task(spark):
     twice = scope.rule_table(spark, [("in", "h7.test"), ("in", "h7.test"), ("in", " H7.TEST ")])
     assert sorted(r.ord for r in scope.scope_matches(urls, twice).collect()) == [0, 1, 2]
     assert [r.matched_rule for r in scope.scope_decide(urls, twice).where("id = 1").collect()] == ["h7.test"]
+
+
+def test_changed_texts_are_scanned_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(artifacts, "TEXTS_A_TASK", 1, raising=False)
+    given, seen = texts(spark, *[(f"{i}.js", f"fetch('/api/{i}')") for i in range(9)]), []
+    inputs = given.select(F.col("source_file").alias("path"), F.sha2("text", 256).alias("sha256"))
+
+    def scan(changed):
+        seen.append(changed.rdd.getNumPartitions())
+        return {"found": changed.select("source_file", "text")}
+
+    for _ in range(2):
+        artifacts.update_inventory(inputs, given, scan, f"{tmp_path}/i")
+    assert seen == [9] and artifacts.reload_inventory(inputs, f"{tmp_path}/i", "found").count() == 9
