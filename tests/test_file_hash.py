@@ -78,5 +78,8 @@ def test_a_file_that_became_shorter_is_an_error(files):
 
 def test_a_store_that_only_spark_reads(spark, files):
     root, expected = files
+    with open(f"{root}/huge.bin", "wb") as f:
+        f.truncate((2 << 30) + 5)
+    expected = expected | {"huge.bin": ((2 << 30) + 5, None, artifacts.TOO_LARGE)}
     spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./in", f"file://{root}")
     assert manifest(spark, "viewfs://store/in", piece=1000, largest=artifacts.ANY_SIZE) == expected
