@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triage.llm.common import land
+from triage.llm.common import discard, land
 
 WORDS = 50
 #: Two lines of fewer bytes are no chunk: brackets, rules and single words are structure.
@@ -96,10 +96,10 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     # one row per chunk, without its text
     places = land(lined.select(*key, F.inline(chunks(F.col("__lines"), words, least))), "line-chunks")
     limit = HOT * places.count()
-    repeated = land(places.groupBy("h", "n").agg(F.count("*").alias("times")).where("times > 1"), "line-repeats")
+    counted = land(places.groupBy("h", "n").agg(F.count("*").alias("times")).where("times > 1"), "line-repeats")
     open_ = places.where("before is not null or behind is not null").select(*key, "h", "n", F.array_compact(F.array("before", "behind")).alias("near"))
-    beside = land(_met(open_, repeated, limit).select(*key, F.explode("near").alias("w")).select(*key, "w.*").distinct(), "line-extensions")
-    places = places.drop("before", "behind").unionByName(beside)
+    beside = land(_met(open_, counted, limit).select(*key, F.explode("near").alias("w")).select(*key, "w.*").distinct(), "line-extensions")
+    found, places = places, places.drop("before", "behind").unionByName(beside)
     first = F.min(F.struct(*key, "start", "stop")).alias("first")
     repeated = land(places.groupBy("h", "n").agg(F.count("*").alias("times"), first).where("times > 1"), "line-repeats")
     met = _met(places, repeated, limit)
@@ -108,6 +108,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     marked = met.where(is_first | apart).select(*key, F.struct(
         "start", "stop", "h", is_first.alias("is_first"), F.floor(F.col("times") / PER_COPY + 1).cast("int").alias("copies")).alias("mark"))
     marked = land(marked.distinct().groupBy(*key).agg(F.collect_list("mark").alias("marks")), "line-marks")
+    discard(found, counted, beside, repeated)
 
     # bytes of the marked chunks only
     body = docs.select(F.col(doc_id).alias("__id"), digest, F.col(text).alias("__text")).join(marked.hint("merge"), key).select(
@@ -118,7 +119,9 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     first = body.where("is_first").select("h", "body", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
     later = body.where("not is_first").withColumn("salt", F.pmod(F.xxhash64(*key, "start"), "copies").cast("int"))
     later = later.join(first, ["h", "salt", "body"], "left_semi")
-    gone = later.groupBy(*key).agg(F.collect_set(F.struct("start", "stop")).alias("__gone"))
+    # landed, so that the texts and bodies shuffled for it are gone from the disk when the texts are shuffled for the result
+    gone = land(later.groupBy(*key).agg(F.collect_set(F.struct("start", "stop")).alias("__gone")), "line-gone")
+    discard(marked)
 
     # what is marked and what goes grows with the corpus, so neither is broadcast
     out = docs.withColumns({"__id": F.col(doc_id), "__digest": digest}).join(gone.hint("merge"), key, "left").drop(*key)
