@@ -2,30 +2,37 @@
 
 Vectors become unit vectors in double precision; cosine >= c means a distance of at most eps = sqrt(2 - 2c).  Equal vectors of a label are one
 class.  All vectors are projected on the leading principal directions (from the second moments of all of them, summed by Spark), put in
-cells of width eps, and range-sorted by label and cells.  The sorted sequence is cut into blocks of a fixed size with a bounding box each.
-Pairs of blocks that lie in neighbouring cells of the first ``KEYED`` directions and whose boxes are at most eps apart are joined; in the task the
-two sequences are halved again and again, skipping halves that are provably too far apart, down to short runs compared exactly.
+cells of width eps, and range-sorted by label and cells.  The sorted sequence is cut into blocks of a bounded size with a bounding box each.
+Pairs of blocks of a label whose boxes are at most eps apart are read side by side from the shared folder, without a shuffle, so the disk
+holds each vector a fixed number of times however many pairs there are.  In the task the two sequences are cut into tiles and these into
+runs, skipping those that are provably too far apart; what single precision can't rule out is compared exactly.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from triage.llm.common import components, forest, land
+from triage.llm.common import components, discard, forest, land, small_batches
 
 COSINE = 0.93
 DIRECTIONS = 8
-BLOCK = 512
+#: Vectors of a block at most, and bytes of them in double precision: a task holds two blocks.
+BLOCK = 8192
+BLOCK_BYTES = 4 << 20
+TILE = 512
 LEAF = 64
-#: Leading directions whose cells are the key by which blocks meet.
-KEYED = 3
+#: Vectors of one Arrow batch.
+ROWS = 4096
 #: Rounding of projections never hides a pair.
 SLACK = 1e-6
 
@@ -37,72 +44,85 @@ def link(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedd
     Rows link when their labels are equal and not null and their cosine in double precision is at least ``cosine``.  Null vectors and ones
     that are empty, zero, or hold null or non-finite components link with nothing, nor do vectors of different dimensions.  n_links counts other
     rows, equal vectors too; component_id is the smallest id reachable.  Rows with a null id link with nothing; an empty table gives an
-    empty result.
+    empty result.  Rows find their class by 128 bits of the SHA-256 of their numbers.
     """
     eps = math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
-    given = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"),
+    small_batches(vectors.sparkSession, ROWS)
+    real, kind = ("float", "<f4") if vectors.schema[embedding].dataType == T.ArrayType(T.FloatType()) else ("double", "<f8")
+    given = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(f"array<{real}>").alias("v"),
                            F.col(label).cast("string").alias("label"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    good = given.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull()).where(~bad).where(
-        F.exists("v", lambda x: x != 0))
+    good = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0), F.lit(False))
     # -0.0 and 0.0 are one value
-    good = good.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).withColumn("dims", F.size("v"))
-    classes = land(good.groupBy("label", "dims", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
-    widths = [r.dims for r in classes.select("dims").distinct().collect()]  # one, but for malformed tables
-    edges, links = None, None
-    for d in sorted(widths):
-        e, n = _one_width(classes.where(F.col("dims") == d), d, cosine, eps, min(directions, d), block)
-        edges = e if edges is None else edges.unionAll(e)
-        links = n if links is None else links.unionAll(n)
-    if edges is None:
+    given = given.select("vec_id", "label", F.when(good, F.transform("v", lambda x: x + F.lit(0.0).cast(real))).alias("v"))
+    widths = [r.dims for r in given.where("v is not null").select(F.size("v").alias("dims")).distinct().collect()]  # one, but for malformed tables
+    if not widths:
         return given.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column("v")
+            at = (v.offsets.to_numpy().astype(np.int64) * np.dtype(kind).itemsize).astype(np.int32)
+            data = np.ascontiguousarray(v.values.to_numpy(zero_copy_only=False).astype(kind))
+            x = pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer(at), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), x], names=["vec_id", "label", "x"])
+
+    # the numbers as they were given, without those that link with nothing
+    packed = given.mapInArrow(pack, "vec_id long, label string, x binary")
+    parts = [_one_width(packed.where(F.octet_length("x") == d * np.dtype(kind).itemsize), d, kind, cosine, eps, min(directions, d), block)
+             for d in sorted(widths)]
+    edges, links, classes = (reduce(DataFrame.unionAll, tables) for tables in zip(*parts))
     joined = components(edges).select(F.col("id").alias("rep"), "component")
     own = classes.join(joined, "rep", "left").join(links, "rep", "left").select(
-        "label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    ids = good.select("vec_id", "label", "v").join(own, ["label", "v"]).select("vec_id", "n_links", "component_id")
-    rest = given.where(F.col("vec_id").isNull() | F.col("label").isNull() | F.col("v").isNull() | F.coalesce(bad, F.lit(False))
-                       | ~F.coalesce(F.exists("v", lambda x: F.coalesce(x, F.lit(0.0)) != 0), F.lit(False)))
-    return ids.unionAll(rest.select("vec_id", F.lit(0).cast("long"), F.col("vec_id")))
+        "label", "key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    key = F.unhex(F.substring(F.sha2("x", 256), 1, 32)).alias("key")
+    ids = packed.where(F.octet_length("x") > 0).select("vec_id", "label", key).join(own, ["label", "key"]).select("vec_id", "n_links", "component_id")
+    return ids.unionAll(given.where("v is null").select("vec_id", F.lit(0).cast("long"), F.col("vec_id")))
 
 
-def principal_directions(classes: DataFrame, d: int, m: int) -> np.ndarray:
-    """Leading eigenvectors of the second moments of the unit vectors; d² sums per task are added up by Spark."""
+def principal_directions(packed: DataFrame, d: int, kind: str, m: int) -> tuple[np.ndarray, int]:
+    """Leading eigenvectors of the second moments of the unit vectors, and their number; d² sums per task are added up by Spark."""
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((d, d))
         for batch in batches:
-            x = unit(batch.column("v"), d)
+            x = unit(b"".join(batch.column("x").to_pylist()), d, kind)
             total += x.T @ x
         i, j = np.indices((d, d))
         yield pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel())], names=["i", "j", "s"])
 
-    got = classes.select("v").mapInArrow(moments, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
+    got = packed.select("x").mapInArrow(moments, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
     total = np.zeros((d, d))
     for r in got:
         total[r.i, r.j] = r.s
-    return np.linalg.eigh((total + total.T) / 2)[1][:, ::-1][:, :m]
+    return np.linalg.eigh((total + total.T) / 2)[1][:, ::-1][:, :m], round(np.trace(total))  # each unit vector adds one to the trace
 
 
-def unit(column: pa.Array, d: int) -> np.ndarray:
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
-    x = x / np.abs(x).max(axis=1, keepdims=True)  # neither overflow nor underflow in the norm
+def unit(data: bytes, d: int, kind: str) -> np.ndarray:
+    x = np.frombuffer(data, kind).astype(np.float64).reshape(-1, d)
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=0)  # neither overflow nor underflow in the norm
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _one_width(classes: DataFrame, d: int, cosine: float, eps: float, m: int, block: int) -> tuple[DataFrame, DataFrame]:
-    axes = classes.sparkSession.sparkContext.broadcast(principal_directions(classes, d, m))
+def _one_width(packed: DataFrame, d: int, kind: str, cosine: float, eps: float, m: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges (a, b) between representatives, links of each (rep, links), and the classes (rep, copies, label, key) of vectors of one width."""
+    spark = packed.sparkSession
+    found_axes, rows = principal_directions(packed, d, kind, m)
+    axes = spark.sparkContext.broadcast(found_axes)
+    block = max(1, min(block, BLOCK_BYTES // (8 * d)))
+    classes = packed.groupBy("label", "x").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = unit(batch.column("v"), d)
-            cells = np.floor(x @ axes.value / eps).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), batch.column("rep"), batch.column("copies"), pa.array([r.tobytes() for r in x], pa.binary()),
-                 *(pa.array(cells[:, k]) for k in range(m))], names=["label", "rep", "copies", "x", *(f"c{k}" for k in range(m))])
+            cells = np.floor(unit(b"".join(batch.column("x").to_pylist()), d, kind) @ axes.value / eps).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("label", "rep", "copies", "x")), *(pa.array(cells[:, k]) for k in range(m))],
+                                             names=["label", "rep", "copies", "x", *(f"c{k}" for k in range(m))])
 
     cells = [f"c{k}" for k in range(m)]
-    placed = classes.select("label", "rep", "copies", "v").mapInArrow(
+    placed = classes.select("label", "rep", "copies", "x").mapInArrow(
         project, "label string, rep long, copies long, x binary, " + ", ".join(f"{c} int" for c in cells))
-    ordered = land(placed, "grid").repartitionByRange("label", *cells, "rep").sortWithinPartitions("label", *cells, "rep")
+    # as many parts as there are blocks, but some for each core
+    parts = max(1, -(-rows // block), min(spark.sparkContext.defaultParallelism, rows // TILE))
+    ordered = placed.repartitionByRange(parts, "label", *cells, "rep").sortWithinPartitions("label", *cells, "rep")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count, held = TaskContext.get().partitionId(), 0, []
@@ -116,82 +136,100 @@ def _one_width(classes: DataFrame, d: int, cosine: float, eps: float, m: int, bl
             yield one(held, (part << 32) + count)
 
     def one(held: list[tuple], number: int) -> pa.RecordBatch:
-        p = np.frombuffer(b"".join(r[3] for r in held), np.float64).reshape(-1, d) @ axes.value
+        x = b"".join(r[3] for r in held)
+        p = unit(x, d, kind) @ axes.value
         return pa.RecordBatch.from_arrays(
             [pa.array([number]), pa.array([held[0][0]]), pa.array([p.min(axis=0).tolist()]), pa.array([p.max(axis=0).tolist()]),
-             pa.array([b"".join(r[3] for r in held)], pa.binary()),
-             pa.array([np.array([r[1:3] for r in held], np.int64).T.tobytes()], pa.binary())], names=["block", "label", "lo", "hi", "x", "ids"])
+             pa.array([x], pa.binary()), pa.array([np.array([r[1:3] for r in held], np.int64).T.tobytes()], pa.binary())],
+            names=["block", "label", "lo", "hi", "x", "ids"])
 
     cut = land(ordered.mapInArrow(blocks, "block long, label string, lo array<double>, hi array<double>, x binary, ids binary"), "grid-blocks")
-    # blocks meet by the cells of the leading axes: each of two near ones covers a cell that is the other's or next to it, on every axis
-    axis_keys = [f"k{k}" for k in range(min(m, KEYED))]
-
-    def met(name: str, lo: str, hi: str, reach: int) -> DataFrame:
-        out = cut.select(F.col("block").alias(name), "label", F.col("lo").alias(lo), F.col("hi").alias(hi))
-        for k, key in enumerate(axis_keys):
-            out = out.withColumn(key, F.explode(F.expr(
-                f"sequence(cast(floor({lo}[{k}] / {eps}) as int) - {reach}, cast(floor({hi}[{k}] / {eps}) as int) + {reach})")))
-        return out
-
-    left, right = met("a", "lo1", "hi1", 1), met("b", "lo2", "hi2", 0)
+    # every task reads a part of the blocks beside another one: a join by key would write the vectors once for every pair
+    side = lambda n: cut.select(*[F.col(c).alias(f"{c}{n}") for c in cut.columns])
     gap = F.aggregate(F.zip_with(F.arrays_zip("lo1", "hi1"), F.arrays_zip("lo2", "hi2"), lambda p, q: F.greatest(
         p["lo1"] - q["hi2"], q["lo2"] - p["hi1"], F.lit(0.0))), F.lit(0.0), lambda s, g: s + g * g)
-    near = left.join(right, ["label", *axis_keys]).where("a <= b").where(gap <= eps * eps).select("a", "b").distinct()
-    one_side = cut.select(F.col("block").alias("a"), F.col("x").alias("xa"), F.col("ids").alias("ia"))
-    other = cut.select(F.col("block").alias("b"), F.col("x").alias("xb"), F.col("ids").alias("ib"))
-    pairs = near.join(one_side, "a").join(other, "b").select("a", "b", "xa", "ia", "xb", "ib")
+    pairs = side(1).hint("shuffle_replicate_nl").join(side(2), (F.col("label1") == F.col("label2")) & (F.col("block1") <= F.col("block2")) & (gap <= eps * eps))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, xa, ia, xb, ib in zip(*(batch.column(k).to_pylist() for k in range(6))):
-                xs = [np.frombuffer(v, np.float64).reshape(-1, d) for v in (xa, xb)]
+                xs = [unit(v, d, kind) for v in (xa, xb)]
                 ids = [np.frombuffer(v, np.int64).reshape(2, -1) for v in (ia, ib)]
                 yield from _found(xs, [v @ axes.value for v in xs], ids, a == b, cosine, eps)
 
-    found = land(pairs.repartition("a", "b").mapInArrow(compare, "kind int, a long, b long"), "grid-links")
+    found = land(pairs.select("block1", "block2", "x1", "ids1", "x2", "ids2").mapInArrow(compare, "kind int, a long, b long"), "grid-links")
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, x, ids in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                rep, copies = np.frombuffer(ids, np.int64).reshape(2, -1)
+                size = len(x) // len(rep)
+                keys = [hashlib.sha256(x[i * size : (i + 1) * size]).digest()[:16] for i in range(len(rep))]
+                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(copies), pa.array([name] * len(rep), pa.string()), pa.array(keys, pa.binary())],
+                                                 names=["rep", "copies", "label", "key"])
+
+    own = land(cut.select("label", "x", "ids").mapInArrow(members, "rep long, copies long, label string, key binary"), "grid-classes")
+    discard(cut)
     edges = found.where("kind = 0").select("a", "b").distinct()
-    return edges, found.where("kind = 1").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
+    return edges, found.where("kind = 1").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links")), own
 
 
-def _found(xs, ps, ids, same: bool, cosine: float, eps: float) -> Iterator[pa.RecordBatch]:
-    """Spanning edges (0, rep, rep) and link counts (1, rep, rows) of two blocks."""
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+def _boxes(p: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lowest and highest coordinates of every ``size`` rows."""
+    at = np.arange(0, len(p), size)
+    return np.minimum.reduceat(p, at, axis=0), np.maximum.reduceat(p, at, axis=0)
 
-    def box(side: int, lo: int, hi: int):
-        p = ps[side][lo:hi]
-        return p.min(axis=0), p.max(axis=0)
 
-    def join(a0: int, a1: int, b0: int, b1: int) -> None:
-        if same and a0 > b0:
-            return
-        (la, ha), (lb, hb) = box(0, a0, a1), box(1, b0, b1)
-        gap = np.maximum(np.maximum(la - hb, lb - ha), 0)
-        if (gap * gap).sum() > eps * eps:
-            return
-        if max(a1 - a0, b1 - b0) <= LEAF:
-            close = xs[0][a0:a1] @ xs[1][b0:b1].T >= cosine
-            if same and a0 == b0:
-                close = np.triu(close, 1)
-            i, j = np.nonzero(close)
-            if len(i):
-                pairs.append((i + a0, j + b0))
+def _near(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], eps: float) -> np.ndarray:
+    """Which boxes of two lists are at most eps apart."""
+    gap = np.maximum(np.maximum(one[0][:, None] - other[1][None], other[0][None] - one[1][:, None]), 0)
+    return (gap * gap).sum(axis=2) <= eps * eps
+
+
+def _found(xs, ps, ids, same: bool, cosine: float, eps: float) -> Iterator[pa.RecordBatch]:
+    """Spanning edges (0, rep, rep) and link counts (1, rep, rows) of two blocks."""
+    n, d = xs[0].shape
+    small = [x.astype(np.float32) for x in xs]
+    least = cosine - (d + 8) * 2.0**-22  # more than a product in single precision can be off
+    reps, copies = ids[0] if same else np.concatenate(ids, axis=1)
+    count, kept = np.zeros(len(reps)), []
+
+    def close(a0: int, a1: int, b0: int, b1: int, hits: list) -> None:
+        may = small[0][a0:a1] @ small[1][b0:b1].T >= least
+        i = np.flatnonzero(may.any(axis=1))
+        if not len(i):
             return
-        am, bm = (a0 + a1) // 2, (b0 + b1) // 2
-        halves = lambda lo, mid, hi: [(lo, hi)] if hi - lo <= LEAF else [(lo, mid), (mid, hi)]
-        for p in halves(a0, am, a1):
-            for q in halves(b0, bm, b1):
-                join(*p, *q)
-
-    join(0, len(xs[0]), 0, len(xs[1]))
-    if not pairs:
+        j = np.flatnonzero(may.any(axis=0))
+        p, q = np.nonzero(xs[0][a0 + i] @ xs[1][b0 + j].T >= cosine)
+        i, j = a0 + i[p], b0 + j[q]
+        if same:
+            i, j = i[i < j], j[i < j]
+        if len(i):
+            hits.append((i, j if same else j + n))
+
+    tiles, runs = [_boxes(p, TILE) for p in ps], [_boxes(p, LEAF) for p in ps]
+    each = TILE // LEAF
+    for s, t in np.argwhere(_near(*tiles, eps)):
+        if same and s > t:
+            continue
+        a0, b0 = s * TILE, t * TILE
+        a1, b1 = min(a0 + TILE, n), min(b0 + TILE, len(xs[1]))
+        hits: list[tuple[np.ndarray, np.ndarray]] = []
+        inside = _near(*([bound[k * each : (k + 1) * each] for bound in box] for box, k in zip(runs, (s, t))), eps)
+        if 2 * inside.sum() > inside.size:
+            close(a0, a1, b0, b1, hits)
+        else:
+            for p, q in np.argwhere(inside):
+                a, b = a0 + p * LEAF, b0 + q * LEAF
+                close(a, min(a + LEAF, a1), b, min(b + LEAF, b1), hits)
+        if hits:
+            i, other = (np.concatenate(v) for v in zip(*hits))
+            count += np.bincount(i, copies[other], len(reps)) + np.bincount(other, copies[i], len(reps))
+            kept.append(forest(i, other, len(reps)))  # fewer links than rows, however many the tile has
+    if not kept:
         return
-    i, j = (np.concatenate(v) for v in zip(*pairs))
-    n = len(xs[0])
-    other = j if same else j + n
-    reps = ids[0][0] if same else np.append(ids[0][0], ids[1][0])
-    copies = ids[0][1] if same else np.append(ids[0][1], ids[1][1])
-    count = np.bincount(i, copies[other], len(reps)) + np.bincount(other, copies[i], len(reps))
-    p, q = forest(i, other, len(reps))
+    i, j = (np.concatenate(v) for v in zip(*kept))
+    p, q = forest(i, j, len(reps))
     a, b = reps[p], reps[q]
     at = np.flatnonzero(count)
     yield pa.RecordBatch.from_arrays(
