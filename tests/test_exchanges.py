@@ -142,6 +142,15 @@ def test_third_parties_and_findings(exchange):
     assert all(r.id.startswith("HAR-") and len(r.id) == 14 for r in found.select("id").collect())
 
 
+def test_third_parties_scan_all_exchanges(exchange):
+    """The first host's exchanges are scanned too: a host that redaction gives them can be an outside one, as in a capture redacted before."""
+    ex = exchange(("a.har", [entry("https://app.test/"), entry("https://<redacted-email>/x"),
+                             entry("https://me@app.test/y", req=[("X-CSRF-Token", "c1")], text="call 555-010-1234")]))
+    found = {r.host: set(r.sensitive_categories) for r in reviews.third_parties(ex).collect()}
+    assert set(found) == {"<redacted-email>"}
+    assert found["<redacted-email>"] >= {"email", "csrf_token", "phone_number"}
+
+
 def test_jwt(exchange, spark):
     tokens = auth_surface.jwt_candidates(exchange(capture()), texts(spark, ("t.txt", f"{JWT} and {JWT}")))
     rows = {r.source_file: r for r in auth_surface.decode_jwt(tokens, "2024-06-01 00:00:00").collect()}
