@@ -81,3 +81,26 @@ def test_changed_texts_are_scanned_in_parts(spark, tmp_path, monkeypatch):
     for _ in range(2):
         artifacts.update_inventory(inputs, given, scan, f"{tmp_path}/i")
     assert seen == [9] and artifacts.reload_inventory(inputs, f"{tmp_path}/i", "found").count() == 9
+
+
+def test_changed_inputs_are_worked_out_once(spark, tmp_path):
+    hashed = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def digest(text):
+        hashed.add(1)
+        return f"of {text}"
+
+    given = texts(spark, *[(f"{i}.js", f"fetch('/api/{i}')") for i in range(9)])
+    inputs = given.select(F.col("source_file").alias("path"), digest("text").alias("sha256"))
+    for n in (9, 18):  # the second run finds nothing changed
+        artifacts.update_inventory(inputs, given, lambda changed: {"found": changed.select("source_file", "text")}, f"{tmp_path}/i")
+        assert hashed.value == n
+    assert sorted(p.name for p in (tmp_path / "i").iterdir()) == ["found", "manifest"]
+
+
+def test_only_lines_that_name_a_storage_leave_their_text(spark):
+    given = texts(spark, ("a.js", "one\nlocalStorage.setItem('k', v); LOCALſtorage.getItem(\"t\")\n\nx\nlocalſtorage('u')\n"), ("b.js", "none"), ("c.js", None))
+    found = frontend.storage_refs(given)
+    assert "posexplode" not in plan_of(found)
+    assert sorted((r.line, r.key) for r in found.collect()) == [(2, "k"), (2, "t"), (5, "u")]
